@@ -19,6 +19,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_substring_dedup,)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideframe.llm.quality_rules import quality_verdicts
+
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return quality_verdicts(_table(spark, sf_dir, "documents")).select(*columns)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_substring_dedup, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
