@@ -51,7 +51,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols * 50 <= n_words", "n_symbols * 5 > n_words"),
-    Rule("letters", "n_letters * 20 >= word_chars * 18", "n_letters * 20 < word_chars * 17"),
+    Rule("letters", "n_letters * 100 >= word_chars * 93", "n_letters * 10 < word_chars * 9"),
     Rule("shouting", "n_upper * 6 <= n_letters", "n_upper * 2 > n_letters"),
     Rule("exclaiming", "n_marks * 50 <= n_words", "n_marks * 5 > n_words"),
     Rule("repeated_lines", "n_dup_lines * 20 <= n_lines", "n_dup_lines * 4 > n_lines"),
