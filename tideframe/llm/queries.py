@@ -12,12 +12,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideframe.llm.quality_classifier import quality_scores
+    from tideframe.llm.training import fold
+
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideframe.llm.jaccard_join import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideframe.llm.toxicity import toxicity_scores
+    from tideframe.llm.training import fold
+
+    out = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideframe.llm.substring_dedup import remove_repeats
 
@@ -32,6 +48,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_jaccard_join, op7_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_toxicity, op7_substring_dedup, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -79,15 +79,18 @@ def chunks(bounds: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 
 
 class Words:
-    """Words of documents lo..hi-1: byte spans, 64-bit hashes, and the number in each document."""
+    """Words of documents lo..hi-1: byte spans, 64-bit hashes, and the number in each document.
 
-    def __init__(self, flat: np.ndarray, bounds: np.ndarray, lo: int, hi: int):
+    ``inside`` marks the byte values that words are made of; without it words end at white space alone.
+    """
+
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray, lo: int, hi: int, inside: np.ndarray | None = None):
         self.base = int(bounds[lo])
         self.bytes = b = flat[bounds[lo] : bounds[hi]]
         edges = bounds[lo : hi + 1] - self.base
         self.edges = edges
         solid = np.zeros(len(b) + 1, bool)
-        solid[:-1] = (b != 32) & ((b - np.uint8(9)) > 4)
+        solid[:-1] = ((b != 32) & ((b - np.uint8(9)) > 4)) if inside is None else inside[b]
         first = solid[:-1].copy()
         first[1:] &= ~solid[:-2]
         last = solid[:-1] & ~solid[1:]
@@ -120,3 +123,6 @@ class Words:
 
 #: Byte codes that give A-Z the codes of a-z: hashes of words lower-cased in ASCII alone.
 LOWER_CODE = BYTE_CODE[[c + 32 if 65 <= c <= 90 else c for c in range(256)]]
+
+#: Bytes of letters and digits: ASCII ones and all bytes of longer UTF-8 sequences.
+LETTERS = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
