@@ -41,6 +41,23 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tideframe.llm.piece_bpe import encode_documents
+
+    out = encode_documents(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")), digests=True)
+    return out.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tideframe.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), 1024, 2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideframe.llm.quality_rules import quality_verdicts
 
@@ -48,6 +65,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_toxicity, op7_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_toxicity, op7_substring_dedup, op8_sentencepiece, op9_best_fit_packing, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
