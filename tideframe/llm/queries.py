@@ -26,6 +26,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideframe.llm.media_columns import media_features, media_table
+
+    return media_features(media_table(_table(spark, sf_dir, "documents")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideframe.llm.toxicity import toxicity_scores
     from tideframe.llm.training import fold
@@ -65,6 +71,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op6_toxicity, op7_substring_dedup, op8_sentencepiece, op9_best_fit_packing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_sentencepiece, op9_best_fit_packing, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
