@@ -26,6 +26,25 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents declare a language and come from a source, which takes the host's place."""
+    from tideframe.llm.language_id import identify, suffix_of
+
+    docs = _table(spark, sf_dir, "documents")
+    out = identify(docs, "text", F.col("lang"), F.col("source"), suffix_of(F.col("source")))
+    return out.select("doc_id", "language", "confidence", "rejected", (~F.col("rejected")).alias("kept"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages: markup language, address suffix and host."""
+    from tideframe.llm.language_id import host_of, identify, markup_language, suffix_of, visible_text
+
+    pages = _table(spark, sf_dir, "pages")
+    host = host_of(F.col("url"))
+    out = identify(pages, visible_text(F.col("html")), markup_language(F.col("html")), host, suffix_of(host), key="page_id")
+    return out.select(F.col("doc_id").alias("page_id"), "language", "confidence", "rejected")
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideframe.llm.media_columns import media_features, media_table
 
@@ -71,6 +90,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).select(*columns)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op5_media_columns, op6_toxicity, op7_substring_dedup, op8_sentencepiece, op9_best_fit_packing, op10_quality_rules)}
+_ALL = (
+    op1_quality_classifier, op2_ngram_jaccard_join, op3_language_id, op5_media_columns, op6_toxicity, op7_substring_dedup,
+    op8_sentencepiece, op9_best_fit_packing, op10_quality_rules, language_id_pages,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
+#: None of these can be expressed in SQL as a whole; tests/llm holds each against a brute-force version.
 ORACLE_SQL: dict[str, str] = {}
