@@ -45,6 +45,12 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").alias("page_id"), "language", "confidence", "rejected")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideframe.llm.html_wrapper import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideframe.llm.media_columns import media_features, media_table
 
@@ -91,7 +97,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_quality_classifier, op2_ngram_jaccard_join, op3_language_id, op5_media_columns, op6_toxicity, op7_substring_dedup,
+    op1_quality_classifier, op2_ngram_jaccard_join, op3_language_id, op4_html_extraction, op5_media_columns, op6_toxicity, op7_substring_dedup,
     op8_sentencepiece, op9_best_fit_packing, op10_quality_rules, language_id_pages,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
