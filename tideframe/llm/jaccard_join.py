@@ -18,8 +18,8 @@ exactly; (5) final components. Copies and linked families are never expanded int
 
 Defined results: null or empty text and text of white space have an empty set, link with nothing and are their own
 component; fewer words than a shingle make one shingle of the whole sequence; rows that repeat a ``doc_id`` with the
-same text are one document of which each row is returned; extra columns are ignored; an empty table gives an empty
-result.
+same text are one document of which each row is returned; rows without a ``doc_id`` link with nothing; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -233,10 +233,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     prepare(docs.sparkSession)
     docs = documents(docs, "doc_id", "text")
     profile = stored(docs.mapInArrow(_profiles(size), "doc_id long, n_shingles long, set_a long, set_b long"), "profiles")
-    classes = profile.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last"))
+    classes = profile.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last"))
     copies = profile.join(classes.where("class_id < last"), ["set_a", "set_b"]).where("doc_id > class_id").select("doc_id", "class_id")
     copies = stored(copies.distinct(), "copies")
 
+    docs = docs.where("doc_id is not null")
     blocks = docs.mapInArrow(_blocks(size, percent), "key long, doc_id long")
     shared = blocks.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
     hits = blocks.join(shared, "key").join(small(copies, 24), "doc_id", "left")
@@ -264,6 +265,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "class_id").alias("component_id"), "class_id")
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that link, directly or not, with a document of a smaller id; all columns stay."""
+    gone = near_duplicates(docs, size, percent).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(small(stored(gone, "near-duplicates"), 16), "doc_id", "left_anti").select(*docs.columns)
+
+
 def brute_force(rows: list[tuple[int, str | None]], size: int, percent: int) -> dict[int, tuple[int, int]]:
     """The contract in plain Python for small fixtures: doc_id to (n_shingles, component_id)."""
     sets = {d: shingle_set(t, size) for d, t in rows}

@@ -15,7 +15,7 @@ have some gives the candidate windows; (4) the same grouping and join give each
 words meet the texts again. Hot windows are pre-aggregated in the map tasks and joined by joins that Spark can split.
 
 Defined results: null or empty text has no words and keeps an empty text; documents under ``length`` words lose
-nothing; repeats inside one document alone are kept; equal rows of one ``doc_id`` never remove each other; extra
+nothing; rows without a ``doc_id`` lose nothing and remove nothing; repeats inside one document alone are kept; equal rows of one ``doc_id`` never remove each other; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -151,7 +151,7 @@ def _runs(length: int):
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, runs) to the word counts and the kept words joined by one space."""
+    """(doc_id, text, runs, carried columns) to the word counts and the kept words joined by one space."""
     for batch in batches:
         flat, bounds = text_buffers(batch.column(1))
         runs = batch.column(2)
@@ -169,7 +169,11 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n_removed.append(int(n - alive.sum()))
                 words = w.bytes[w.edges[i] : w.edges[i + 1]].tobytes().split()
                 kept.append(b" ".join(words if r is None else [x for x, ok in zip(words, alive, strict=True) if ok]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        carried = [batch.column(k) for k in range(3, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *carried],
+            ["doc_id", "n_words", "n_removed", "kept_text", *batch.schema.names[3:]],
+        )
 
 
 def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -182,7 +186,7 @@ def covered_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     if length < 2 or length % 2:
         raise ValueError("length must be even")
     prepare(docs.sparkSession)
-    docs = documents(docs, "doc_id", "text")
+    docs = documents(docs, "doc_id", "text").where("doc_id is not null")
     halves = stored(docs.mapInArrow(_count_halves(length), "h long, doc_id long"), "half-windows")
     alive = halves.join(_repeated(halves, "h").drop("owner"), "h").groupBy("doc_id").agg(F.collect_list("h").alias("alive"))
     alive = stored(alive, "alive-halves")
@@ -197,11 +201,14 @@ def _beside(docs: DataFrame, lists: DataFrame, column: str, how: str = "inner")
     return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "doc_id", how)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every row of ``docs``, which has ``doc_id`` and ``text``."""
+def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) and the ``carry`` columns of every row of ``docs`` (``doc_id``, ``text``)."""
     runs = stored(covered_runs(docs, length), "runs")
-    rows = _beside(documents(docs, "doc_id", "text"), runs, "runs", "left").select("doc_id", "text", "runs")
-    return rows.mapInArrow(_rest, "doc_id long, n_words long, n_removed long, kept_text string")
+    rows = _beside(documents(docs, "doc_id", "text", *(F.col(c).alias(f"_{c}") for c in carry)), runs, "runs", "left")
+    rows = rows.select("doc_id", "text", "runs", *(f"_{c}" for c in carry))
+    more = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    out = rows.mapInArrow(_rest, f"doc_id long, n_words long, n_removed long, kept_text string{more}")
+    return out.withColumnsRenamed({f"_{c}": c for c in carry})
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[int, int, str]]:
