@@ -1,10 +1,9 @@
-"""Registered queries of the time-series operators, each beside its SQL."""
+"""All registered queries of the time-series operators, each beside its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tideframe.plans import match_queries, series_queries, stats_queries, table_queries, time_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_ALL = (time_queries, series_queries, match_queries, stats_queries, table_queries)
+QUERIES = {name: q for m in _ALL for name, q in m.query.queries.items()}
+ORACLE_SQL = {name: q for m in _ALL for name, q in m.query.sql.items()}
