@@ -1,6 +1,7 @@
 """Time systems as column expressions over one canonical value: microseconds of naive UTC since 1970-01-01.
 
-All functions take and return columns and stay in generated code. ``timestamp_ntz`` columns hold UTC. TAI counts SI
+All functions take and return columns and stay in generated code; give those with a ladder of leap seconds a column that
+exists, so that its expression is computed once. ``timestamp_ntz`` columns hold UTC. TAI counts SI
 seconds since 1958-01-01 including leap seconds; "naive" systems ignore leap seconds.
 """
 
@@ -77,10 +78,14 @@ def tt2000_ns(us: Column) -> Column:
     return (tai_us(us) - F.lit(j2000_tai_ms).cast("long") * 1000) * 1000 + 32_184_000_000
 
 
-def utc_us_of_tt2000(ns: Column) -> Column:
+def tai_us_of_tt2000(ns: Column) -> Column:
     j2000_tai_ms = (946_728_000 + TAI_1970) * 1000
     since = ns - 32_184_000_000
-    return utc_us_of_tai(F.call_function("div", since - F.pmod(since, F.lit(1000)), F.lit(1000)) + F.lit(j2000_tai_ms).cast("long") * 1000)
+    return F.call_function("div", since - F.pmod(since, F.lit(1000)), F.lit(1000)) + F.lit(j2000_tai_ms).cast("long") * 1000
+
+
+def utc_us_of_tt2000(ns: Column) -> Column:
+    return utc_us_of_tai(tai_us_of_tt2000(ns))
 
 
 def epoch16(us: Column) -> Column:

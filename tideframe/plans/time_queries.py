@@ -22,8 +22,8 @@ select event_id, leap::bigint leapsecs, (us + (leap + {T.TAI_1970}) * 1000000)::
  ((us + (leap + {T.TAI_1970}) * 1000000 - {(946728000 + T.TAI_1970) * 1000000}) * 1000 + 32184000000)::bigint tt2000
 from e""")
 def time_systems(spark, sf_dir):
-    us = T.utc_us(F.col("ts"))
-    return table(spark, sf_dir, "events").select(
+    us = F.col("us")
+    return table(spark, sf_dir, "events").select("event_id", T.utc_us(F.col("ts")).alias("us")).select(
         "event_id", T.leap_seconds(us).alias("leapsecs"), T.tai_us(us).alias("tai_us"), r6(T.unix_seconds(us)).alias("unx"), r6(T.gps_seconds(us)).alias("gps"),
         F.floor(T.cdf_ms(us)).alias("cdf_ms"), T.tt2000_ns(us).alias("tt2000"),
     )
@@ -71,10 +71,10 @@ def solar_rotations(spark, sf_dir):
 @query(f"""select event_id, epoch_us(ts)::bigint utc_us from events""")
 def time_round_trip(spark, sf_dir):
     """TAI and TT2000 back to UTC give the microseconds they came from."""
-    us = T.utc_us(F.col("ts"))
-    back = T.utc_us_of_tai(T.tai_us(us))
-    again = T.utc_us_of_tt2000(T.tt2000_ns(us))
-    return table(spark, sf_dir, "events").select("event_id", F.when(back == again, back).alias("utc_us"))
+    rows = table(spark, sf_dir, "events").select("event_id", T.utc_us(F.col("ts")).alias("us"))
+    rows = rows.select("event_id", T.tai_us(F.col("us")).alias("tai"), T.tt2000_ns(F.col("us")).alias("tt"))
+    rows = rows.select("event_id", T.utc_us_of_tai(F.col("tai")).alias("back"), T.tai_us_of_tt2000(F.col("tt")).alias("tai"))
+    return rows.select("event_id", F.when(F.col("back") == T.utc_us_of_tai(F.col("tai")), F.col("back")).alias("utc_us"))
 
 
 @query("""
