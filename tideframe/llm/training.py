@@ -28,8 +28,9 @@ def train(sample: DataFrame, featurise: Callable, fit: Callable, schema: str) ->
     """Featurise in all tasks, fit in one: ``fit`` gets the features of the bounded sample and gives the model as bytes."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if rows.num_rows:
+        found = list(batches)
+        rows = pa.Table.from_batches(found) if found else None
+        if rows:
             yield pa.RecordBatch.from_arrays([pa.array([fit(rows)], pa.binary())], ["model"])
 
     found = sample.mapInArrow(featurise, schema).repartition(1).mapInArrow(job, "model binary").first()
