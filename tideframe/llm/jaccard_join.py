@@ -11,10 +11,10 @@ A set near the top of its band is also sketched for the next band, where its lar
 
 Jobs: (1) documents with equal sets become one class, held by the smallest id; (2) a pre-aggregated grouping finds the
 block values of two or more classes, and a join brings them to their classes; (3) within each block value all classes
-are held against the smallest one, exactly, on the texts; verified links give components; (4) where one block value
-still holds several components, pairs across them are compared by parity bit sketches (one bit per shingle, whose
-Hamming distance also bounds the difference from below), in tiles of bounded size, and the pairs that pass are verified
-exactly; (5) final components. Copies and linked families are never expanded into all pairs.
+are held against the smallest one: first by parity bit sketches (one bit per shingle, whose Hamming distance also bounds
+the difference from below), then exactly, on the texts; verified links give components; (4) where the other classes of
+one block value are of several components, pairs across these are compared by sketches, in tiles of bounded size, and
+the pairs that pass are verified exactly; (5) final components. Copies and linked families are never expanded into all pairs.
 
 Defined results: null or empty text and text of white space have an empty set, link with nothing and are their own
 component; fewer words than a shingle make one shingle of the whole sequence; rows that repeat a ``doc_id`` with the
@@ -40,6 +40,8 @@ _U = np.uint64
 TILE = 512
 #: Members that are held against one centre in one task.
 SALT = 256
+#: Rows of such tiles, of many block values, that one task handles at once.
+LOT = 10000
 
 
 class Bands:
@@ -52,7 +54,13 @@ class Bands:
         self.low = np.unique(np.ceil(2.0 ** (np.arange(0, 96) / 2) - 1e-9).astype(np.int64))
         self.high = np.append(self.low[1:] - 1, np.iinfo(np.int32).max)
         self.most = (100 - percent) * 2 * self.high // (100 + percent)
-        self.blocks = np.where(self.most > 0, self.most + 2 + -(-self.most // 16), 0)
+        # enough blocks that the smallest sets of a band, but for chance, fill more than the largest difference
+        least, k, need = self.low * (percent / 100), self.most + 1, np.flatnonzero(self.most > 0)
+        while len(need):
+            empty = k[need] * np.exp(-least[need] / k[need])
+            need = need[(k[need] - empty - 2 * np.sqrt(empty) < self.most[need] + 1) & (k[need] < 2 * self.most[need] + 4)]
+            k[need] += np.maximum(1, k[need] // 64)
+        self.blocks = np.where(self.most > 0, k, 0)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, "right") - 1
@@ -141,7 +149,7 @@ def _blocks(size: int, percent: int):
 
 
 def _parity(size: int, percent: int):
-    """Parity bit sketches of about four bits a shingle, a power of two of them."""
+    """Parity bit sketches of two to six bits a shingle, a power of two of them."""
     bands = Bands(percent)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +157,7 @@ def _parity(size: int, percent: int):
             flat, bounds = text_buffers(batch.column(1))
             for lo, hi in chunks(bounds):
                 h, at, n = shingles(Words(flat, bounds, lo, hi), size)
-                bits = np.maximum(64, 1 << np.ceil(np.log2(4 * bands.high[bands.of(np.maximum(n, 1))])).astype(np.int64))
+                bits = np.maximum(64, 1 << np.ceil(np.log2(2 * bands.high[bands.of(np.maximum(n, 1))])).astype(np.int64))
                 base = np.r_[0, np.cumsum(bits)]
                 spot = base[at] + (mix(h + _U(4)) & (bits[at] - 1).astype(_U)).astype(np.int64)
                 odd = np.packbits(np.bincount(spot, minlength=base[-1]).astype(np.uint8) & 1)
@@ -165,27 +173,54 @@ def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
+def _within(ids, comp, n, bits, left: np.ndarray, right: np.ndarray, same: bool, percent: int, out: list) -> None:
+    """Pairs of one key's tile, across components, whose sketches may belong to linked sets."""
+    for x in left:
+        y = right[ids[right] > ids[x]] if same else right
+        y = y[comp[y] != comp[x]]
+        most = (100 - percent) * (n[y] + n[x]) // (100 + percent)
+        near = np.abs(n[y] - n[x]) <= most
+        y, most = y[near], most[near]
+        y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) <= most]
+        out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
+
+
 def _tile(percent: int):
-    """Pairs of one tile, across components, whose sketches may belong to linked sets."""
+    def job(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        key, i, j, side, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "tile", "doc_id", "comp", "n"))
+        sketches = table.column("sketch").to_pylist()
+        cut = np.r_[0, np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1, len(key)]
+        out: list[np.ndarray] = []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi - lo > 1:
+                raw = [np.frombuffer(x, np.uint8) for x in sketches[lo:hi]]
+                size = min(map(len, raw))
+                bits = np.stack([_fold(x, size) for x in raw])
+                left, right = np.flatnonzero(side[lo:hi] == i[lo]), np.flatnonzero(side[lo:hi] == j[lo])
+                _within(ids[lo:hi], comp[lo:hi], n[lo:hi], bits, left, right, i[lo] == j[lo], percent, out)
+        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        both = np.unique(both, axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    return job
 
-    def job(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        ids, comp, n, side = (table.column(c).to_numpy() for c in ("doc_id", "comp", "n", "tile"))
-        raw = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
-        size = min(map(len, raw))
-        bits = np.stack([_fold(x, size) for x in raw])
-        a, b = [], []
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        for x in left:
-            y = right[(ids[right] > ids[x]) if i == j else slice(None)]
-            y = y[comp[y] != comp[x]]
-            most = (100 - percent) * (n[y] + n[x]) // (100 + percent)
-            y, most = y[np.abs(n[y] - n[x]) <= most], most[np.abs(n[y] - n[x]) <= most]
-            y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) <= most]
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+def _screen(percent: int):
+    """Pairs (a, b) with sizes and sketches of both: those that may be linked."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = (100 - percent) * (n1 + n2) // (100 + percent)
+            ok = np.abs(n1 - n2) <= most
+            first, second = batch.column(4), batch.column(5)
+            for k in np.flatnonzero(ok):
+                x, y = np.frombuffer(first[k].as_buffer(), np.uint8), np.frombuffer(second[k].as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                ok[k] = np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum() <= most[k]
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return job
 
@@ -243,19 +278,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     hits = blocks.join(shared, "key").join(small(copies, 24), "doc_id", "left")
     hits = stored(hits.select("key", F.coalesce("class_id", "doc_id").alias("doc_id")).distinct(), "hits")
     centres = hits.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("high")).where("a < high").drop("high")
-    stars = hits.join(centres, "key").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    members = stored(hits.join(centres, "key").where("a < doc_id"), "members")
     one = docs.dropDuplicates(["doc_id"]) if profile.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
+    wanted = stored(members.select("doc_id").union(members.select("a")).distinct(), "wanted")
+    sketches = one.join(small(wanted, 16), "doc_id").mapInArrow(_parity(size, percent), "doc_id long, n long, sketch binary")
+    sketches = stored(sketches, "sketches")
+
+    stars = members.select("a", F.col("doc_id").alias("b")).distinct()
+    of = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    stars = stars.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_screen(percent), "a long, b long")
     links = stored(_linked(one, stars, size, percent), "links")
 
+    # the smallest class of each block value has met all others; among these, pairs across components remain
     comp = components(links)
-    marked = hits.join(small(comp, 24), hits["doc_id"] == comp["v"], "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    marked = members.join(small(comp, 24), members["doc_id"] == comp["v"], "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("low < high")
     left = stored(marked.join(mixed.select("key", "tiles"), "key"), "across")
-    sketches = one.join(small(left.select("doc_id").distinct(), 16), "doc_id").mapInArrow(_parity(size, percent), "doc_id long, n long, sketch binary")
+    lots = max(1, left.count() // LOT)
     left = left.join(sketches, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = left.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "comp", "n", "sketch")
-    across = left.groupBy("key", "i", "j").applyInArrow(_tile(percent), "a long, b long")
+    across = left.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(lots)).alias("lot")).applyInArrow(_tile(percent), "a long, b long")
     more = stored(_linked(one, across, size, percent), "links")
 
     comp = components(links.union(more)) if not more.isEmpty() else comp
