@@ -72,5 +72,50 @@ def vampola_order(l_shell: Column) -> Column:
 
 def diffusion_coefficient(l_shell: Column, kp: Column, model: str = "BA2000") -> Column:
     """Radial diffusion coefficient per day."""
+    if model == "const":
+        return F.lit(10.0)
     a, b = {"BA2000": (0.506 * kp - 9.325, 10.0), "FC2006": (F.lit(math.log10(1.5e-6)), 8.5), "U2008": (F.lit(math.log10(7.7e-6)), 6.0), "S1997": (F.lit(math.log10(1.9e-10)), 11.7)}[model]
     return F.pow(F.lit(10.0), a) * F.pow(l_shell, F.lit(b))
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series eight steps up, and the recurrence down."""
+    z = x + 8
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - 1 / (1680 * z * z * z * z * z * z * z)
+    down = x
+    for k in range(1, 8):
+        down = down * (x + k)
+    return series - F.log(down)
+
+
+def sine_flux(omni: Column, alpha: Column, order: Column) -> Column:
+    """Directional flux at a pitch angle in degrees whose sine to the power ``order`` integrates to the omnidirectional one."""
+    integral = math.sqrt(math.pi) * F.exp(log_gamma((order + 2) / 2) - log_gamma((order + 3) / 2))
+    return omni / (2 * math.pi * integral) * F.pow(F.sin(F.radians(alpha)), order)
+
+
+def gaussian_source(l_shell: Column, height: float = 1e-8, center: float = 5.0, width: float = 0.5) -> Column:
+    return height * F.exp(-(l_shell - center) * (l_shell - center) / (2.0 * width * width))
+
+
+def local_acceleration(l_shell: Column, kp: Column, size: float) -> Column:
+    """Source of particles around L = 5.6 that grows with the square of the index."""
+    return gaussian_source(l_shell, size, 5.6, 0.3) * kp * kp
+
+
+def energy_grid(spark, count: int = 36, low: float = 0.1, width: float = 3e-2, power: float = 1.27) -> DataFrame:
+    """(bin, low, center, width) of energy bins whose widths grow by a constant factor."""
+    wide = width * F.pow(F.lit(float(power)), F.col("id").cast("double"))
+    start = low + (wide - width) / (power - 1) if power != 1 else low + width * F.col("id")
+    return spark.range(count).select(F.col("id").alias("bin"), start.alias("low"), (start + wide / 2).alias("center"), wide.alias("width"))
+
+
+def radius_grid(spark, count: int = 20, low: float = 1.75, high: float = 6.5) -> DataFrame:
+    """(id, value): ``count`` + 1 radii, the last one a step beyond ``high``."""
+    return spark.range(count + 1).select("id", (low + F.col("id") * ((high - low) / (count - 1))).alias("value"))
+
+
+def local_time_grid(spark, count: int = 25) -> DataFrame:
+    """(id, angle, hours) around the clock, both ends included."""
+    share = F.col("id") / float(count - 1)
+    return spark.range(count).select("id", (share * (2 * math.pi)).alias("angle"), (share * 24.0).alias("hours"))

@@ -13,6 +13,10 @@ Vector = tuple[Column, Column, Column]
 #: nPa/cm3 to eV, keV and K; proton mass in kg; vacuum permeability.
 PER_DENSITY = {"ev": 6241.50935, "kev": 6.24150935, "k": 72429626.47}
 PROTON, MU0 = 1.6726e-27, 4e-7 * math.pi
+#: Fixed values of the ion scales: mass unit in kg, elementary charge, radius of the Earth in m.
+ION_UNIT, CHARGE, EARTH_M = 1.6276e-27, 1.6022e-19, 6378000.0
+#: Boltzmann's constant and the electron volt in J.
+BOLTZMANN, ELECTRON_VOLT = 1.380649e-23, 1.602176634e-19
 
 
 def cross(a: Vector, b: Vector) -> Vector:
@@ -128,3 +132,56 @@ def composition(kp: Column, f107: Column) -> tuple[Column, Column, Column]:
     heh = 0.618182 * oh * F.exp(-0.24 * kp - 0.011 * f107) + 0.011 * oh
     h = 1 / (1 + heh + oh)
     return h, heh * h, oh * h
+
+
+def plasma_frequency(rho: Column, mass: float = 3.1) -> Column:
+    """Ion plasma frequency, rad/s."""
+    return F.sqrt(4 * math.pi * (rho / mass * 1e6) * (CHARGE**2 / (mass * ION_UNIT)))
+
+
+def gyroradius(b: Column, *speeds: Column, mass: float = 3.1) -> Column:
+    """Ion gyroradius in Earth radii; several speeds are summed in quadrature."""
+    return hypot(*speeds) * 1000 * (mass * ION_UNIT) / (CHARGE * b * 1e-9) / EARTH_M
+
+
+def inertial_length(b: Column, rho: Column, mass: float = 3.1) -> Column:
+    """Speed of the Alfven wave over the ion plasma frequency, scaled by the Earth's radius."""
+    return alfven_speed(b, rho) / plasma_frequency(rho, mass) / EARTH_M
+
+
+def radial_speed(u: Vector, theta: Column, phi: Column) -> Column:
+    return u[0] * F.sin(theta) * F.cos(phi) + u[1] * F.sin(theta) * F.sin(phi) + u[2] * F.cos(theta)
+
+
+def radial_flux(value: Column, speed: Column, scale: float = 1000.0 * 100.0**3) -> Column:
+    """Flux through a sphere: per cm3 times km/s gives 1/(m2 s)."""
+    return value * speed * scale
+
+
+def horizontal_current(j: Vector) -> Column:
+    return hypot(*j)
+
+
+def azimuthal_current(jx: Column, jy: Column, longitude: Column) -> Column:
+    """Current along a circle of latitude, eastward positive; ``longitude`` in degrees."""
+    return jy * F.cos(F.radians(longitude)) - jx * F.sin(F.radians(longitude))
+
+
+def ion_speed(temperature: Column, units: str = "eV", mass: float = 1.0) -> Column:
+    """Thermal speed in m/s of ions of ``mass`` protons."""
+    joule = temperature * (ELECTRON_VOLT if units.lower() == "ev" else BOLTZMANN)
+    return F.sqrt(2 * joule / (mass * PROTON))
+
+
+def ion_energy(speed: Column, units: str = "eV", mass: float = 1.0) -> Column:
+    """Energy in eV, or as a temperature in K, of ions of a speed in m/s."""
+    return 0.5 * mass * PROTON * speed * speed / (ELECTRON_VOLT if units.lower() == "ev" else BOLTZMANN)
+
+
+def field_line(x: Column, y: Column, points: int = 30) -> Column:
+    """Array of (x, y) on the dipole field line through a point, from one pole to the other."""
+    r2 = x * x + y * y
+    size = F.sqrt(r2) * F.try_divide(r2, x * x)
+    start = F.when(x < 0, math.pi).otherwise(0.0)
+    angles = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: start + k * (math.pi / points))
+    return F.transform(angles, lambda a: F.struct((size * F.pow(F.sin(a), F.lit(3.0))).alias("x"), (size * F.pow(F.sin(a), F.lit(2.0)) * F.cos(a)).alias("y")))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.timescales import utc_us
-from tideframe.operators.series import carried
+from tideframe.operators.series import carried, row_numbers
+from tideframe.operators.statistics import draws
 
 
 def overlap(df: DataFrame, other: DataFrame, ts: str) -> DataFrame:
@@ -81,6 +82,14 @@ def interval_max(queries: DataFrame, series: DataFrame, ts: str, value: str, pri
     return q.select(key).join(hit.groupBy(key).agg(F.max("_v").alias(value)), key, "left")
 
 
+def _close(a: DataFrame, b: DataFrame, lags: DataFrame, half_us: int) -> DataFrame:
+    """Rows of ``a`` (time ``a``) with a lag and each ``b`` within ``half`` of time plus lag, met by buckets of the window's width."""
+    width = max(2 * half_us, 1)
+    at = a.crossJoin(F.broadcast(lags)).withColumn("at", F.col("a") + F.col("lag_us"))
+    near = at.withColumn("_b", F.explode(F.array(*(F.floor(F.col("at") / width) + k for k in (-1, 0, 1)))))
+    return near.join(b.withColumn("_b", F.floor(F.col("b") / width)), "_b").where(F.abs(F.col("b") - F.col("at")) <= half_us)
+
+
 def association(first: DataFrame, second: DataFrame, ts: str, lags_us: list[int], half_us: int) -> DataFrame:
     """(lag_us, total, expected): pairs of events of two processes, the second within ``half`` of the first plus a lag.
 
@@ -89,12 +98,9 @@ def association(first: DataFrame, second: DataFrame, ts: str, lags_us: list[int]
     """
     spark = first.sparkSession
     lags = spark.createDataFrame([(x,) for x in lags_us], "lag_us long")
-    width = max(2 * half_us, 1)
     a = first.select(utc_us(F.col(ts)).alias("a"))
     b = second.select(utc_us(F.col(ts)).alias("b"))
-    at = a.crossJoin(F.broadcast(lags)).withColumn("at", F.col("a") + F.col("lag_us"))
-    near = at.withColumn("_b", F.explode(F.array(*(F.floor(F.col("at") / width) + k for k in (-1, 0, 1)))))
-    hits = near.join(b.withColumn("_b", F.floor(F.col("b") / width)), "_b").where(F.abs(F.col("b") - F.col("at")) <= half_us)
+    hits = _close(a, b, lags, half_us)
     totals = lags.join(hits.groupBy("lag_us").count(), "lag_us", "left").select("lag_us", F.coalesce("count", F.lit(0)).alias("total"))
     span_a, span_b = a.agg(F.min("a").alias("a0"), F.max("a").alias("a1")), b.agg(F.min("b").alias("b0"), F.max("b").alias("b1"))
     ends = lags.crossJoin(span_a).crossJoin(span_b).select("lag_us", (F.greatest(F.col("a0") + F.col("lag_us"), "b0") - half_us).alias("start"), (F.least(F.col("a1") + F.col("lag_us"), "b1") + half_us).alias("stop"))
@@ -105,8 +111,8 @@ def association(first: DataFrame, second: DataFrame, ts: str, lags_us: list[int]
     return out.select("lag_us", "total", F.coalesce(F.try_divide(2.0 * n * half_us, F.col("stop") - F.col("start")), F.lit(0.0)).alias("expected"))
 
 
-def superposed_epochs(series: DataFrame, epochs: DataFrame, ts: str, value: str, keys: tuple[str, ...], half: int, aggregates: dict[str, Column]) -> DataFrame:
-    """(lag, aggregates) over the rows from ``half`` before to ``half`` after the sample nearest to each epoch.
+def superposed_epochs(series: DataFrame, epochs: DataFrame, ts: str, value: str, keys: tuple[str, ...], half: int, aggregates: dict[str, Column] | None) -> DataFrame:
+    """(lag, aggregates), or (lag, value) rows without aggregates, over the rows from ``half`` before to ``half`` after the sample nearest to each epoch.
 
     ``aggregates`` are over the column ``value``. Epochs whose rows would leave the series are dropped.
     """
@@ -117,4 +123,44 @@ def superposed_epochs(series: DataFrame, epochs: DataFrame, ts: str, value: str,
     anchors = anchors.where((F.col("row") > half) & (F.col("row") + half <= F.col("rows")))
     wanted = anchors.select(*keys, "row", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("lag")).select(*keys, (F.col("row") + F.col("lag")).alias("row"), "lag")
     hit = wanted.join(numbered.select(*keys, "row", "value"), [*keys, "row"])
-    return hit.groupBy("lag").agg(*(c.alias(n) for n, c in aggregates.items()))
+    return hit.select("lag", "value") if aggregates is None else hit.groupBy("lag").agg(*(c.alias(n) for n, c in aggregates.items()))
+
+
+def association_interval(first: DataFrame, second: DataFrame, ts: str, order: list[str], lags_us: list[int], half_us: int, reps: int, percent: float = 95.0, bucket: Column | None = None) -> DataFrame:
+    """(lag_us, total, low, high): associations at each lag and the middle ``percent`` of them when the first process is resampled.
+
+    An event's count at a lag is computed once; a replicate's total is the sum of counts times how often it drew the event.
+    """
+    spark = first.sparkSession
+    lags = spark.createDataFrame([(x,) for x in lags_us], "lag_us long")
+    a = row_numbers(first.select(*order, utc_us(F.col(ts)).alias("a")), order, bucket, "i").select("i", "a")
+    hits = _close(a, second.select(utc_us(F.col(ts)).alias("b")), lags, half_us).groupBy("lag_us", "i").agg(F.count("*").alias("c"))
+    drawn = draws(spark, reps, first.count()).groupBy("rep", "i").agg(F.count("*").alias("w"))
+    sums = drawn.join(hits, "i").groupBy("lag_us", "rep").agg(F.sum(F.col("w") * F.col("c")).alias("stat"))
+    every = lags.crossJoin(spark.range(reps).withColumnRenamed("id", "rep")).join(sums, ["lag_us", "rep"], "left")
+    tail = (1 - percent / 100) / 2
+    spread = every.groupBy("lag_us").agg(*(F.percentile(F.coalesce("stat", F.lit(0)), F.lit(q)).alias(n) for q, n in ((tail, "low"), (1 - tail, "high"))))
+    totals = hits.groupBy("lag_us").agg(F.sum("c").alias("total"))
+    return spread.join(totals, "lag_us", "left").select("lag_us", F.coalesce("total", F.lit(0)).alias("total"), "low", "high")
+
+
+def epochs_within(epochs: DataFrame, series: DataFrame, ts: str, margin_us: int) -> DataFrame:
+    """Epochs whose window of ``margin`` on both sides lies within the series."""
+    ends = series.agg(F.min(utc_us(F.col(ts))).alias("_low"), F.max(utc_us(F.col(ts))).alias("_high"))
+    us = utc_us(F.col(ts))
+    return epochs.join(F.broadcast(ends), (us >= F.col("_low") + margin_us) & (us <= F.col("_high") - margin_us)).drop("_low", "_high")
+
+
+def superposed_spectra(series: DataFrame, epochs: DataFrame, ts: str, values: str, keys: tuple[str, ...], half: int, aggregates: dict[str, Column], least: int = 1) -> DataFrame:
+    """(lag, channel, n, aggregates) as ``superposed_epochs`` does, for an array column; only cells of ``least`` values or more."""
+    rows = superposed_epochs(series, epochs, ts, values, keys, half, None)
+    cells = rows.select("lag", F.posexplode("value").alias("channel", "value")).where("value is not null")
+    return cells.groupBy("lag", "channel").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in aggregates.items())).where(F.col("n") >= least)
+
+
+def events_between(df: DataFrame, ts: str, start: str, stop: str, equal: dict[str, object] | None = None) -> DataFrame:
+    """Rows strictly between two times with the given values of some columns; all conditions reach the scan."""
+    out = df.where((F.col(ts) > F.lit(start).cast(df.schema[ts].dataType)) & (F.col(ts) < F.lit(stop).cast(df.schema[ts].dataType)))
+    for name, value in (equal or {}).items():
+        out = out.where(F.col(name) == value)
+    return out

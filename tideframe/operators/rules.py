@@ -88,8 +88,82 @@ def wrong_names(catalogue: DataFrame) -> DataFrame:
     return _of(catalogue, "FIELDNAM").where("fieldnam <> variable").select("variable", F.lit("fieldnam").alias("rule"), F.concat_ws(" ", F.lit("FIELDNAM"), "fieldnam").alias("message"))
 
 
+def _linked(catalogue: DataFrame, pattern: str) -> DataFrame:
+    """(variable, attr, other) of the references that match and whose target is there."""
+    names = catalogue.select(F.col("variable").alias("other")).distinct()
+    return catalogue.where(F.col("attr").rlike(pattern)).select("variable", "attr", F.col("value").alias("other")).join(names, "other")
+
+
+def wrong_deltas(catalogue: DataFrame) -> DataFrame:
+    """Uncertainties whose type, units, shape or number of records isn't that of their variable."""
+    refs = _linked(catalogue, "^DELTA_(PLUS|MINUS)_VAR$")
+    wide = catalogue.where(F.col("attr").isin("TYPE", "UNITS", "SHAPE", "RECORDS")).groupBy("variable").pivot("attr", ["TYPE", "UNITS", "SHAPE", "RECORDS"]).agg(F.min("value"))
+    mine = wide.select("variable", *(F.col(c).alias(f"own_{c}") for c in wide.columns[1:]))
+    rows = refs.join(mine, "variable", "left").join(wide.withColumnRenamed("variable", "other"), "other", "left")
+    records = F.col("RECORDS").isNotNull() & F.col("own_RECORDS").isNotNull() & (F.col("RECORDS") != F.col("own_RECORDS"))
+    differs = {"TYPE": ~F.col("TYPE").eqNullSafe(F.col("own_TYPE")), "UNITS": ~F.col("UNITS").eqNullSafe(F.col("own_UNITS")), "SHAPE": ~F.col("SHAPE").eqNullSafe(F.col("own_SHAPE")), "RECORDS": records}
+    found = F.filter(F.array(*(F.when(bad, F.concat_ws(" ", "attr", "other", F.lit(f"differs in {k}"))) for k, bad in differs.items())), lambda m: m.isNotNull())
+    return rows.select("variable", F.explode(found).alias("message")).select("variable", F.lit("deltas").alias("rule"), "message")
+
+
+def wrong_record_count(catalogue: DataFrame) -> DataFrame:
+    """Variables with other numbers of records than the variable they are recorded over."""
+    records = _of(catalogue, "RECORDS")
+    rows = _linked(catalogue, "^DEPEND_0$").join(records, "variable").join(records.select(F.col("variable").alias("other"), F.col("records").alias("there")), "other")
+    return rows.where("records <> there").select("variable", F.lit("recordcount").alias("rule"), F.concat_ws(" ", "records", F.lit("records but"), "there", F.lit("of"), "other").alias("message"))
+
+
+def wrong_sizes(catalogue: DataFrame) -> DataFrame:
+    """Dimensions whose size isn't that of the variable they depend on; SHAPE holds sizes between commas.
+
+    A dimension's variable may itself depend on one of lower layer: that one's size is taken out of its shape first.
+    """
+    sizes = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int"))
+    shapes = _of(catalogue, "SHAPE").select("variable", sizes(F.col("shape")).alias("shape"))
+    refs = _linked(catalogue, "^DEPEND_[1-9]$").withColumn("k", F.substring("attr", 8, 1).cast("int"))
+    layer = _of(catalogue, "DEPEND_1").join(shapes.select(F.col("variable").alias("depend_1"), F.col("shape").alias("under")), "depend_1").select(F.col("variable").alias("other"), "under")
+    rows = refs.join(shapes, "variable").join(shapes.select(F.col("variable").alias("other"), F.col("shape").alias("there")), "other").join(layer, "other", "left")
+    own, under = F.get("shape", F.col("k") - 1), F.get("under", F.lit(0))
+    drop = F.array_position("there", under)
+    left = F.when(F.col("under").isNull() | (drop == 0), F.col("there")).otherwise(F.filter("there", lambda x, i: i != drop - 1))
+    rows = rows.select("variable", "k", "other", own.alias("own"), left.alias("left"))
+    bad = F.when(F.size("left") != 1, F.concat_ws(" ", F.lit("dimension"), F.col("k").cast("string"), F.lit("depends on more than one of"), "other"))
+    bad = bad.when(F.col("own") != F.get("left", F.lit(0)), F.concat_ws(" ", F.lit("dimension"), F.col("k").cast("string"), F.lit("has"), F.col("own").cast("string"), F.lit("but"), "other", F.get("left", F.lit(0)).cast("string")))
+    return rows.select("variable", F.lit("depsize").alias("rule"), bad.alias("message")).where("message is not null")
+
+
+def wrong_display(catalogue: DataFrame) -> DataFrame:
+    """Variables of one value a record that aren't shown as time series, and others that aren't as spectrograms."""
+    rows = _of(catalogue, "DISPLAY_TYPE").join(_of(catalogue, "SHAPE"), "variable", "left")
+    single = F.coalesce(F.trim("shape"), F.lit("")) == ""
+    bad = rows.where(F.col("display_type") != F.when(single, "time_series").otherwise("spectrogram"))
+    return bad.select("variable", F.lit("validdisplaytype").alias("rule"), F.concat_ws(" ", F.when(single, "one value").otherwise("many values"), F.lit("a record shown as"), "display_type").alias("message"))
+
+
+def wrong_file_names(files: DataFrame) -> DataFrame:
+    """(path, message) for files (path, logical_source, logical_file_id) whose name doesn't follow their attributes."""
+    name = F.element_at(F.split("path", "/"), -1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    checks = F.array(
+        F.when(F.col("logical_source").isNull(), "no Logical_source").when(~name.startswith(F.col("logical_source")), F.concat(F.lit("Logical_source isn't the start of "), name)),
+        F.when(F.col("logical_file_id").isNull(), "no Logical_file_id").when(stem != F.col("logical_file_id"), F.concat(F.lit("Logical_file_id isn't the stem of "), name)),
+    )
+    return files.select("path", F.explode(F.filter(checks, lambda m: m.isNotNull())).alias("message"))
+
+
+def wrong_file_days(rows: DataFrame, path: str, ts: str) -> DataFrame:
+    """(path, days, message): files with times of several days, or of another day than the eight digits in their name."""
+    days = rows.groupBy(path).agg(F.count_distinct(F.to_date(ts)).alias("days"), F.min(F.date_format(ts, "yyyyMMdd")).alias("day"))
+    digits = F.regexp_extract(F.element_at(F.split(F.col(path), "/"), -1), r"\d{8}", 0)
+    bad = F.when(digits == "", "no date in the name").when(F.col("days") > 1, "several days").when(F.col("day") != digits, "another day")
+    return days.select(path, "days", bad.alias("message")).where("message is not null")
+
+
+CHECKS = (missing_references, empty_entries, wrong_fill, wrong_limits, wrong_names, wrong_deltas, wrong_record_count, wrong_sizes, wrong_display)
+
+
 def all_checks(catalogue: DataFrame) -> DataFrame:
-    out = missing_references(catalogue)
-    for check in (empty_entries, wrong_fill, wrong_limits, wrong_names):
+    out = CHECKS[0](catalogue)
+    for check in CHECKS[1:]:
         out = out.union(check(catalogue))
     return out

@@ -136,3 +136,18 @@ def sessions(df: DataFrame, ts: str, gap: str, keys: tuple[str, ...]) -> DataFra
     """Start, end and number of events of runs without a longer gap."""
     plain = F.col(ts).cast("timestamp")
     return df.select(*keys, plain.alias("t")).groupBy(*keys, F.session_window("t", gap)).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"))
+
+
+def row_numbers(df: DataFrame, order: list[str], bucket: Column | None = None, out: str = "row") -> DataFrame:
+    """``df`` with 0-based row numbers over the whole input, ordered by ``order``.
+
+    With ``bucket`` (monotone in ``order``) rows are numbered within their bucket and shifted by the counts of the buckets
+    before, so that no task gets more than one bucket; without it one task numbers everything, for samples alone.
+    """
+    if bucket is None:
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    rows = df.withColumn("_bucket", bucket)
+    before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("_bucket").count().select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn(out, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1)
+    return rows.join(counts, rows["_bucket"].eqNullSafe(counts["_b"])).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_b", "_before")

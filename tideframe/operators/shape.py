@@ -94,3 +94,23 @@ def finite_range(df: DataFrame, *columns: str) -> DataFrame:
     """Least and greatest finite value of each column."""
     ok = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c))
     return df.agg(*(f(ok(c)).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))))
+
+
+def tick_range(spark: SparkSession, start: str, end: str, step_us: int) -> DataFrame:
+    """(id, ts): times from ``start`` by ``step``; ``end`` is there if a step meets it."""
+    ends = spark.range(1).select(*(F.lit(x).cast("timestamp_ntz").alias(n) for n, x in (("a", start), ("b", end))))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    count = ends.select(F.floor((us("b") - us("a")) / F.lit(step_us)) + 1).first()[0]
+    return spark.range(max(count, 0)).select("id", F.timestamp_add("MICROSECOND", F.col("id") * step_us, F.lit(start).cast("timestamp_ntz")).alias("ts"))
+
+
+def random_times(spark: SparkSession, start: str, end: str, count: int, seed: int) -> DataFrame:
+    """(id, ts): ``count`` times spread evenly over [start, end), each from a hash of its number and the seed."""
+    a, b = (F.unix_micros(F.lit(x).cast("timestamp_ntz").cast("timestamp")) for x in (start, end))
+    share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return spark.range(count).select("id", F.timestamp_add("MICROSECOND", F.floor(share * (b - a)).cast("long"), F.lit(start).cast("timestamp_ntz")).alias("ts"))
+
+
+def flat_index(position: Column, index: Column, size: int) -> Column:
+    """Place in the flattened array of ``index`` on the last axis of ``size``, at row ``position``."""
+    return position * size + index

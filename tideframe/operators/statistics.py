@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.operators.series import row_numbers
+
 
 def median_absolute_deviation(df: DataFrame, value: str, keys: tuple[str, ...] = (), scale: bool = False) -> DataFrame:
     """(keys, median, mad): the median and the median distance from it."""
@@ -89,19 +91,19 @@ def draw(rep: Column, i: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", rep.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long"), n)
 
 
-def bootstrap(df: DataFrame, value: str, order: list[str], reps: int, agg: Column, size: int | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, order: list[str], reps: int, agg: Column, size: int | None = None, bucket: Column | None = None) -> DataFrame:
     """(rep, stat) of ``agg`` over ``value`` of rows drawn with replacement, ``size`` for each replicate.
 
-    For samples: the rows are numbered over the whole input.
+    Rows are numbered in ``order``; ``bucket`` (monotone in it) deals the numbering over tasks.
     """
-    from pyspark.sql import Window
+    rows = row_numbers(df.select(*order, F.col(value).alias("value")), order, bucket, "i").select("i", "value")
+    return draws(df.sparkSession, reps, rows.count(), size).join(rows, "i").groupBy("rep").agg(agg.alias("stat"))
 
-    rows = df.select(*order, F.col(value).alias("value")).withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1).select("i", "value")
-    n = rows.count()
-    spark = df.sparkSession
-    draws = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(spark.range(size or n))
-    draws = draws.select("rep", draw(F.col("rep"), F.col("id"), F.lit(n)).alias("i"))
-    return draws.join(rows, "i").groupBy("rep").agg(agg.alias("stat"))
+
+def draws(spark, reps: int, n: int, size: int | None = None) -> DataFrame:
+    """(rep, i): the row numbers that each replicate draws."""
+    every = spark.range(reps * (size or n))
+    return every.select(F.floor(F.col("id") / (size or n)).alias("rep"), (F.col("id") % (size or n)).alias("j")).select("rep", draw(F.col("rep"), F.col("j"), F.lit(n)).alias("i"))
 
 
 def interval(stats: DataFrame, percent: float = 90.0) -> DataFrame:
@@ -115,3 +117,40 @@ def normalized(df: DataFrame, value: str, keys: tuple[str, ...] = (), low: float
     ends = df.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
     rows = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))
     return rows.withColumn(out, low + (high - low) * F.try_divide(F.col(value) - F.col("_a"), F.col("_b") - F.col("_a"))).drop("_a", "_b")
+
+
+def poisson_rate(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, rate): the most likely rate of Poisson counts, which is their mean."""
+    return df.groupBy(*keys).agg(F.avg(value).alias("rate"))
+
+
+def spectrogram_slice(cells: DataFrame, at: float, axis: str, edges: tuple[float, float, int]) -> DataFrame:
+    """The cells of a spectrogram in the bin of ``axis`` (x_bin or y_bin) that holds ``at``."""
+    return cells.where(F.col(axis) == bin_of(F.lit(at), *edges))
+
+
+def histogram_interval(df: DataFrame, value: str, order: list[str], low: float, width: float, bins: int, reps: int, percent: float = 90.0, bucket: Column | None = None) -> DataFrame:
+    """(bin, n, low, high): the counts of all bins and the middle ``percent`` of their counts over resampled data.
+
+    Only (bin, row number) is resampled; counts are aggregated before they meet, so ``reps`` times ``bins`` rows are kept.
+    """
+    rows = row_numbers(df.select(*order, bin_of(F.col(value), low, width, bins).alias("bin")), order, bucket, "i").select("i", "bin")
+    spark = df.sparkSession
+    grid = spark.range(bins).withColumnRenamed("id", "bin")
+    hits = draws(spark, reps, rows.count()).join(rows.where("bin is not null"), "i").groupBy("rep", "bin").agg(F.count("*").alias("c"))
+    every = spark.range(reps * bins).select(F.floor(F.col("id") / bins).alias("rep"), (F.col("id") % bins).alias("bin"))
+    tail = (1 - percent / 100) / 2
+    counts = every.join(hits, ["rep", "bin"], "left").groupBy("bin").agg(*(F.percentile(F.coalesce("c", F.lit(0)), F.lit(q)).alias(n) for q, n in ((tail, "low"), (1 - tail, "high"))))
+    sample = rows.groupBy("bin").agg(F.count("*").alias("n"))
+    return grid.join(sample, "bin", "left").join(counts, "bin").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "low", "high")
+
+
+def on_grid(x: Column, low: float, step: float, count: int) -> Column:
+    """Nearest of ``count`` grid points from ``low`` by ``step``, the lower one at a tie."""
+    return low + step * F.least(F.greatest(F.ceil((x - low) / step - 0.5), F.lit(0)), F.lit(count - 1))
+
+
+def grid_means(df: DataFrame, at: str, value: str, low: float, step: float, count: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, at, value, n): observations moved to the nearest grid point and averaged there."""
+    rows = df.select(*keys, on_grid(F.col(at), low, step, count).alias(at), F.col(value).alias("_v"))
+    return rows.groupBy(*keys, at).agg(F.avg("_v").alias(value), F.count("_v").alias("n"))
