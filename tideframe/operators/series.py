@@ -63,18 +63,19 @@ def carried(df: DataFrame, keys: tuple[str, ...], order: str, what: dict[str, Co
     """
     names = list(what)
     df = df.withColumns({f"_{n}": c for n, c in what.items()})
-    pick = F.first if ahead else F.last
-    frame = (Window.currentRow, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, Window.currentRow)
+    # looking ahead is looking back in falling order: frames that grow cost one step a row, frames that shrink are made anew
+    turned = lambda c: F.col(c).desc() if ahead else F.col(c)
+    back = (Window.unboundedPreceding, Window.currentRow)
     if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(order).rangeBetween(*frame)
-        return df.withColumns({n: pick(f"_{n}", True).over(w) for n in names}).drop(*(f"_{n}" for n in names))
+        w = Window.partitionBy(*keys).orderBy(turned(order)).rangeBetween(*back)
+        return df.withColumns({n: F.last(f"_{n}", True).over(w) for n in names}).drop(*(f"_{n}" for n in names))
     df = df.withColumn("_bucket", bucket)
     edge = F.min_by if ahead else F.max_by
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(order).rangeBetween(*frame)
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(turned(order)).rangeBetween(*back)
     sums = df.groupBy(*keys, "_bucket").agg(*(edge(F.col(f"_{n}"), F.when(F.col(f"_{n}").isNotNull(), F.col(order))).alias(f"_edge_{n}") for n in names))
-    outer = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
-    entry = sums.select(*keys, "_bucket", *(pick(f"_edge_{n}", True).over(outer).alias(f"_in_{n}") for n in names))
-    df = df.withColumns({n: pick(f"_{n}", True).over(inner) for n in names}).join(entry, [*keys, "_bucket"])
+    outer = Window.partitionBy(*keys).orderBy(turned("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    entry = sums.select(*keys, "_bucket", *(F.last(f"_edge_{n}", True).over(outer).alias(f"_in_{n}") for n in names))
+    df = df.withColumns({n: F.last(f"_{n}", True).over(inner) for n in names}).join(entry, [*keys, "_bucket"])
     df = df.withColumns({n: F.coalesce(n, f"_in_{n}") for n in names})
     return df.drop("_bucket", *(f"_{n}" for n in names), *(f"_in_{n}" for n in names))
 
