@@ -66,3 +66,16 @@ def test_daily_drivers(spark, tmp_path):
     path = _file(tmp_path / "q.txt", *("# " + x for x in json.dumps(head, indent=1).splitlines()), "2012-09-01T00:00:00 3.5 1.0 2.0 2 1 0")
     row = G.read_daily_drivers(spark, path).select(F.col("dens"), "G1", "G2", "Qbits.*").first()
     assert list(row) == [3.5, 1.0, 2.0, 2, 1, 0]
+
+
+def test_field_potential_boundary_pressure(spark, tmp_path):
+    t89 = _file(tmp_path / "t89.dat", "year mo dy hr mn sc bx by bz", "2014 4 10 1 2 3 1.0 2.0 3.0 -4.0 -5.0 -6.0")
+    assert list(G.read_field_rows(spark, t89).first())[1:] == [dt.datetime(2014, 4, 10, 1, 2, 3), [1.0, 2.0, 3.0], [-4.0, -5.0, -6.0]]
+    for head, phi, mlt in ((" L MLT Epot", np.pi / 2, 6.0), (" L Phi Epot", 6.0, 72 / np.pi)):
+        row = G.read_potential(spark, _file(tmp_path / f"{head.split()[1]}.in", "UT = 0", head, " 2.0 6.0 -1.5")).first()
+        assert np.allclose([row["l"], row["phi"], row["mlt"], row["potential"]], [2.0, phi, mlt, -1.5])
+    bound = _file(tmp_path / "b.dat", "3.00000E+02 2014 4 10 0 5 0", " Units are Hours, cm-3, and eV", " lt RhoH pPar", "00 1.5E+00 *************", "01 2.5E+00 3.0E+03")
+    rows = G.read_boundary(spark, bound).orderBy("point").collect()
+    assert [r["values"] for r in rows] == [{"lt": 0.0, "RhoH": 1.5, "pPar": 100000.0}, {"lt": 1.0, "RhoH": 2.5, "pPar": 3000.0}] and rows[0]["time"] == dt.datetime(2014, 4, 10, 0, 5) and rows[0]["elapsed"] == 300.0
+    pressure = _file(tmp_path / "p.dat", "T= 0.0", "Lsh MLT PPER_H PPAR_E PTotal [keV/cm3]", "2.0 0.0 1.0 2.0 3.0")
+    assert G.read_pressure(spark, pressure).drop("path").first().asDict() == {"L": 2.0, "mlt": 0.0, "perH": 1.0, "pare": 2.0, "total": 3.0}

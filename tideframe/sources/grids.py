@@ -158,3 +158,55 @@ def read_daily_drivers(spark: SparkSession, paths: str | list[str], header: dict
         else:
             out.append(F.col(c).alias(renamed.get(c, c)))
     return rows.select(*out, *([F.struct(*bits).alias("Qbits")] if bits else []))
+
+
+def read_field_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, time, internal, external) of rows of a date, the internal field's three components and the external one's."""
+    rows = lines(spark, paths).select("path", tokens(F.col("value")).alias("t")).where((F.size("t") >= 12) & F.get("t", F.lit(0)).rlike(r"^\d{4}$"))
+    time = _time({p: F.get("t", F.lit(k)) for k, p in enumerate(PARTS[:6])})
+    vector = lambda k: F.transform(F.slice("t", k, 3), _number)
+    return rows.select("path", time.alias("time"), vector(7).alias("internal"), vector(10).alias("external"))
+
+
+def read_potential(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, l, phi, mlt, potential): L, an angle and a potential a row; the last header line tells if angles are local times."""
+    first = paths if isinstance(paths, str) else paths[0]
+    heads = [r["value"] for r in numbered(spark, first).orderBy("n").limit(20).collect()]
+    heads = [h for h in heads if not all(x.replace(".", "").lstrip("+-").upper().replace("E+", "").replace("E-", "").isdigit() for x in h.split())]
+    local = bool(heads) and "mlt" in heads[-1].lower()
+    t = [_number(F.get("t", F.lit(k))) for k in range(3)]
+    rows = lines(spark, paths).select("path", tokens(F.col("value")).alias("t")).where(F.size("t") >= 3).select("path", *(c.alias(n) for c, n in zip(t, ("l", "angle", "potential"), strict=True)))
+    rows = rows.where("l is not null and angle is not null and potential is not null")
+    turn = np.pi / 12.0
+    phi, mlt = (F.col("angle") * turn, F.col("angle")) if local else (F.col("angle"), F.col("angle") / turn)
+    return rows.select("path", "l", phi.alias("phi"), mlt.alias("mlt"), "potential")
+
+
+def read_boundary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, elapsed, time, values by name) of boundary files: a line of elapsed seconds and date, units, names, rows.
+
+    A value of asterisks did not fit its field and counts as 100000. Many files of one run stack by their time.
+    """
+    rows = numbered(spark, paths).withColumn("t", tokens(F.col("value")))
+    line = lambda k: F.max(F.when(F.col("n") == k, F.col("t")))
+    heads = rows.where("n < 3").groupBy("path").agg(line(0).alias("h"), line(2).alias("names"))
+    time = _time({p: F.get("h", F.lit(k + 1)) for k, p in enumerate(PARTS[:6])})
+    heads = heads.select("path", _number(F.get("h", F.lit(0))).alias("elapsed"), time.alias("time"), "names")
+    value = lambda x: F.when(x.rlike(r"^\*+$"), 100000.0).otherwise(_number(x))
+    body = rows.where("n > 2").select("path", "n", "t").join(heads, "path")
+    return body.select("path", "elapsed", "time", (F.col("n") - 3).alias("point"), F.map_from_arrays(F.slice("names", 1, F.size("t")), F.transform("t", value)).alias("values"))
+
+
+def pressure_name(name: str) -> str:
+    """Short names of pressure columns: without the leading p, lower case, with the species; electrons as e."""
+    kind, _, species = name.partition("_")
+    kind = kind[1:].lower() if kind[:1].lower() == "p" else kind.lower()
+    return {"lsh": "L"}.get(kind, kind) + ("e" if species.lower() == "e" else species)
+
+
+def read_pressure(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, columns) of pressure tables: a title, names with a unit at the end, rows; names are shortened."""
+    first = paths if isinstance(paths, str) else paths[0]
+    names = numbered(spark, first).where("n = 1").first()["value"].split()[:-1]
+    rows = lines(spark, paths).select("path", tokens(F.col("value")).alias("t")).where((F.size("t") >= len(names)) & _number(F.get("t", F.lit(0))).isNotNull())
+    return rows.select("path", *(_number(F.get("t", F.lit(k))).alias(pressure_name(n)) for k, n in enumerate(names)))
