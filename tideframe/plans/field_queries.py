@@ -213,13 +213,13 @@ def energy_grid(spark, sf_dir):
 with f as (select event_id, 1 + value / 10 b, 1 + user_id / 10.0 rho, value speed, user_id * 1.5 theta, value / 80 phi from events),
 w as (select *, sqrt(4 * pi() * (rho / 3.1 * 1e6) * (pow(1.6022e-19, 2) / (3.1 * 1.6276e-27))) w from f)
 select event_id, round(w, 4) plasma, round(sqrt(speed * speed + 900) * 1000 * 3.1 * 1.6276e-27 / (1.6022e-19 * b * 1e-9) / 6378000, 6) gyro,
- round(1e9 * b * 1e-12 / sqrt(rho * 4e-7 * pi() * 1.6726e-27 * 1e6) / w / 6378000, 6) inertia, round(speed * sin(theta) * cos(phi) + 20 * sin(theta) * sin(phi) - 10 * cos(theta), 6) radial,
+ round(1e3 * b * 1e-12 / sqrt(rho * 4e-7 * pi() * 1.6726e-27 * 1e6) / w / 6378000, 6) inertia, round(speed * sin(theta) * cos(phi) + 20 * sin(theta) * sin(phi) - 10 * cos(theta), 6) radial,
  round(sqrt(2 * speed * 1.602176634e-19 / 1.6726e-27), 2) ion, round(0.5 * 1.6726e-27 * pow(speed * 1000, 2) / 1.602176634e-19, 4) energy, round(20 * cos(radians(theta)) - speed * sin(radians(theta)), 6) azimuthal from w""")
 def ion_scales(spark, sf_dir):
     v, u = F.col("value"), F.col("user_id")
     b, rho, theta, phi = 1 + v / 10, 1 + u / 10.0, u * 1.5, v / 80
     return table(spark, sf_dir, "events").select(
-        "event_id", F.round(P.plasma_frequency(rho), 4).alias("plasma"), r6(P.gyroradius(b, v, F.lit(30.0))).alias("gyro"), r6(1e9 * P.inertial_length(b, rho)).alias("inertia"),
+        "event_id", F.round(P.plasma_frequency(rho), 4).alias("plasma"), r6(P.gyroradius(b, v, F.lit(30.0))).alias("gyro"), r6(1e3 * P.inertial_length(b, rho)).alias("inertia"),
         r6(P.radial_speed((v, F.lit(20.0), F.lit(-10.0)), theta, phi)).alias("radial"), F.round(P.ion_speed(v), 2).alias("ion"), F.round(P.ion_energy(v * 1000), 4).alias("energy"),
         r6(P.azimuthal_current(v, F.lit(20.0), theta)).alias("azimuthal"),
     )
