@@ -5,13 +5,14 @@ declared language (markup or metadata), the address suffix, and the host. Declar
 with the texts: their confusion rates come from counts over all documents. Priors are smoothed hierarchically, a host's
 towards its suffix's, that towards the whole table's, so that a host with few pages says little.
 
-Jobs: (1) the languages are the declared values that a share LEAST of all documents has; (2) pre-aggregated n-gram counts
-by language over all documents; (3) a map gives each document's log likelihoods, stored with its keys; (4) grouped counts
+Jobs: (1) the languages are the declared values of at least LEAST documents, however large the table; (2) pre-aggregated
+n-gram counts by language over all documents; a language whose n-grams weigh less than the smoothing has no model; (3) a map gives each document's log likelihoods, stored with its keys; (4) grouped counts
 of the likeliest language by declaration, suffix and host; (5) joins of these with the documents, broadcast only if they
 are measured to be small. Hot hosts are pre-aggregated, and their join can be split.
 
 A document is rejected when the posterior of its best language is under SURE, or when its text has no n-gram, or is less
-likely under the best language than under random bytes of the same classes.
+likely under the best language than under random bytes of the same classes. A document with n-grams whose declared
+language has no model can't be judged: its declaration is trusted, with confidence 1, and it is never rejected.
 
 Defined results: null or empty text has language "und", confidence 0 and is rejected; null declarations, hosts and
 suffixes say nothing; repeated rows get equal results; extra columns are ignored; an empty table gives an empty result.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from tideframe.llm.shared import prepare, small, stored
 from tideframe.llm.textops import LETTERS, chunks, text_buffers
 
-#: Share of all documents that declare a language which gets a model, and the number of these at most.
-LEAST, MOST = 0.002, 64
+#: Documents that declare a language which gets a model.
+LEAST = 5
 #: Hashed n-grams of each length, and the pseudo-count of each bucket.
 BUCKETS, GRAMS, SMOOTH = 1 << 13, (2, 3), 0.5
 #: A text counts as at most so many independent n-grams.
@@ -75,16 +76,27 @@ def _count(languages: list[str]):
             flat, bounds = text_buffers(batch.column(0))
             label = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()])
             for lo, hi in chunks(bounds):
+                here, own = np.unique(label[lo:hi], return_inverse=True)
                 for g, d in grams(flat, bounds, lo, hi):
-                    y = label[lo:hi][d]
-                    total += np.bincount(y[y >= 0] * size + g[y >= 0], minlength=total.size).reshape(total.shape)
+                    found = np.bincount(own[d] * size + g, minlength=len(here) * size).reshape(-1, size)
+                    total[here[here >= 0]] += found[here >= 0]
         y, g = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(total[y, g])], ["y", "g", "n"])
 
     return job
 
 
-def _likelihoods(logs: np.ndarray, floor: float):
+def _model(y: tuple, table: pa.Table) -> pa.Table:
+    """The log probabilities of one language's n-grams; none where the counts weigh less than the smoothing."""
+    counts = np.zeros(BUCKETS * len(GRAMS))
+    counts[table.column("g").to_numpy()] = table.column("n").to_numpy()
+    known = int(counts.sum() >= SMOOTH * len(counts))
+    parts = (counts + SMOOTH).reshape(len(GRAMS), BUCKETS)
+    logs = np.log(parts / parts.sum(1, keepdims=True)).ravel()
+    return pa.table({"y": pa.array([y[0].as_py()] * known, pa.int32()), "logs": pa.array([logs.tobytes()] * known, pa.binary())})
+
+
+def _likelihoods(logs: np.ndarray):
     """Mean log likelihoods of a document's n-grams under each language, and the number of its n-grams."""
     table = np.ascontiguousarray(logs.T)  # bucket by language
 
@@ -110,8 +122,9 @@ def _likelihoods(logs: np.ndarray, floor: float):
 
 def _tally(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Documents of each key by likeliest language."""
-    counts = F.array(*(F.sum((F.col("best") == k).cast("long")) for k in range(n)))
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(counts.alias(f"{key}_n"))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key, "best").agg(F.count("*").alias("n"))
+    by = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "n")))).alias("by"))
+    return by.select(key, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0).cast("long"))).alias(f"{key}_n"))
 
 
 def identify(docs: DataFrame, text: str | Column = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, key: str = "doc_id") -> DataFrame:
@@ -126,25 +139,30 @@ def identify(docs: DataFrame, text: str | Column = "text", declared: Column | No
     rows = docs.select(F.col(key).alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text"), F.when(tongue != "", tongue).alias("declared"), plain(host).alias("host"), plain(suffix).alias("suffix"))
 
     said = rows.where("declared is not null").groupBy("declared").count()
-    total = said.agg(F.sum("count")).first()[0] or 0
-    languages = sorted(x["declared"] for x in said.where(F.col("count") >= LEAST * total).orderBy(F.desc("count"), "declared").limit(MOST).collect())
+    languages = sorted(x["declared"] for x in said.where(F.col("count") >= LEAST).select("declared").collect())
+    models = []
+    if languages:
+        counts = rows.select("text", "declared").mapInArrow(_count(languages), "y int, g int, n long").groupBy("y", "g").agg(F.sum("n").alias("n"))
+        models = sorted(counts.groupBy("y").applyInArrow(_model, "y int, logs binary").collect())  # one row of 128 KB for each language
+    languages = [languages[x["y"]] for x in models]
     n = len(languages)
-    if not n:  # nothing to learn from
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"), F.create_map().cast("map<string,double>").alias("posterior"))
-
-    counts = rows.select("text", "declared").mapInArrow(_count(languages), "y int, g int, n long").groupBy("y", "g").agg(F.sum("n").alias("n"))
-    logs = np.full((n, BUCKETS * len(GRAMS)), SMOOTH)
-    for x in counts.collect():  # at most languages x buckets
-        logs[x["y"], x["g"]] += x["n"]
-    parts = logs.reshape(n, len(GRAMS), BUCKETS)
-    logs = np.log(parts / parts.sum(2, keepdims=True)).reshape(n, -1)
+    logs = np.array([np.frombuffer(x["logs"]) for x in models]).reshape(n, BUCKETS * len(GRAMS))
     floor = -math.log(BUCKETS)
-    seen = rows.mapInArrow(_likelihoods(logs, floor), "doc_id long, declared string, host string, suffix string, mean array<double>, grams long")
+    seen = rows.mapInArrow(_likelihoods(logs), "doc_id long, declared string, host string, suffix string, mean array<double>, grams long")
+    if not n:  # nothing but the declarations to go by
+        known = F.col("declared").isNotNull() & (F.col("grams") > 0)
+        nowhere = F.create_map().cast("map<string,double>")
+        return seen.select(
+            "doc_id", F.when(known, F.col("declared")).otherwise(UNKNOWN).alias("language"), F.when(known, 1.0).otherwise(0.0).alias("confidence"), (~known).alias("rejected"),
+            F.when(known, F.create_map("declared", F.lit(1.0))).otherwise(nowhere).alias("posterior"),
+        )
+
     best = F.array_position("mean", F.array_max("mean")).cast("int") - 1
     seen = stored(seen.withColumn("best", F.when(F.col("grams") > 0, best)), "language-likelihoods")
 
-    world = seen.agg(F.array(*(F.sum((F.col("best") == k).cast("long")) for k in range(n))).alias("n")).first()["n"]
-    world = np.array([x or 0 for x in world]) + 1.0
+    world = np.ones(n)
+    for x in seen.where("best is not null").groupBy("best").count().collect():
+        world[x["best"]] += x["count"]
     top = F.array(*(F.lit(float(x)) for x in world / world.sum()))
     each = F.sequence(F.lit(0), F.lit(n - 1))
     smooth = lambda c, parent, m: F.when(F.col(c).isNull(), parent).otherwise(
@@ -166,7 +184,11 @@ def identify(docs: DataFrame, text: str | Column = "text", declared: Column | No
     confidence = F.when(F.col("grams") > 0, F.array_max("p")).otherwise(0.0)
     language = F.when(F.col("grams") > 0, F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1)).otherwise(UNKNOWN)
     strange = F.array_max("mean") < floor
-    return out.select("doc_id", language.alias("language"), confidence.alias("confidence"), ((confidence < SURE) | strange).alias("rejected"), F.map_from_arrays(names, "p").alias("posterior"))
+    alone = (F.col("grams") > 0) & F.col("declared").isNotNull() & ~F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False))
+    return out.select(
+        "doc_id", F.when(alone, F.col("declared")).otherwise(language).alias("language"), F.when(alone, 1.0).otherwise(confidence).alias("confidence"), (~alone & ((confidence < SURE) | strange)).alias("rejected"),
+        F.when(alone, F.create_map("declared", F.lit(1.0))).otherwise(F.map_from_arrays(names, "p")).alias("posterior"),
+    )
 
 
 def host_of(url: Column) -> Column:
