@@ -263,6 +263,18 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return found.groupBy("a", "salt").applyInArrow(_verify(size, percent), "a long, b long")
 
 
+def _lots(left: DataFrame) -> DataFrame:
+    """Each row of ``left`` in all tile pairs of its key, which are dealt into lots of about LOT rows each.
+
+    A row comes as often as its key has tiles, so the lots are counted by these.
+    """
+    rows = left.agg(F.sum(F.col("tiles").cast("long"))).first()[0] or 0
+    left = left.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = left.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    return left.withColumn("lot", F.pmod(F.xxhash64("key", "i", "j"), F.lit(-(-rows // LOT) or 1))).drop("other", "tiles")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of ``docs``, which has ``doc_id`` and ``text``."""
     prepare(docs.sparkSession)
@@ -294,11 +306,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     marked = members.join(small(comp, 24), members["doc_id"] == comp["v"], "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("low < high")
     left = stored(marked.join(mixed.select("key", "tiles"), "key"), "across")
-    lots = max(1, left.count() // LOT)
-    left = left.join(sketches, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = left.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "comp", "n", "sketch")
-    across = left.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(lots)).alias("lot")).applyInArrow(_tile(percent), "a long, b long")
+    left = _lots(left).join(sketches, "doc_id").select("lot", "key", "i", "j", "tile", "doc_id", "comp", "n", "sketch")
+    across = left.groupBy("lot").applyInArrow(_tile(percent), "a long, b long")
     more = stored(_linked(one, across, size, percent), "links")
 
     comp = components(links.union(more)) if not more.isEmpty() else comp
