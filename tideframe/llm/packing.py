@@ -34,13 +34,12 @@ _tokenizers: dict[str, tuple] = {}
 
 
 def tokenizer(path: str) -> tuple:
-    """(fast encoder, exact encoder) of a byte-level BPE file, loaded once in each Python process."""
+    """(fast encoder, exact encoder, texts of added tokens) of a byte-level BPE file, loaded once in each Python process."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        _tokenizers[path] = (_ranked(path), slow)
+        _tokenizers[path] = (_ranked(path), slow, [x.content for x in slow.get_added_tokens_decoder().values()])
     return _tokenizers[path]
 
 
@@ -60,9 +59,9 @@ def _ranked(path: str):
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """Ids of a text. Only texts of code points that both libraries class alike go to the faster one."""
-    fast, slow = tokenizer(path)
-    if fast is not None and (text.isascii() or max(text) < " ") and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):
+    """Ids of a text. Only texts without added tokens, of code points that both libraries class alike, go to the faster one."""
+    fast, slow, added = tokenizer(path)
+    if fast is not None and (text.isascii() or max(text) < " ") and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85") and not any(x in text for x in added):
         return np.array(fast.encode_ordinary(text), np.uint32)
     return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
