@@ -109,7 +109,7 @@ def test_media(spark, docs):
 
 
 def test_substrings(spark, docs):
-    from tideframe.llm.substring_dedup import brute_force, remove_repeats
+    from tideframe.llm.substring_dedup import brute_force, lengths, remove_repeats
 
     rows = remove_repeats(docs, 50, carry=("lang", "key")).collect()
     assert _ids(rows) == _ids(docs.collect()) and set(rows[0].asDict()) == {"doc_id", "n_words", "n_removed", "kept_text", "lang", "key"}
@@ -120,6 +120,9 @@ def test_substrings(spark, docs):
         else:
             assert r["n_removed"] == 0
     assert remove_repeats(_empty(spark), 50).count() == 0
+    assert lengths(50) == [12, 25, 50] and lengths(6) == [3, 6] and lengths(101) == [12, 25, 50, 101]
+    long = brute_force(list(_texts(docs).items()), 101)
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs, 101).collect() if r["doc_id"] is not None} == {d: v[1] for d, v in long.items()}
     short = brute_force(list(_texts(docs).items()), 6)
     assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs, 6).collect() if r["doc_id"] is not None} == {d: v[1] for d, v in short.items()}
 
@@ -153,7 +156,6 @@ def test_packing(spark, docs):
 
     path = str(P.path("byte_bpe_50k.json"))
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     rows = pack(docs, path).collect()
     texts = _texts(docs)
     pieces = {}

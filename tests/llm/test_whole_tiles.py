@@ -1,5 +1,6 @@
-"""The tile comparison of a hot block value is dealt into groups of bounded size."""
+"""The tile comparison of a hot block value is dealt into groups of bounded size and gives few pairs."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tideframe.llm import jaccard_join as J
@@ -27,3 +28,28 @@ def test_hot_block_value(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(docs, 4, 85).collect()}
     assert out == J.brute_force(rows, 4, 85) and len({c for _, c in out.values()}) == 12
+
+
+def test_forest_of_a_tile():
+    """Documents of one block value that are all alike but in no component yet give a pair each, not all pairs."""
+    for n in (200, 400):
+        ids, size = np.arange(n), np.full(n, 100)
+        bits, every = np.zeros((n, 8), np.uint8), np.arange(n)
+        assert len(J._within(ids, ids, size, bits, every, every, True, 85, True)) == n - 1
+        two = np.where(ids < n // 2, 0, n // 2)
+        assert len(J._within(ids, two, size, bits, every, every, True, 85, True)) == 1
+
+
+def test_owners_of_hot_keys(spark):
+    """A key that holds most rows is split; owners are those of a plain grouping."""
+    from tideframe.llm.shared import HOT, with_owner
+
+    n = 6 * HOT
+    rows = spark.range(n).select(F.when(F.col("id") % 3 < 2, -1).otherwise(F.floor(F.col("id") / 12)).cast("long").alias("k"), F.col("id").alias("doc_id"))
+    out = with_owner(rows, ["k"], "doc_id")
+    expected = {}
+    for d in range(n):
+        expected.setdefault(-1 if d % 3 < 2 else d // 12, []).append(d)
+    assert sorted((r["k"], r["doc_id"], r["owner"]) for r in out.collect()) == sorted((k, d, v[0]) for k, v in expected.items() if len(v) > 1 for d in v)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < n

@@ -13,8 +13,10 @@ Jobs: (1) documents with equal sets become one class, held by the smallest id; (
 block values of two or more classes, and a join brings them to their classes; (3) within each block value all classes
 are held against the smallest one: first by parity bit sketches (one bit per shingle, whose Hamming distance also bounds
 the difference from below), then exactly, on the texts; verified links give components; (4) where the other classes of
-one block value are of several components, pairs across these are compared by sketches, in tiles of bounded size, and
-the pairs that pass are verified exactly; (5) final components. Copies and linked families are never expanded into all pairs.
+one block value are of several components, pairs across these are compared by sketches, in tiles of bounded size. Each
+tile first gives only a forest of the pairs that pass, one pair at most for each component it could join, and these are
+verified exactly; only tiles that gave any are compared again under the new components, for all pairs that still pass;
+(5) final components. Copies and linked families are never expanded into all pairs.
 
 Defined results: null or empty text and text of white space have an empty set, link with nothing and are their own
 component; fewer words than a shingle make one shingle of the whole sequence; rows that repeat a ``doc_id`` with the
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.components import components
-from tideframe.llm.shared import documents, prepare, small, stored
+from tideframe.llm.shared import documents, prepare, small, stored, with_owner
 from tideframe.llm.textops import LOWER_CODE, Words, chunks, mix, pair, text_buffers
 
 _U = np.uint64
@@ -173,8 +175,11 @@ def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def _within(ids, comp, n, bits, left: np.ndarray, right: np.ndarray, same: bool, percent: int, out: list) -> None:
-    """Pairs of one key's tile, across components, whose sketches may belong to linked sets."""
+def _within(ids, comp, n, bits, left: np.ndarray, right: np.ndarray, same: bool, percent: int, forest: bool) -> np.ndarray:
+    """Pairs of one key's tile, across components, whose sketches may belong to linked sets; in a forest only the first pair
+    that could join two components, so fewer pairs than there are components."""
+    out = []
+    comp = comp.copy()
     for x in left:
         y = right[ids[right] > ids[x]] if same else right
         y = y[comp[y] != comp[x]]
@@ -182,26 +187,31 @@ def _within(ids, comp, n, bits, left: np.ndarray, right: np.ndarray, same: bool,
         near = np.abs(n[y] - n[x]) <= most
         y, most = y[near], most[near]
         y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) <= most]
+        if forest and len(y):
+            joined, first = np.unique(comp[y], return_index=True)
+            y = y[first]
+            comp[np.isin(comp, joined)] = comp[x]
         out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def _tile(percent: int):
+def _tile(percent: int, forest: bool):
     def job(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
         key, i, j, side, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "tile", "doc_id", "comp", "n"))
         sketches = table.column("sketch").to_pylist()
         cut = np.r_[0, np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1, len(key)]
-        out: list[np.ndarray] = []
+        pairs, where = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             if hi - lo > 1:
                 raw = [np.frombuffer(x, np.uint8) for x in sketches[lo:hi]]
                 size = min(map(len, raw))
                 bits = np.stack([_fold(x, size) for x in raw])
                 left, right = np.flatnonzero(side[lo:hi] == i[lo]), np.flatnonzero(side[lo:hi] == j[lo])
-                _within(ids[lo:hi], comp[lo:hi], n[lo:hi], bits, left, right, i[lo] == j[lo], percent, out)
-        both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        both = np.unique(both, axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+                pairs.append(_within(ids[lo:hi], comp[lo:hi], n[lo:hi], bits, left, right, i[lo] == j[lo], percent, forest))
+                where.append(np.full(len(pairs[-1]), lo))
+        both, at = np.concatenate(pairs), np.concatenate(where)
+        return pa.table({"key": pa.array(key[at]), "i": pa.array(i[at], pa.int32()), "j": pa.array(j[at], pa.int32()), "a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
     return job
 
@@ -280,8 +290,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     prepare(docs.sparkSession)
     docs = documents(docs, "doc_id", "text")
     profile = stored(docs.mapInArrow(_profiles(size), "doc_id long, n_shingles long, set_a long, set_b long"), "profiles")
-    classes = profile.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.max("doc_id").alias("last"))
-    copies = profile.join(classes.where("class_id < last"), ["set_a", "set_b"]).where("doc_id > class_id").select("doc_id", "class_id")
+    sets = profile.where("n_shingles > 0 and doc_id is not null").select("set_a", "set_b", "doc_id")
+    copies = with_owner(sets, ["set_a", "set_b"], "doc_id").where("doc_id > owner").select("doc_id", F.col("owner").alias("class_id"))
     copies = stored(copies.distinct(), "copies")
 
     docs = docs.where("doc_id is not null")
@@ -306,11 +316,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     marked = members.join(small(comp, 24), members["doc_id"] == comp["v"], "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("low < high")
     left = stored(marked.join(mixed.select("key", "tiles"), "key"), "across")
-    left = _lots(left).join(sketches, "doc_id").select("lot", "key", "i", "j", "tile", "doc_id", "comp", "n", "sketch")
-    across = left.groupBy("lot").applyInArrow(_tile(percent), "a long, b long")
-    more = stored(_linked(one, across, size, percent), "links")
-
-    comp = components(links.union(more)) if not more.isEmpty() else comp
+    tile = ["lot", "key", "i", "j", "tile", "doc_id", "comp", "n", "sketch"]
+    pair = "key long, i int, j int, a long, b long"
+    left = _lots(left).join(sketches, "doc_id").select(*tile)
+    forest = stored(left.groupBy("lot").applyInArrow(_tile(percent, True), pair), "forest")
+    busy = stored(forest.select("key", "i", "j").distinct(), "busy-tiles")
+    if not busy.isEmpty():
+        links = links.union(stored(_linked(one, forest.select("a", "b"), size, percent), "links"))
+        now = stored(components(links).select(F.col("v").alias("doc_id"), F.col("comp").alias("now")), "components")
+        left = left.join(small(busy, 24), ["key", "i", "j"], "left_semi").join(small(now, 24), "doc_id", "left").withColumn("comp", F.coalesce("now", "doc_id"))
+        across = left.select(*tile).groupBy("lot").applyInArrow(_tile(percent, False), pair).select("a", "b").join(forest.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        links = links.union(stored(_linked(one, across, size, percent), "links"))
+        comp = components(links)
     comp = stored(comp, "components")
     out = profile.join(small(copies, 24), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(small(comp, 24), out["class_id"] == comp["v"], "left")

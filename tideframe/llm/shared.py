@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2000
 #: A side is broadcast only when its measured bytes are at most this; otherwise the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Rows of one key from which a join splits it, and keys that can be so at most.
+HOT, MOST_HOT = 2000, 50000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -20,9 +23,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only if it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a temporary folder serves a local master, whose tasks all run here; a cluster gets an error, since its
+    executors would each write to a disk of their own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tideframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -43,3 +52,23 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone; extra columns of the table, whatever their names, never meet those of an operator."""
     return df.select(*columns)
+
+
+def with_owner(rows: DataFrame, keys: list[str], *salt: str) -> DataFrame:
+    """The rows whose keys stand in two documents or more, with ``owner``, the smallest ``doc_id`` of each key.
+
+    A key of more than HOT rows, and more than a MOST_HOT th of all repeated rows, meets its owner in many tasks: there are at
+    most MOST_HOT such keys, so they can be broadcast, and each gets a copy of its owner for each part of its rows, which
+    are dealt by the ``salt`` columns.
+    """
+    found = rows.groupBy(*keys).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    found = stored(found.where("owner < last").drop("last"), "repeated")
+    most = max(HOT, (found.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
+    found = found.withColumn("parts", F.ceil(F.col("n") / most)).drop("n")
+    hot = found.where("parts > 1").select(*keys, "parts")
+    if hot.isEmpty():
+        return rows.join(found.drop("parts"), keys)
+    part = F.coalesce(F.pmod(F.xxhash64(*salt), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    rows = rows.join(F.broadcast(hot), keys, "left").select(*rows.columns, part)
+    owners = found.select(*keys, "owner", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
+    return rows.join(owners, [*keys, "part"]).drop("part")

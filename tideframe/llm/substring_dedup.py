@@ -3,16 +3,15 @@
 A window is ``length`` consecutive words of one document. Words covered by a window whose word sequence also starts in
 a document with a smaller id are removed; windows are judged on the input.
 
-Levels. At the first level windows have ``length / 2`` words. Of these only the content-defined ones are counted: the
-windows whose hash is smallest among ``length / 2 + 1`` neighbours, so that every window of ``length`` words holds at
-least one of them, wherever it stands. Windows that are repeated in another document survive. A window of twice the
-length is a candidate only if the half window with the smallest hash in it survived. Candidates carry 128 bits of hash;
-the smallest document id for each of them decides.
+Levels. Window lengths double from FIRST words or more to ``length``: 12, 25, 50. Only windows repeated in another document
+at one level are extended to the next; it ends early when none survives. Below the last level not all windows are counted
+but the content-defined ones: in each window that the next level would count, the one of the smallest hash, so that every
+repeated window of ``length`` words holds a counted one at each level, wherever it stands. Windows of the last level carry
+128 bits of hash; the smallest document id for each of them decides.
 
-Jobs: (1) a map over the texts gives the distinct counted half windows of each document; (2) a partly pre-aggregated
-grouping finds the repeated ones, and a join brings them back to their documents; (3) a map over the documents that
-have some gives the candidate windows; (4) the same grouping and join give each window's owner; (5) runs of covered
-words meet the texts again. Hot windows are pre-aggregated in the map tasks and joined by joins that Spark can split.
+Jobs, for each level: (1) a map over the texts that still have survivors gives their windows of this level; (2) a partly
+pre-aggregated grouping finds the repeated ones with their smallest document, and a join brings these back; keys that hold
+more than their share of the rows are split in it over many tasks. Then (3) runs of covered words meet the texts again.
 
 Defined results: null or empty text has no words and keeps an empty text; documents under ``length`` words lose
 nothing; rows without a ``doc_id`` lose nothing and remove nothing; repeats inside one document alone are kept; equal rows of one ``doc_id`` never remove each other; extra
@@ -29,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.shared import BROADCAST_BYTES, documents, prepare, stored
+from tideframe.llm.shared import BROADCAST_BYTES, documents, prepare, stored, with_owner
 from tideframe.llm.textops import Words, chunks, mix, pair, text_buffers
 
 _U = np.uint64
+#: Least words of a window at the first level.
+FIRST = 12
 
 
 def window_hash(words: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -55,82 +56,89 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     return x if size == n else best(x[: len(x) - (n - size)], x[n - size :])
 
 
-class _Halves:
-    """The half windows of a chunk of documents laid out flat; windows across two documents are masked."""
+def lengths(length: int) -> list[int]:
+    """Window lengths of the levels: ``length`` and its halves down to FIRST words or more."""
+    out = [length]
+    while len(out) < 2 or out[0] // 2 >= FIRST:
+        out.insert(0, out[0] // 2)
+    return out
 
-    def __init__(self, flat, bounds, lo, hi, length):
-        self.half = half = length // 2
-        self.words = w = Words(flat, bounds, lo, hi)
-        self.hash = h = w.hashes()
-        self.counts, self.first = w.counts, w.first
-        self.at = window_hash(h, half)
-        n = len(self.at)
-        doc = w.doc_of()
-        self.doc = doc
-        whole = np.zeros(0, bool) if len(h) < length else doc[: len(h) - length + 1] == doc[length - 1 :]
-        self.whole = whole  # a window of full length starts here
-        self.counted = np.zeros(n, bool)
-        if whole.any():
-            # the minimum over the half windows of each full window, within one document
-            low = _sliding(self.at, length - half + 1, np.minimum)[: len(whole)]
-            self.low = low = np.where(whole, low, _U(0))
-            span = length - half + 1
-            wide = np.zeros(n + 2 * (span - 1), _U)
-            wide[span - 1 : span - 1 + len(low)] = low
-            self.counted = (self.at == _sliding(wide, span, np.maximum)[:n]) & self._covered(whole, span, n)
-
-    @staticmethod
-    def _covered(whole: np.ndarray, span: int, n: int) -> np.ndarray:
-        step = np.zeros(n + 1, np.int64)
-        starts = np.flatnonzero(whole)
-        np.add.at(step, starts, 1)
-        np.add.at(step, np.minimum(starts + span, n), -1)
-        return np.cumsum(step[:n]) > 0
-
-
-def _count_halves(length: int):
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, bounds = text_buffers(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in chunks(bounds):
-                x = _Halves(flat, bounds, lo, hi, length)
-                at = np.flatnonzero(x.counted)
-                if len(at):
-                    d, h = x.doc[at], x.at[at]
-                    order = np.lexsort((h, d))
-                    d, h = d[order], h[order]
-                    new = np.ones(len(d), bool)
-                    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[lo:hi][d[new]])], ["h", "doc_id"])
 
-    return job
+class _Levels:
+    """The windows of a chunk of documents laid out flat; windows across two documents are masked.
+
+    ``at[k]`` are the counted window starts of level k, ``low[k]`` the smallest level-k hash within each level k + 1 window.
+    """
 
+    def __init__(self, flat, bounds, lo, hi, sizes):
+        self.words = w = Words(flat, bounds, lo, hi)
+        self.hash = h = w.hashes()
+        self.first, self.doc = w.first, w.doc_of()
+        length = sizes[-1]
+        whole = np.zeros(0, bool) if len(h) < length else self.doc[: len(h) - length + 1] == self.doc[length - 1 :]
+        self.hashes: list[np.ndarray] = []
+        self.low: list[np.ndarray] = []
+        self.at = [np.flatnonzero(whole)]
+        if not len(self.at[0]):
+            return
+        for n, above in zip(sizes[:-1], sizes[1:], strict=True):
+            self.hashes.append(window_hash(h, n))
+            self.low.append(_sliding(self.hashes[-1], above - n + 1, np.minimum))
+        for k in range(len(sizes) - 2, -1, -1):
+            self.at.insert(0, self._smallest(k, sizes[k + 1] - sizes[k] + 1))
+
+    def _smallest(self, k: int, span: int) -> np.ndarray:
+        """Starts of the level-k windows that are the smallest in some counted window of the level above."""
+        above, h, n = self.at[0], self.hashes[k], len(self.hashes[k])
+        if len(above) * 4 < n:
+            spots = above[:, None] + np.arange(span)
+            return np.unique(spots[h[spots] == self.low[k][above][:, None]])
+        low = np.zeros(n + span - 1, _U)
+        low[span - 1 + above] = self.low[k][above]
+        # the largest of the minima of the windows above that hold this one
+        held = np.zeros(n + span, np.int64)
+        np.add.at(held, above, 1)
+        np.add.at(held, above + span, -1)
+        return np.flatnonzero((np.cumsum(held[:n]) > 0) & (h == _sliding(np.r_[low, np.zeros(span, _U)], span, np.maximum)[:n]))
+
+
+def _alive(keys: np.ndarray, docs: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Which keys' 32 low bits stand in the list of their document."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    salt = mix(np.arange(len(sizes), dtype=_U) + _U(77))
+    keep = np.sort(mix((lists.flatten().to_numpy().astype(np.int64) + (1 << 31)).view(_U) + np.repeat(salt, sizes)))
+    if not len(keep):
+        return np.zeros(len(keys), bool)
+    key = mix((keys & _U(0xFFFFFFFF)) + salt[docs])
+    return keep[np.minimum(np.searchsorted(keep, key), len(keep) - 1)] == key
+
+
+def _windows(sizes: list[int], level: int):
+    """(doc_id, text) and above the first level also the survivors of the level below, to the windows of ``level``."""
+    last = level == len(sizes) - 1
 
-def _candidates(length: int):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, bounds = text_buffers(batch.column(1))
-            ids, alive = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in chunks(bounds):
-                x = _Halves(flat, bounds, lo, hi, length)
-                if not x.whole.any():
+                x = _Levels(flat, bounds, lo, hi, sizes)
+                at = x.at[level] if x.low else x.at[0]
+                if level and len(at):
+                    at = at[_alive(x.low[level - 1][at], x.doc[at], batch.column(2).slice(lo, hi - lo))]
+                if not len(at):
                     continue
-                salt = mix(np.arange(hi - lo, dtype=_U) + _U(77))
-                part = alive.slice(lo, hi - lo)
-                sizes = np.diff(part.offsets.to_numpy())
-                keep = np.sort(mix(part.flatten().to_numpy().view(_U) + np.repeat(salt, sizes)))
-                starts = np.flatnonzero(x.whole)
-                key = mix(x.low[starts] + salt[x.doc[starts]])
-                if not len(keep):
+                d = x.doc[at]
+                if last:
+                    a, b = window_hash(x.hash, sizes[-1])[at], window_hash(x.hash, sizes[-1], 7)[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids[lo:hi][d]), pa.array((at - x.first[d]).astype(np.int32))], ["a", "b", "doc_id", "pos"])
                     continue
-                starts = starts[keep[np.minimum(np.searchsorted(keep, key), len(keep) - 1)] == key]
-                if len(starts):
-                    a, b = window_hash(x.hash, length), window_hash(x.hash, length, 7)
-                    d = x.doc[starts]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a[starts].view(np.int64)), pa.array(b[starts].view(np.int64)), pa.array(ids[lo:hi][d]), pa.array((starts - x.first[d]).astype(np.int32))], ["a", "b", "doc_id", "pos"]
-                    )
+                h = x.hashes[level][at]
+                order = np.lexsort((h, d))
+                d, h = d[order], h[order]
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[lo:hi][d[new]])], ["h", "doc_id"])
 
     return job
 
@@ -176,28 +184,29 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that stand in two documents or more, with the smallest document id."""
-    return rows.groupBy(*keys).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-
-
 def covered_runs(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, runs): the words to remove as flat (first, last + 1) pairs, for the documents that lose some."""
-    if length < 2 or length % 2:
-        raise ValueError("length must be even")
+    if length < 2:
+        raise ValueError("length must be 2 words or more")
     prepare(docs.sparkSession)
     docs = documents(docs, "doc_id", "text").where("doc_id is not null")
-    halves = stored(docs.mapInArrow(_count_halves(length), "h long, doc_id long"), "half-windows")
-    alive = halves.join(_repeated(halves, "h").drop("owner"), "h").groupBy("doc_id").agg(F.collect_list("h").alias("alive"))
-    alive = stored(alive, "alive-halves")
-    windows = stored(_beside(docs, alive, "alive").mapInArrow(_candidates(length), "a long, b long, doc_id long, pos int"), "windows")
-    removed = windows.join(_repeated(windows, "a", "b"), ["a", "b"]).where("owner < doc_id")
+    sizes, rows = lengths(length), docs
+    short = (F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
+    for level in range(len(sizes) - 1):
+        counted = stored(rows.mapInArrow(_windows(sizes, level), "h long, doc_id long"), "counted-windows")
+        alive = with_owner(counted, ["h"], "doc_id").groupBy("doc_id").agg(F.collect_list(short).alias("alive"))
+        alive = stored(alive, "surviving-windows")
+        if alive.isEmpty():
+            return alive.select("doc_id", F.col("alive").alias("runs"))
+        rows = _beside(docs, alive, "alive")
+    windows = rows.mapInArrow(_windows(sizes, len(sizes) - 1), "a long, b long, doc_id long, pos int")
+    removed = with_owner(windows, ["a", "b"], "doc_id", "pos").where("owner < doc_id")
     return removed.groupBy("doc_id").agg(F.collect_list("pos").alias("pos")).mapInArrow(_runs(length), "doc_id long, runs array<int>")
 
 
 def _beside(docs: DataFrame, lists: DataFrame, column: str, how: str = "inner") -> DataFrame:
-    """Join lists to their documents: broadcast if their measured bytes fit the limit, else shuffled."""
-    size = lists.select(F.sum(F.size(column) * 8 + 40)).first()[0] or 0
+    """Join lists of integers to their documents: broadcast if their bytes in the built relation fit the limit, else shuffled."""
+    size = lists.select(F.sum(F.size(column) * 4 + 96)).first()[0] or 0
     return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "doc_id", how)
 
 
