@@ -1,6 +1,6 @@
 """Quality classifier of supervised subword embeddings.
 
-Every word and every n-gram of 3 and 4 bytes within " word " has a learned vector in a hashed table. A document is the
+Every word and every n-gram of 3 and 4 characters within " word " has a learned vector in a hashed table. A document is the
 mean of its vectors, a softmax layer over that gives the class probabilities, and both are trained by stochastic gradient
 descent in NumPy. Two more features of the same kind tell repetition: a word that equals its predecessor, and a word
 whose three-word shingle stood before in the same text.
@@ -9,7 +9,7 @@ Training uses at most SAMPLE labelled rows (those with the smallest id hashes, s
 reads every whole text once, without a shuffle. Since the layer is linear, scoring averages one number for each feature.
 
 Defined results: null or empty text has no features and gets the score of the bias; without any labelled row all scores
-are 0.5; repeated rows get equal scores; extra columns are ignored; an empty table gives an empty result.
+are 0.5; labels other than 0 and 1 are ignored; repeated rows get equal scores; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.shared import documents, prepare
-from tideframe.llm.textops import Words, chunks, pair, text_buffers
+from tideframe.llm.textops import Words, characters, chunks, pair, text_buffers
 from tideframe.llm.training import labelled_sample, train
 
 _U = np.uint64
@@ -42,10 +42,10 @@ def features(flat: np.ndarray, bounds: np.ndarray, lo: int, hi: int) -> Iterator
     w = Words(flat, bounds, lo, hi)
     h, doc = w.hashes(), w.doc_of()
     yield (h >> _U(48)).astype(np.int64) & (WORD_BUCKETS - 1), doc
-    b = w.bytes.astype(np.uint32)
+    b, starts = characters(w.bytes)
     space = (b == 32) | ((b - np.uint32(9)) <= 4)
     b[space] = 32
-    at = np.repeat(np.arange(hi - lo), np.diff(w.edges))
+    at = np.repeat(np.arange(hi - lo), np.diff(w.edges))[starts]
     for k, n in enumerate(GRAMS):
         m = len(b) - n + 1
         if m <= 0:

@@ -78,6 +78,20 @@ def chunks(bounds: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         i = min(j, n)
 
 
+def characters(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the byte each starts at."""
+    starts = np.flatnonzero((b & 0xC0) != 0x80)
+    wide = np.r_[b, np.zeros(3, np.uint8)].astype(np.uint32)
+    out = wide[starts]
+    for lead, mask, n in ((0xC0, 0x1F, 2), (0xE0, 0x0F, 3), (0xF0, 0x07, 4)):
+        long = starts[b[starts] >= lead]
+        code = wide[long] & mask
+        for k in range(1, n):
+            code = code << 6 | (wide[long + k] & 0x3F)
+        out[b[starts] >= lead] = code
+    return out, starts
+
+
 class Words:
     """Words of documents lo..hi-1: byte spans, 64-bit hashes, and the number in each document.
 

@@ -17,11 +17,13 @@ def fold(doc_id: str, parts: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> DataFrame:
     """(text, label) of at most ``most`` labelled documents that ``use`` admits: those with the smallest id hashes.
 
-    Only ids and labels are ordered; the at most ``most`` chosen ones are broadcast to the texts.
+    Labels other than 0 and 1 are ignored; of the rows that repeat an id the smallest text counts, once for each label it
+    has. Only ids and labels are ordered; the at most ``most`` chosen ones are broadcast to the texts.
     """
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(use & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = labels.select("doc_id", F.col(label).alias("label")).where(use & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
+    chosen = rows.select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def train(sample: DataFrame, featurise: Callable, fit: Callable, schema: str) -> bytes | None:
