@@ -44,3 +44,37 @@ def test_many_in_step():
 
 def test_distance_map():
     assert len(NEAR) == 120 and NEAR[:5] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2)] and NEAR[-1] == (8, 7)
+
+
+def test_ways_to_write():
+    """Repeating texts are written in other ways where these are smaller, and every way is read back."""
+    import pyarrow as pa
+
+    from tideframe.llm import media_columns as M
+    from tideframe.llm.textops import text_buffers
+    from tideframe.llm.webp_lossless import read_header, split_riff
+
+    rng = np.random.default_rng(3)
+    line = "".join(rng.choice(list("abcdefgh "), 576))
+    texts = ["", "x" * 9000, "=" * 4000 + "-" * 4000, "ab" * 4000, line * 15, (line[:560] + "\n") * 30, "".join(rng.choice(list("etaoin "), 3000)), "no repeats here: " + line[:300], "é" * 800, "".join(rng.choice(["abcd", "efgh"], 2000))]
+    flat, bounds = text_buffers(pa.array(texts))
+    media = M.encode_texts(flat, bounds, 0, len(texts))
+    for text, raw in zip(texts, M.decode_media(media), strict=True):
+        assert raw.rstrip(b"\xff") == text.encode()
+    headers = [read_header(x)[2] for m in media for x in split_riff(m)]
+    kinds = {t[0] for h in headers for t in h.transforms}
+    assert {PALETTE, SUBTRACT_GREEN} <= kinds and len({h.cache_bits for h in headers}) > 1
+    for tile in (np.tile(rng.integers(0, 2**32, M.WIDTH, dtype=np.uint64).astype(np.uint32), 6), np.full(M.WIDTH * 3, 0x3D3D3D3D, np.uint32), np.repeat(rng.integers(0, 256, M.WIDTH * 2, dtype=np.uint64).astype(np.uint32), 2) * np.uint32(0x01010101)):
+        ways = M._other_ways(tile)
+        assert all((out == tile).all() for (_, _, out) in decode_images(ways, []))
+
+
+def test_pixel_arrays(spark):
+    from tideframe.llm.media_columns import media_pixels, media_table
+
+    docs = spark.createDataFrame([(1, "abcd" * 200), (2, None), (3, "z")], "doc_id long, text string")
+    rows = {r["doc_id"]: r["images"] for r in media_pixels(media_table(docs)).collect()}
+    assert [(i["width"], i["height"]) for i in rows[1]] == [(144, 2)] and rows[1][0]["pixels"][:3] == [0x61626364] * 3
+    assert rows[3][0]["pixels"][0] == 0x7AFFFFFF and rows[2][0]["pixels"] == [0xFFFFFFFF] * 144
+    none = media_pixels(spark.createDataFrame([(1, None)], "doc_id long, media binary")).collect()
+    assert none[0]["images"] == []

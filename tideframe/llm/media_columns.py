@@ -2,9 +2,11 @@
 
 A text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of ROW, are rows of 144 ARGB pixels. Every TILE rows
 are one image; a document's media is its WebP files one after another, so the decoder advances many images of like size
-in step. Images that hold few colours get the palette transform and codes of their own; the others are written with one
-fixed set of prefix codes (from the letter order below, so that equal texts have equal files) and back-references for
-runs of equal pixels. The decoder is the general one of ``webp_lossless``.
+in step. Most are written with one fixed set of prefix codes (from the letter order below, so that equal texts have equal
+files) and back-references for runs of equal pixels. An image that repeats its pixels is also written with codes of its own
+and, as its pixels suggest, colour cache and references, palette, predictor, subtract-green and cross-colour; the smallest
+file is kept. The decoder is the general one of ``webp_lossless``; ``media_pixels`` gives its pixel arrays for any column
+of lossless WebP files.
 
 Jobs: a map encodes the texts and writes the media table to the shared folder; a map reads the stored bytes back, decodes
 them and computes features. Nothing is shuffled.
@@ -27,15 +29,17 @@ from pyspark.sql import DataFrame
 from tideframe.llm.shared import documents, prepare, stored
 from tideframe.llm.textops import chunks, text_buffers
 from tideframe.llm.webp_lossless import (
-    DISTANCES, LENGTHS, LITERALS, PALETTE, BitWriter, Header, code_lengths, codes, decode_images, encode, prefix_of, riff, split_riff, write_code,
+    CROSS_COLOUR, DISTANCES, LENGTHS, LITERALS, PALETTE, PREDICTOR, SUBTRACT_GREEN, BitWriter, Header, code_lengths, codes, decode_images, encode, prefix_of, riff, split_riff, write_code,
 )
 
 _U32, _U64 = np.uint32, np.uint64
 #: Bytes in a row of pixels, rows in an image.
 ROW, TILE = 576, 16
 WIDTH = ROW // 4
-#: Images of at most so many colours get a palette.
-FEW = 16
+#: Other ways to write are tried for images with at most this share of different pixels (as counted by SLOTS hash values).
+REPEATS, SLOTS = 0.1, 4096
+#: Colours that a palette can hold, bits of a colour cache, and blocks of 32 pixels for predictor and cross-colour.
+FEW, CACHE, BLOCK = 256, 6, 5
 #: Bytes that get short codes, the commonest first; then capitals, digits, other bytes.
 COMMON = b" etaonirshdlucmfgpwbyvk.,\njxqz"
 _known: list[tuple[bytes, int, Header]] = []
@@ -120,6 +124,30 @@ def encode_tiles(pixels: np.ndarray, first: np.ndarray, rows: np.ndarray) -> lis
     return out
 
 
+def _varied(pixels: np.ndarray, first: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """Share of different pixels in each image, by hash values."""
+    image = np.repeat(np.arange(len(first)), height * WIDTH)
+    spot = image * SLOTS + (pixels * _U32(0x9E3779B1) >> _U32(20)).astype(np.int64)
+    used = np.bincount(spot, minlength=len(first) * SLOTS).reshape(-1, SLOTS) > 0
+    return used.sum(1) / (height * WIDTH)
+
+
+def _other_ways(tile: np.ndarray) -> list[bytes]:
+    """An image that repeats its pixels, written in the ways that suit it."""
+    rows = tile.reshape(-1, WIDTH)
+    blocks = -(-len(rows) >> BLOCK) * (-(-WIDTH >> BLOCK))
+    out = [encode(tile, WIDTH, cache_bits=CACHE)]
+    if len(np.unique(tile)) <= FEW:
+        out.append(encode(tile, WIDTH, ((PALETTE,),)))
+    if len(rows) > 1 and np.mean(rows[1:] == rows[:-1]) > 0.5:  # rows like the one above
+        out.append(encode(tile, WIDTH, ((PREDICTOR, BLOCK, np.full(blocks, 2 << 8)),), CACHE))
+    green = tile >> _U32(8) & _U32(255)
+    if np.mean((tile >> _U32(16) & _U32(255) == green) & (tile & _U32(255) == green)) > 0.5:  # one byte again and again
+        out.append(encode(tile, WIDTH, ((SUBTRACT_GREEN,),), CACHE))
+        out.append(encode(tile, WIDTH, ((CROSS_COLOUR, BLOCK, np.full(blocks, 32 | 32 << 8)),), CACHE))
+    return out
+
+
 def encode_texts(flat: np.ndarray, bounds: np.ndarray, lo: int, hi: int) -> list[bytes]:
     """Media of the documents lo..hi-1."""
     sizes = np.diff(bounds[lo : hi + 1])
@@ -136,11 +164,8 @@ def encode_texts(flat: np.ndarray, bounds: np.ndarray, lo: int, hi: int) -> list
     height = np.minimum(TILE, base[doc + 1] - first_row)
     first = first_row * WIDTH
     images = encode_tiles(pixels, first, height)
-    changes = np.add.reduceat((pixels != np.roll(pixels, 1)).astype(np.int64), first)
-    for k in np.flatnonzero(changes < 64):  # few colours need not mean few changes, but then plain codes serve as well
-        tile = pixels[first[k] : first[k] + height[k] * WIDTH]
-        if len(np.unique(tile)) <= FEW:
-            images[k] = encode(tile, WIDTH, ((PALETTE,),))
+    for k in np.flatnonzero(_varied(pixels, first, height) <= REPEATS):
+        images[k] = min([images[k], *_other_ways(pixels[first[k] : first[k] + height[k] * WIDTH])], key=len)
     out = [b""] * (hi - lo)
     for d, image in zip(doc.tolist(), images, strict=True):
         out[d] += riff(image)
@@ -154,6 +179,21 @@ def decode_media(media: list[bytes]) -> list[bytes]:
     return [b"".join(next(images)[2].astype(">u4").tobytes() for _ in f) for f in files]
 
 
+def _pixel_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.list_(pa.int64()))]))
+    for batch in batches:
+        files = [split_riff(m or b"") for m in batch.column(1).to_pylist()]
+        images = iter(decode_images([x for f in files for x in f], _known))
+        rows = [[{"width": w, "height": h, "pixels": p.astype(np.int64)} for w, h, p in (next(images) for _ in f)] for f in files]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "images"])
+
+
+def media_pixels(media: DataFrame, column: str = "media") -> DataFrame:
+    """(doc_id, images): width, height and ARGB pixels of all lossless WebP files in a binary column; none for null."""
+    prepare(media.sparkSession)
+    return media.select("doc_id", column).mapInArrow(_pixel_arrays, "doc_id long, images array<struct<width int, height int, pixels array<long>>>")
+
+
 def feature(payload: bytes) -> str:
     """64 bits as 16 hex digits: which of 64 stretches of the samples are brighter than the whole."""
     x = np.frombuffer(payload, np.uint8)

@@ -402,22 +402,63 @@ def _predict(mode: int, left, top, right, corner) -> np.ndarray:
         )[mode - 5]()
     if mode == 11:
         guess = left + top - corner
-        return left if np.abs(guess - left).sum() < np.abs(guess - top).sum() else top
+        return np.where(np.abs(guess - left).sum(-1, keepdims=True) < np.abs(guess - top).sum(-1, keepdims=True), left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     half = mean(left, top)
     return np.clip(half + np.trunc((half - corner) / 2).astype(np.int32), 0, 255)
 
 
-def _predicted(image: np.ndarray, y: int, x: int, modes: np.ndarray, bits: int) -> np.ndarray:
-    h, w = image.shape[:2]
-    if y == 0:
-        return image[0, x - 1] if x else np.array([0, 0, 0, 255], np.int32)
-    if x == 0:
-        return image[y - 1, 0]
-    mode = int(modes[(y >> bits) * _blocks(w, bits) + (x >> bits)] >> 8 & 15)
-    right = image[y - 1, x + 1] if x + 1 < w else image[y, 0]
-    return _predict(mode, image[y, x - 1], image[y - 1, x], right, image[y - 1, x - 1])
+#: Prediction modes that don't look at the pixel to the left, so that a row of them is inverted at once.
+_ABOVE = (0, 2, 3, 4, 8, 9)
+
+
+def _modes(y: int, width: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    return modes[(y >> bits) * _blocks(width, bits) + (np.arange(width) >> bits)].astype(np.int64) >> 8 & 15
+
+
+def _row_above(image: np.ndarray, y: int, of: np.ndarray) -> np.ndarray:
+    """Predictions of row y where the modes ``of`` look at the row above alone (the left neighbours are taken as they stand)."""
+    top, out = image[y - 1], np.zeros_like(image[y])
+    left = np.concatenate([image[y, :1], image[y, :-1]])
+    corner = np.concatenate([top[:1], top[:-1]])
+    right = np.concatenate([top[1:], image[y, :1]])
+    for mode in np.unique(of):
+        out = np.where((of == mode)[:, None], _predict(int(mode), left, top, right, corner), out)
+    out[0] = top[0]
+    return out
+
+
+def _predict_all(image: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
+    """Predictions of a known image."""
+    out = np.zeros_like(image)
+    out[0, 0] = (0, 0, 0, 255)
+    out[0, 1:] = image[0, :-1]
+    for y in range(1, len(image)):
+        out[y] = _row_above(image, y, _modes(y, image.shape[1], modes, bits))
+    return out
+
+
+def _unpredict(image: np.ndarray, modes: np.ndarray, bits: int) -> None:
+    """Add the predictions to the residuals, in place."""
+    height, width = image.shape[:2]
+    image[0, 0] = (image[0, 0] + (0, 0, 0, 255)) & 255
+    image[0] = np.cumsum(image[0], 0) & 255
+    for y in range(1, height):
+        of = _modes(y, width, modes, bits)
+        if np.isin(of[1:], _ABOVE).all():
+            first = (image[y, 0] + image[y - 1, 0]) & 255
+            image[y, 0] = first
+            guess = _row_above(image, y, of)
+            image[y, 1:] = (image[y, 1:] + guess[1:]) & 255
+            continue
+        for x in range(width):
+            if x:
+                right = image[y - 1, x + 1] if x + 1 < width else image[y, 0]
+                guess = _predict(int(of[x]), image[y, x - 1], image[y - 1, x], right, image[y - 1, x - 1])
+            else:
+                guess = image[y - 1, 0]
+            image[y, x] = (image[y, x] + guess) & 255
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -459,9 +500,7 @@ def invert(pixels: np.ndarray, height: int, transforms: list[tuple]) -> np.ndarr
         else:
             bits, modes = rest
             image = _channels(pixels.reshape(height, width))
-            for y in range(height):
-                for x in range(width):
-                    image[y, x] = (image[y, x] + _predicted(image, y, x, modes, bits)) & 255
+            _unpredict(image, modes, bits)
             pixels = _pixels(image).ravel()
     return pixels
 
@@ -633,7 +672,7 @@ def encode(pixels: np.ndarray, width: int, transforms: tuple = (), cache_bits: i
             if kind == CROSS_COLOUR:
                 image = _cross(image, blocks, bits, True)
             else:
-                image = np.array([[(image[y, x] - _predicted(image, y, x, blocks, bits)) & 255 for x in range(width)] for y in range(height)])
+                image = (image - _predict_all(image, blocks, bits)) & 255
             pixels = _pixels(image).ravel()
     w.write(0, 1)
     _write_pixels(w, pixels, width, cache_bits, references, True, groups)
