@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tests.llm import brute
+
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
@@ -67,16 +69,16 @@ def test_scores(spark, docs, labels):
 
 
 def test_near_duplicates(spark, docs):
-    from tideframe.llm.jaccard_join import brute_force, drop_near_duplicates, near_duplicates
+    from tideframe.llm.jaccard_join import drop_near_duplicates, near_duplicates
 
     for size, percent in ((4, 85), (5, 80)):
         out = near_duplicates(docs, size, percent).collect()
         assert _ids(out) == _ids(docs.collect())
-        expected = brute_force(list(_texts(docs).items()), size, percent)
+        expected = brute.components(list(_texts(docs).items()), size, percent)
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out if r["doc_id"] is not None} == expected
     kept = drop_near_duplicates(docs, 4, 85)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {None} | {d for d, (_, c) in brute_force(list(_texts(docs).items()), 4, 85).items() if c == d}
+    assert {r["doc_id"] for r in kept.collect()} == {None} | {d for d, (_, c) in brute.components(list(_texts(docs).items()), 4, 85).items() if c == d}
     assert near_duplicates(_empty(spark)).count() == 0
 
 
@@ -109,11 +111,11 @@ def test_media(spark, docs):
 
 
 def test_substrings(spark, docs):
-    from tideframe.llm.substring_dedup import brute_force, lengths, remove_repeats
+    from tideframe.llm.substring_dedup import lengths, remove_repeats
 
     rows = remove_repeats(docs, 50, carry=("lang", "key")).collect()
     assert _ids(rows) == _ids(docs.collect()) and set(rows[0].asDict()) == {"doc_id", "n_words", "n_removed", "kept_text", "lang", "key"}
-    expected = brute_force(list(_texts(docs).items()))
+    expected = brute.without_repeats(list(_texts(docs).items()))
     for r in rows:
         if r["doc_id"] is not None:
             assert (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) == expected[r["doc_id"]]
@@ -121,9 +123,9 @@ def test_substrings(spark, docs):
             assert r["n_removed"] == 0
     assert remove_repeats(_empty(spark), 50).count() == 0
     assert lengths(50) == [12, 25, 50] and lengths(6) == [3, 6] and lengths(101) == [12, 25, 50, 101]
-    long = brute_force(list(_texts(docs).items()), 101)
+    long = brute.without_repeats(list(_texts(docs).items()), 101)
     assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs, 101).collect() if r["doc_id"] is not None} == {d: v[1] for d, v in long.items()}
-    short = brute_force(list(_texts(docs).items()), 6)
+    short = brute.without_repeats(list(_texts(docs).items()), 6)
     assert {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs, 6).collect() if r["doc_id"] is not None} == {d: v[1] for d, v in short.items()}
 
 
@@ -180,14 +182,14 @@ def test_packing(spark, docs):
 
 
 def test_quality_rules(spark, docs):
-    from tideframe.llm.quality_rules import brute_force, quality_verdicts
+    from tideframe.llm.quality_rules import quality_verdicts
 
     rows = quality_verdicts(docs).collect()
     assert _ids(rows) == _ids(docs.collect())
     texts = _texts(docs)
     for r in rows:
         if r["doc_id"] is not None:
-            assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute_force(texts[r["doc_id"]])
+            assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute.quality_counts(texts[r["doc_id"]])
             assert not (r["base_failed"] and r["kept"])
     assert quality_verdicts(_empty(spark)).count() == 0
 

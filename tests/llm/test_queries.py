@@ -7,6 +7,7 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
+from tests.llm import brute
 from tideframe.llm import queries as Q
 
 
@@ -40,9 +41,7 @@ def test_held_out(spark, data, name, label, fold):
 
 
 def test_jaccard_join(spark, sf, texts):
-    from tideframe.llm.jaccard_join import brute_force
-
-    assert {d: (r[1], r[2]) for d, r in _rows(spark, "op2_ngram_jaccard_join", sf).items()} == brute_force(list(texts.items()), 4, 85)
+    assert {d: (r[1], r[2]) for d, r in _rows(spark, "op2_ngram_jaccard_join", sf).items()} == brute.components(list(texts.items()), 4, 85)
 
 
 def test_language(spark, sf):
@@ -73,9 +72,7 @@ def test_media(spark, sf, texts):
 
 
 def test_substrings(spark, sf, texts):
-    from tideframe.llm.substring_dedup import brute_force
-
-    assert {d: tuple(r)[1:] for d, r in _rows(spark, "op7_substring_dedup", sf).items()} == brute_force(list(texts.items()))
+    assert {d: tuple(r)[1:] for d, r in _rows(spark, "op7_substring_dedup", sf).items()} == brute.without_repeats(list(texts.items()))
 
 
 def test_pieces(spark, sf, texts):
@@ -95,10 +92,8 @@ def test_packing(spark, sf):
 
 
 def test_quality_rules(spark, sf, texts):
-    from tideframe.llm.quality_rules import brute_force
-
     rows = _rows(spark, "op10_quality_rules", sf)
-    assert {d: tuple(r)[1:7] for d, r in rows.items()} == {d: brute_force(t) for d, t in texts.items()}
+    assert {d: tuple(r)[1:7] for d, r in rows.items()} == {d: brute.quality_counts(t) for d, t in texts.items()}
     labels = pq.read_table(f"{sf}/labels.parquet").to_pylist()
     wrong = [x for x in labels if rows[x["doc_id"]]["kept"] != bool(x["quality"]) and not rows[x["doc_id"]]["base_failed"]]
     assert len(wrong) <= 0.05 * len(labels)
@@ -137,3 +132,23 @@ def test_packing_plan():
             for n, m in config.items():
                 have[n] += m * copies
         assert (have == counts).all() and sum(c for _, c in made) <= 1.01 * (counts * np.arange(1025)).sum() / 1024 + 2
+
+
+def test_estimated_accuracies():
+    """Votes of known accuracy, drawn independently: the estimate finds the rates that made them."""
+    import collections
+    import math
+    import random
+
+    from tideframe.llm.quality_rules import estimate
+
+    rng = random.Random(4)
+    rates = [(0.95, 0.3), (0.9, 0.2), (0.97, 0.4), (0.85, 0.1), (0.92, 0.35)]  # a rule says good of so many good and bad ones
+    counts = collections.Counter()
+    for _ in range(60000):
+        good = rng.random() < 0.8
+        counts[tuple(0 if rng.random() < 0.1 else 1 if rng.random() < r[0 if good else 1] else -1 for r in rates)] += 1
+    base, odds = estimate(sorted(counts.items()))
+    assert abs(1 / (1 + math.exp(-base)) - 0.8) < 0.03
+    for (up, down), (tell, lie) in zip(odds, rates, strict=True):
+        assert abs(up - math.log(tell / lie)) < 0.15 and abs(down - math.log((1 - tell) / (1 - lie))) < 0.15

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.llm.brute import components
 from tideframe.llm import jaccard_join as J
 
 
@@ -27,7 +28,7 @@ def test_hot_block_value(spark, monkeypatch):
             rows.append((len(rows), " ".join(common + own + [f"x{family}y{copy}"] * (copy > 0))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(docs, 4, 85).collect()}
-    assert out == J.brute_force(rows, 4, 85) and len({c for _, c in out.values()}) == 12
+    assert out == components(rows, 4, 85) and len({c for _, c in out.values()}) == 12
 
 
 def test_forest_of_a_tile():

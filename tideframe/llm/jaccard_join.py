@@ -338,27 +338,3 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     """The rows of ``docs`` without those that link, directly or not, with a document of a smaller id; all columns stay."""
     gone = near_duplicates(docs, size, percent).where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(small(stored(gone, "near-duplicates"), 16), "doc_id", "left_anti").select(*docs.columns)
-
-
-def brute_force(rows: list[tuple[int, str | None]], size: int, percent: int) -> dict[int, tuple[int, int]]:
-    """The contract in plain Python for small fixtures: doc_id to (n_shingles, component_id)."""
-    sets = {d: shingle_set(t, size) for d, t in rows}
-    top = {d: d for d in sets}
-
-    def find(d: int) -> int:
-        while top[d] != d:
-            d = top[d]
-        return d
-
-    where: dict[bytes, list[int]] = {}
-    for d in sorted(sets):
-        shared: dict[int, int] = {}
-        for x in sets[d]:
-            for e in where.setdefault(x, []):
-                shared[e] = shared.get(e, 0) + 1
-            where[x].append(d)
-        for e, both in shared.items():
-            if 100 * both >= percent * (len(sets[d]) + len(sets[e]) - both):
-                a, b = sorted((find(d), find(e)))
-                top[b] = a
-    return {d: (len(sets[d]), find(d)) for d in sets}

@@ -150,18 +150,3 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFr
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumns({"base_failed": failed, "posterior": 1 / (1 + F.exp(-logit))})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, int, int, bool]:
-    """The contract's counts of one text in plain Python, for small fixtures."""
-    import re
-
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    at: dict[tuple, list[int]] = {}
-    for i in range(len(words) - WINDOW + 1):
-        at.setdefault(tuple(words[i : i + WINDOW]), []).append(i)
-    twice = {p for v in at.values() if len(v) > 1 for i in v for p in range(i, i + WINDOW)}
-    n = len(words)
-    return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(twice), n < 20 or 100 * len(twice) > 30 * n

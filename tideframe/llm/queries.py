@@ -102,5 +102,7 @@ _ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-#: None of these can be expressed in SQL as a whole; tests/llm holds each against a brute-force version.
+#: None of these can be expressed in SQL as a whole. tests/llm holds op2, op4, op5, op7, op8, op9 and op10 against plain
+#: Python or the libraries, op1 and op6 against held-out labels, op3 against the true languages of texts that declare none
+#: or a wrong one.
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,6 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -218,22 +217,3 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: tuple[str, ...] = (
     more = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     out = rows.mapInArrow(_rest, f"doc_id long, n_words long, n_removed long, kept_text string{more}")
     return out.withColumnsRenamed({f"_{c}": c for c in carry})
-
-
-def brute_force(rows: list[tuple[int, str | None]], length: int = 50) -> dict[int, tuple[int, int, str]]:
-    """The contract in plain Python for small fixtures: doc_id to (n_words, n_removed, digest)."""
-    import re
-
-    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
-    first: dict[tuple, int] = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - length + 1):
-            first.setdefault(tuple(words[d][i : i + length]), d)
-    out = {}
-    for d, w in words.items():
-        gone = set()
-        for i in range(len(w) - length + 1):
-            if first[tuple(w[i : i + length])] < d:
-                gone.update(range(i, i + length))
-        out[d] = (len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
-    return out
