@@ -25,19 +25,25 @@ def _without(docs: DataFrame, decisions: DataFrame, rejected: str, name: str) ->
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with confidence."""
+    """Documents whose language is known with confidence; null and empty texts, and texts without letters, go."""
     found = identify(docs, "text", F.col("lang"), F.col("source"), suffix_of(F.col("source")))
     return _without(docs, found, "rejected", "rejected-languages")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; the model learns from the labelled ones outside the held-out fold."""
+    """Documents that are not predicted toxic; the model learns from the labelled ones outside the held-out fold.
+
+    Without any labelled document all scores are 0.5 and nothing can be told from anything, so all documents go.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _without(docs, toxicity_scores(docs, labels, fold("doc_id", 4) != 2), "predicted = 1", "rejected-toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates (five-word shingles, 0.8)."""
+    """One document, that of the smallest id, of each group of near duplicates (five-word shingles, 0.8).
+
+    Empty texts have no duplicates and stay; rows that repeat a kept id stay.
+    """
     return drop_near_duplicates(docs, 5, 80)
 
 
@@ -53,13 +59,14 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 1024 tokens."""
+    """The pieces of all documents, packed into sequences of at most 1024 tokens; a null text is the end id alone."""
     return pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")), 1024, 2)
 
 
 STAGES = [("language ID", language), ("toxicity", toxicity), ("n-gram Jaccard join", near_duplicates), ("substring dedup", substrings), ("best-fit packing", packing)]
 
-#: SQL can't express the trained stages; tests/llm holds the pipeline against brute-force versions.
+#: SQL can't express the trained stages. tests/llm/test_pipeline_rows.py holds each stage's rows on a small table: near
+#: duplicates, passages and pieces against plain Python, languages against planted junk, toxicity against held-out labels.
 ORACLE_SQL = None
 
 
