@@ -41,6 +41,38 @@ def out_of_range(df: DataFrame, value: str, fill: float, low: float, high: float
     return df.where(~is_fill(x, fill)).select(rule.alias("rule"), x.alias("x")).where("rule is not null").groupBy("rule").agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
 
 
+def standard_fill(kind: Column) -> Column:
+    """The standard fill value of a type, as text."""
+    return F.coalesce(*(F.when(kind == t, F.lit(str(v))) for t, v in FILL.items()))
+
+
+def standard_format(kind: Column, length: Column, low: Column | None = None, high: Column | None = None, scale_low: Column | None = None, scale_high: Column | None = None) -> Column:
+    """The format of a type by its limits: whole numbers as wide as these, others with fewer places the wider their range.
+
+    Without limits whole numbers are as wide as the type's and others have a general format; texts are ``length`` wide.
+    """
+    low, high, scale_low, scale_high = (F.lit(None).cast("double") if x is None else x.cast("double") for x in (low, high, scale_low, scale_high))
+    ends = F.coalesce(*(F.when(kind == t, F.struct(F.lit(float(v)).alias("low"), F.lit(float(-v - 1)).alias("high"))) for t, v in FILL.items() if isinstance(v, int)))
+    least, most = F.coalesce(low, ends["low"]), F.coalesce(high, ends["high"])
+    digits = lambda x: F.floor(F.log10(x)).cast("int")
+    whole = F.when(least < 0, digits(F.greatest(F.abs(least), F.abs(most), F.lit(1.0))) + 2).otherwise(F.when(most != 0, digits(most)).otherwise(1) + 1)
+    text = lambda x: F.length(x.cast("long").cast("string"))
+    spread = F.coalesce(scale_high - scale_low, high - low)
+    wide = F.greatest(text(high), text(low))
+    places = F.array(*(F.struct(F.lit(m).alias("most"), F.lit(n).alias("n")) for m, n in ((11.0, 3), (101.0, 2), (1000.0, 1))))
+    n = F.get(F.filter(places, lambda x: spread <= x["most"]), F.lit(0))["n"]
+    real = F.when((spread > 0) & n.isNotNull() & wide.isNotNull(), F.concat(F.lit("F"), (wide + n + 1).cast("string"), F.lit("."), n.cast("string"))).otherwise("G10.2E3")
+    return F.when(kind == "string", F.concat(F.lit("A"), length.cast("string"))).when(kind.isin("float", "double"), real).otherwise(F.concat(F.lit("I"), whole.cast("string")))
+
+
+def deltas(catalogue: DataFrame) -> DataFrame:
+    """(variable, attr, other, type, shape): the uncertainties that a variable names and that are there."""
+    out = _linked(catalogue, "^DELTA_(PLUS|MINUS)_VAR$")
+    for attr in ("TYPE", "SHAPE"):
+        out = out.join(_of(catalogue, attr).withColumnRenamed("variable", "other"), "other", "left")
+    return out.select("variable", "attr", "other", "type", "shape")
+
+
 def _of(catalogue: DataFrame, attr: str) -> DataFrame:
     return catalogue.where(F.col("attr") == attr).select("variable", F.col("value").alias(attr.lower()))
 
@@ -64,8 +96,7 @@ def empty_entries(catalogue: DataFrame) -> DataFrame:
 
 def wrong_fill(catalogue: DataFrame) -> DataFrame:
     """Fill values that are missing or not the standard one of the type."""
-    standard = F.coalesce(*(F.when(F.col("type") == t, F.lit(str(v))) for t, v in FILL.items()))
-    rows = _of(catalogue, "TYPE").join(_of(catalogue, "FILLVAL"), "variable", "left").withColumn("standard", standard)
+    rows = _of(catalogue, "TYPE").join(_of(catalogue, "FILLVAL"), "variable", "left").withColumn("standard", standard_fill(F.col("type")))
     number = lambda c: F.expr(f"try_cast({c} as double)")
     near = F.abs(number("fillval") - number("standard")) <= 1e-7 * F.abs(number("standard"))
     bad = F.when(F.col("fillval").isNull(), "no FILLVAL").when(~F.coalesce(near, F.col("fillval") == F.col("standard"), F.lit(False)), F.concat_ws(" ", F.lit("FILLVAL"), "fillval", F.lit("should be"), "standard"))
