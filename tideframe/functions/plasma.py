@@ -185,3 +185,13 @@ def field_line(x: Column, y: Column, points: int = 30) -> Column:
     start = F.when(x < 0, math.pi).otherwise(0.0)
     angles = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: start + k * (math.pi / points))
     return F.transform(angles, lambda a: F.struct((size * F.pow(F.sin(a), F.lit(3.0))).alias("x"), (size * F.pow(F.sin(a), F.lit(2.0)) * F.cos(a)).alias("y")))
+
+
+def alfven_mach(u: Column, b: Column, n: Column) -> Column:
+    """Solar wind speed over the speed of the Alfven wave in it."""
+    return u / alfven_speed_wind(b, n)
+
+
+def number_flux(density: Column, speed: Column, scale: float = 1000.0) -> Column:
+    """Particles through an area in a time: per cm3 and a speed along the line, by ``scale``."""
+    return density * speed * scale

@@ -172,3 +172,21 @@ def date_in_name(path: Column) -> Column:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     found = F.regexp_extract(name, r"((?:19[5-9]|20[0-4])\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))", 1)
     return F.try_to_timestamp(F.when(found != "", found), F.lit("yyyyMMdd")).cast("date")
+
+
+def day_number(ms: Column) -> Column:
+    """Days since 1970-01-01 of CDF milliseconds, as plots count them."""
+    return (ms - (CDF_1958_MS + TAI_1970 * 1000)) / 86400e3
+
+
+def leap_aware(text: Column) -> Column:
+    """struct(iso, utc, offset_us) of a time in ISO order that may name a leap second.
+
+    ``utc`` is the last time before or at it that a timestamp can hold, ``offset_us`` what is missing: a second where the
+    text says 60 seconds. The ISO text keeps the 60.
+    """
+    said = r"^([^.]{8,}59[^0-9]?)60((?:[.][0-9]+)?)$"
+    leap = text.rlike(said)
+    utc = F.try_to_timestamp(F.regexp_replace(text, said, "$159$2")).cast("timestamp_ntz")
+    shown = F.when(leap, F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:"), F.lit("60"))).otherwise(iso(utc))
+    return F.struct(shown.alias("iso"), utc.alias("utc"), F.when(leap, 1_000_000).otherwise(0).alias("offset_us"))

@@ -84,3 +84,26 @@ def scrubbed(df: DataFrame, value: str, order: str, keys: tuple[str, ...], last:
 def courant(speed: Column, dt: float, step: Column) -> Column:
     """Share of a cell that the flow crosses in ``dt`` seconds; ``step`` in Earth radii, speed in km/s."""
     return speed * dt / (step * EARTH_KM)
+
+
+def potential_field(df: DataFrame, potential: str, l_shell: str, phi: str, step_l: float, step_phi: float, block: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the electric field ``er``, ``ephi`` and ``e`` in mV/m of a potential in kV over L and an angle in radians."""
+    scale = 1e6 / (EARTH_KM * 1000)
+    er = derivative_along(F.col(potential) * scale, l_shell, (*block, phi), step_l)
+    ephi = derivative_along(F.col(potential) * scale / F.col(l_shell), phi, (*block, l_shell), step_phi)
+    return df.withColumns({"er": er, "ephi": ephi}).withColumn("e", F.sqrt(F.col("er") * F.col("er") + F.col("ephi") * F.col("ephi")))
+
+
+#: Names of older station files and those of today.
+STATION_NAMES = {
+    "gm_dBn": "dBnMhd", "gm_dBe": "dBeMhd", "gm_dBd": "dBdMhd", "gm_facdBn": "dBnFac", "gm_facdBe": "dBeFac", "gm_facdBd": "dBdFac", "ie_JhdBn": "dBnHal",
+    "ie_JhdBe": "dBeHal", "ie_JhdBd": "dBdHal", "ie_JpBn": "dBnPed", "ie_JpBe": "dBePed", "ie_JpBd": "dBdPed",
+}
+
+
+def station_totals(df: DataFrame) -> DataFrame:
+    """Older station tables as today's: ``dBn``, ``dBe`` and ``dBd`` are the sums of their parts, and the parts are renamed."""
+    if "dBn" in df.columns:
+        return df
+    totals = {f"dB{axis}": sum((F.col(c) for c in df.columns if c.endswith(f"B{axis}")), F.lit(0.0)) for axis in "ned"}
+    return df.withColumns(totals).withColumnsRenamed(STATION_NAMES)

@@ -164,3 +164,13 @@ def events_between(df: DataFrame, ts: str, start: str, stop: str, equal: dict[st
     for name, value in (equal or {}).items():
         out = out.where(F.col(name) == value)
     return out
+
+
+def all_epochs(epochs: DataFrame, dropped: DataFrame, ts: str) -> DataFrame:
+    """The epochs with those that were dropped, each once."""
+    return epochs.select(ts).union(dropped.select(ts)).distinct()
+
+
+def span_of(df: DataFrame, ts: str) -> DataFrame:
+    """(first, last): the times at which a table begins and ends; read from the files' statistics where these have them."""
+    return df.agg(F.min(ts).alias("first"), F.max(ts).alias("last"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,3 +116,33 @@ def random_times(spark: SparkSession, start: str, end: str, count: int, seed: in
 def flat_index(position: Column, index: Column, size: int) -> Column:
     """Place in the flattened array of ``index`` on the last axis of ``size``, at row ``position``."""
     return position * size + index
+
+
+def axis_index(position: Column, shape: tuple[int, ...], axis: int = -1) -> Column:
+    """Index along one axis of the element at ``position`` of a flattened array of ``shape``."""
+    axis %= len(shape)
+    below = 1
+    for n in shape[axis + 1 :]:
+        below *= n
+    return F.pmod(F.floor(position / below), F.lit(shape[axis])).cast("long")
+
+
+def side_by_side(*arrays: Column) -> Column:
+    """The arrays of a row one after another: columns beside columns."""
+    return F.concat(*arrays)
+
+
+def in_depth(*arrays: Column) -> Column:
+    """One array of the values at each place: layers behind layers."""
+    return F.transform(F.sequence(F.lit(0), F.size(arrays[0]) - 1), lambda i: F.array(*(F.get(a, i) for a in arrays)))
+
+
+def labelled(df: DataFrame, values: str, labels: list[str], keep: tuple[str, ...], valid: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """An array column as one column for each label, each value passed through ``valid``; ``keep`` are the record's own columns."""
+    return df.select(*keep, *(valid(F.get(values, F.lit(k))).alias(n) for k, n in enumerate(labels)))
+
+
+def bundled(df: DataFrame, columns: list[str], fill: float, out: str = "data") -> DataFrame:
+    """The inverse: columns as one array, nulls and NaN as ``fill``; the labels go to the column's metadata."""
+    values = F.array(*(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(fill)) for c in columns))
+    return df.select(*(c for c in df.columns if c not in columns), values.alias(out, metadata={"LABELS": columns, "FILLVAL": fill}))

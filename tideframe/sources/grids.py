@@ -210,3 +210,114 @@ def read_pressure(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     names = numbered(spark, first).where("n = 1").first()["value"].split()[:-1]
     rows = lines(spark, paths).select("path", tokens(F.col("value")).alias("t")).where((F.size("t") >= len(names)) & _number(F.get("t", F.lit(0))).isNotNull())
     return rows.select("path", *(_number(F.get("t", F.lit(k))).alias(pressure_name(n)) for k, n in enumerate(names)))
+
+
+def write_boundary(df: DataFrame, path: str, names: list[str], units: str) -> None:
+    """The inverse of ``read_boundary``: one file for each time of rows (elapsed, time, point, ``names``)."""
+    head = F.array(
+        F.concat_ws(" ", F.format_string("%.5E", "elapsed"), F.date_format("time", "yyyy MM dd HH mm ss")), F.lit(f" Units are {units}"), F.concat(F.lit(" "), F.lit(" ".join(names)))
+    )
+    heads = df.select("elapsed", "time").distinct().select("time", F.posexplode(head).alias("n", "value"))
+    row = F.concat_ws(" ", *(F.format_string("%.15E", F.col(c).cast("double")) for c in names))
+    rows = heads.union(df.select("time", (F.col("point") + 3).cast("int").alias("n"), row.alias("value")))
+    rows = rows.withColumn("part", F.date_format("time", "yyyyMMddHHmmss"))
+    rows.repartition("part").sortWithinPartitions("part", "n").select("part", "value").write.partitionBy("part").mode("overwrite").text(path)
+
+
+def read_ionosphere(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, time, title, iteration, run_time, tilt, hemisphere, point, values by name) of hemisphere files.
+
+    Sections stand under their names in capitals; the points of a hemisphere stand line by line or, where lines were
+    wrapped, over as many lines as its variables need.
+    """
+    w = Window.partitionBy("path").orderBy("n")
+    rows = numbered(spark, paths).withColumn("value", F.trim("value"))
+    named = F.when(F.col("value").rlike(r"^[A-Z][A-Z ]+$"), F.col("value"))
+    rows = rows.withColumn("section", F.last(named, True).over(w)).where(F.col("value") != F.col("section"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("path", "section").orderBy("n")) - 1).withColumn("t", tokens(F.col("value")))
+    first = lambda section, k: F.max(F.when((F.col("section") == section) & (F.col("k") == k), F.get("t", F.lit(0))))
+    names = F.array_sort(F.collect_list(F.when(F.col("section") == "VARIABLE LIST", F.struct("k", F.lower(F.trim(F.regexp_extract("value", r"^\d+\s+([^\[]+)\[", 1))).alias("name")))))
+    heads = rows.groupBy("path").agg(
+        F.max(F.when((F.col("section") == "TITLE") & (F.col("k") == 0), F.regexp_extract("value", '"(.*)"', 1))).alias("title"), *(first("TIME", k).alias(p) for k, p in enumerate(PARTS)),
+        _number(first("SIMULATION", 0)).cast("long").alias("iteration"), _number(first("SIMULATION", 1)).alias("run_time"), F.array(_number(first("DIPOLE TILT", 0)), _number(first("DIPOLE TILT", 1))).alias("tilt"),
+        F.transform(names, lambda s: s["name"]).alias("names"),
+    )
+    heads = heads.select("path", _time({p: F.col(p) for p in PARTS}).alias("time"), "title", "iteration", "run_time", "tilt", "names")
+    body = rows.where(F.col("section").rlike("^BEGIN .* HEMISPHERE$")).select("path", "k", "t", F.lower(F.regexp_extract("section", "^BEGIN (.*) HEMISPHERE$", 1)).alias("hemisphere")).join(heads, "path")
+    # the first lines of a hemisphere tell over how many a point is wrapped: a point's lines hold all its values
+    size = Window.partitionBy("path", "hemisphere").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    body = body.withColumn("before", F.coalesce(F.sum(F.size("t")).over(size), F.lit(0))).withColumn("point", F.floor(F.col("before") / F.size("names")))
+    cells = F.array_sort(F.collect_list(F.struct("k", "t")))
+    points = body.groupBy("path", "time", "title", "iteration", "run_time", "tilt", "hemisphere", "point", "names").agg(F.flatten(F.transform(cells, lambda s: s["t"])).alias("t"))
+    values = F.map_from_arrays("names", F.transform(F.slice("t", 1, F.size("names")), _number))
+    return points.where(F.size("t") == F.size("names")).select("path", "time", "title", "iteration", "run_time", "tilt", "hemisphere", F.col("point").cast("int").alias("point"), values.alias("values"))
+
+
+def read_geosynchronous(spark: SparkSession, paths: str | list[str], energies: int = 36) -> DataFrame:
+    """(path, particle, time, local_time, energy, satellites, flux) of flux tables of geosynchronous satellites.
+
+    Three lines of title, a line with the energies at its end, then for each time and local time the fixed columns: the
+    numbers of satellites two characters wide from the 33rd on, the fluxes 18 wide from the 105th on.
+    """
+    rows = numbered(spark, paths)
+    line = lambda k: F.max(F.when(F.col("n") == k, F.col("value")))
+    heads = rows.where("n < 4").groupBy("path").agg(line(0).alias("title"), line(3).alias("grid"))
+    heads = heads.select("path", F.when(F.instr("title", "electron") > 1, "electron").otherwise("proton").alias("particle"), F.transform(F.slice(tokens(F.col("grid")), -energies, energies), _number).alias("energies"))
+    body = rows.where("n > 3").join(heads, "path")
+    stamp = F.regexp_replace(F.substring_index(F.ltrim("value"), " ", 1), "Z$", "")
+    cell = lambda k, first, wide: F.trim(F.substr("value", F.lit(first) + k * wide, F.lit(wide)))
+    body = body.select("path", "particle", F.try_to_timestamp(stamp).cast("timestamp_ntz").alias("time"), F.get(tokens(F.col("value")), F.lit(1)).try_cast("double").alias("local_time"), "value", F.posexplode("energies").alias("e", "energy"))
+    return body.select("path", "particle", "time", "local_time", "energy", cell(F.col("e"), 33, 2).try_cast("int").alias("satellites"), _number(cell(F.col("e"), 105, 18)).alias("flux"))
+
+
+def read_boundary_flux(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, species, time, run_time, energy, local_time, flux): rows of an energy and a flux for each local time around the clock."""
+    rows = numbered(spark, paths).withColumn("t", tokens(F.col("value")))
+    heads = rows.where("n = 0").select("path", _number(F.element_at("t", -1)).alias("run_time"))
+    found = lambda k: F.regexp_extract("path", r"ds(\w{2})_d(\d{8})_t(\d{6})", k)
+    body = rows.where("n > 0").join(heads, "path").select("path", "run_time", _number(F.get("t", F.lit(0))).alias("energy"), (F.size("t") - 1).alias("m"), F.posexplode(F.slice("t", 2, F.size("t") - 1)).alias("j", "x"))
+    time = F.try_to_timestamp(F.nullif(F.concat(found(2), found(3)), F.lit("")), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    hours = F.coalesce(F.try_divide(F.lit(24.0) * F.col("j"), F.col("m") - 1), F.lit(0.0))
+    return body.select("path", F.nullif(F.regexp_replace(found(1), "_", ""), F.lit("")).alias("species"), time.alias("time"), "run_time", "energy", hours.alias("local_time"), _number(F.col("x")).alias("flux"))
+
+
+def read_boundary_columns(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, row, local_time, column, flux): a title, rows of two leading fields and a flux for each energy, a closing line."""
+    rows = numbered(spark, paths).withColumn("last", F.max("n").over(Window.partitionBy("path")))
+    body = rows.where("n > 0 and n < last").select("path", (F.col("n") - 1).alias("row"), (F.col("last") - 1).alias("m"), tokens(F.col("value")).alias("t"))
+    cells = body.select("path", "row", "m", F.posexplode(F.slice("t", 3, F.greatest(F.size("t") - 2, F.lit(0)))).alias("column", "x"))
+    return cells.select("path", "row", F.coalesce(F.try_divide(F.lit(24.0) * F.col("row"), F.col("m") - 1), F.lit(0.0)).alias("local_time"), "column", _number(F.col("x")).alias("flux"))
+
+
+def read_field_lines(spark: SparkSession, paths: str | list[str], start: str = "2000-01-01 00:00:00") -> DataFrame:
+    """(path, time, point, altitude, values by name) of field-line output: frames of five header lines and a line for each altitude.
+
+    A header holds the title, the seconds since ``start`` as second field, the number of altitudes, one more line and the
+    names. Names of logarithmic densities, ``lgn...``, also give the densities ``n...``. Many lines' files are one table.
+    """
+    rows = numbered(spark, paths).withColumn("t", tokens(F.col("value")))
+    heads = rows.groupBy("path").agg(F.max(F.when(F.col("n") == 2, F.get("t", F.lit(0)).try_cast("int"))).alias("m"), F.max(F.when(F.col("n") == 4, F.col("t"))).alias("names"))
+    rows = rows.join(heads, "path").withColumns({"frame": F.floor(F.col("n") / (F.col("m") + 5)), "line": F.col("n") % (F.col("m") + 5)})
+    times = rows.where("line = 1").select("path", "frame", F.timestamp_add("MICROSECOND", F.round(_number(F.get("t", F.lit(1))) * 1e6).cast("long"), F.lit(start).cast("timestamp_ntz")).alias("time"))
+    body = rows.where("line > 4").join(times, ["path", "frame"])
+    names, numbers = F.slice("names", 2, F.size("t") - 1), F.transform(F.slice("t", 2, F.size("t") - 1), _number)
+    plain = F.map_from_arrays(names, numbers)
+    logs = F.map_filter(plain, lambda k, v: k.startswith("lgn"))
+    values = F.map_concat(plain, F.map_from_arrays(F.transform(F.map_keys(logs), lambda k: F.substring(k, 3, 99)), F.transform(F.map_values(logs), lambda v: F.pow(F.lit(10.0), v))))
+    return body.select("path", "time", (F.col("line") - 5).cast("int").alias("point"), _number(F.get("t", F.lit(0))).alias("altitude"), values.alias("values"))
+
+
+def read_plasma_plane(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, time, i, j, l, mlt, values by name) of a model's equatorial plane: a line of time and sizes, names, rows.
+
+    Densities become per cm3, potentials kV; L comes from the latitude ``theta``, local time from the longitude ``phi``.
+    """
+    rows = numbered(spark, paths).withColumn("t", tokens(F.col("value")))
+    heads = rows.where("n < 2").groupBy("path").agg(F.max(F.when(F.col("n") == 0, F.get("t", F.lit(0)))).alias("stamp"), F.max(F.when(F.col("n") == 1, F.col("t"))).alias("names"))
+    time = F.try_to_timestamp(F.regexp_extract("stamp", r"T=(\d{8}_\d{6})", 1), F.lit("yyyyMMdd_HHmmss")).cast("timestamp_ntz")
+    body = rows.where("n > 1").join(heads.select("path", time.alias("time"), F.transform(F.slice("names", 3, F.size("names")), lambda x: F.lower(x)).alias("names")), "path")
+    scale = F.create_map(F.lit("n"), F.lit(1e-6), F.lit("pot"), F.lit(1e-3), F.lit("corot"), F.lit(1e-3))
+    values = F.map_from_arrays("names", F.zip_with("names", F.slice("t", 3, F.size("names")), lambda k, x: _number(x) * F.coalesce(F.try_element_at(scale, k), F.lit(1.0))))
+    body = body.select("path", "time", *((F.get("t", F.lit(k)).cast("int") - 1).alias(c) for k, c in enumerate("ij")), values.alias("values"))
+    theta = F.cos(F.radians(F.col("values")["theta"]))
+    return body.select("path", "time", "i", "j", (1 / (theta * theta)).alias("l"), (F.col("values")["phi"] / 15.0).alias("mlt"), "values")

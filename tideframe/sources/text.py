@@ -280,3 +280,25 @@ def concat_files(spark: SparkSession, paths: list[str], sort: str | None = None)
     """Parquet files of like columns as one table, in order of a column if named; missing columns are null."""
     out = spark.read.option("mergeSchema", "true").parquet(*paths)
     return out.orderBy(sort) if sort else out
+
+
+def path_slice(path: Column, start: int, stop: int | None = None, step: int | None = None) -> Column:
+    """Elements of a path as in Python's slices; a single one without ``stop`` and ``step``."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    if stop is None and step is None:
+        return F.get(parts, F.lit(start) if start >= 0 else n + start)
+    place = lambda k, default: default if k is None else F.lit(k) if k >= 0 else n + k
+    low, high = place(start, F.lit(0)), F.least(place(stop, n), n)
+    chosen = F.filter(parts, lambda x, i: (i >= low) & (i < high) & (F.pmod(i - low, F.lit(step or 1)) == 0))
+    return F.array_join(chosen, "/")
+
+
+#: Electron volts of the units of energy.
+ENERGY = {"eV": 1.0, "keV": 1e3, "MeV": 1e6, "GeV": 1e9}
+
+
+def per_energy(energy: Column, flux: Column, unit: str, wanted: str) -> tuple[Column, Column]:
+    """(energy, flux) in another unit of energy; flux is per that unit."""
+    factor = ENERGY[unit] / ENERGY[wanted]
+    return energy * factor, flux / factor
