@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.functions.timescales import utc_us
+from tideframe.functions.timescales import DAY_US, utc_us
 from tideframe.operators.series import carried, row_numbers
-from tideframe.operators.statistics import draws
+from tideframe.operators.statistics import resampled
 
 
 def overlap(df: DataFrame, other: DataFrame, ts: str) -> DataFrame:
@@ -86,7 +86,7 @@ def _close(a: DataFrame, b: DataFrame, lags: DataFrame, half_us: int) -> DataFra
     """Rows of ``a`` (time ``a``) with a lag and each ``b`` within ``half`` of time plus lag, met by buckets of the window's width."""
     width = max(2 * half_us, 1)
     at = a.crossJoin(F.broadcast(lags)).withColumn("at", F.col("a") + F.col("lag_us"))
-    near = at.withColumn("_b", F.explode(F.array(*(F.floor(F.col("at") / width) + k for k in (-1, 0, 1)))))
+    near = at.withColumn("_b", F.explode(F.sequence(F.floor((F.col("at") - half_us) / width), F.floor((F.col("at") + half_us) / width))))
     return near.join(b.withColumn("_b", F.floor(F.col("b") / width)), "_b").where(F.abs(F.col("b") - F.col("at")) <= half_us)
 
 
@@ -102,44 +102,56 @@ def association(first: DataFrame, second: DataFrame, ts: str, lags_us: list[int]
     b = second.select(utc_us(F.col(ts)).alias("b"))
     hits = _close(a, b, lags, half_us)
     totals = lags.join(hits.groupBy("lag_us").count(), "lag_us", "left").select("lag_us", F.coalesce("count", F.lit(0)).alias("total"))
-    span_a, span_b = a.agg(F.min("a").alias("a0"), F.max("a").alias("a1")), b.agg(F.min("b").alias("b0"), F.max("b").alias("b1"))
-    ends = lags.crossJoin(span_a).crossJoin(span_b).select("lag_us", (F.greatest(F.col("a0") + F.col("lag_us"), "b0") - half_us).alias("start"), (F.least(F.col("a1") + F.col("lag_us"), "b1") + half_us).alias("stop"))
-    n1 = a.crossJoin(F.broadcast(ends)).where(F.col("a").between(F.col("start") - F.col("lag_us"), F.col("stop") - F.col("lag_us"))).groupBy("lag_us").agg(F.count("*").alias("n1"))
-    n2 = b.crossJoin(F.broadcast(ends)).where(F.col("b").between(F.col("start"), F.col("stop"))).groupBy("lag_us").agg(F.count("*").alias("n2"))
+    a0, a1 = a.agg(F.min("a"), F.max("a")).first()
+    b0, b1 = b.agg(F.min("b"), F.max("b")).first()
+    if a0 is None or b0 is None:
+        return totals.select("lag_us", "total", F.lit(0.0).alias("expected"))
+    spans = [(lag, max(a0 + lag, b0) - half_us, min(a1 + lag, b1) + half_us) for lag in lags_us]
+    ends = spark.createDataFrame(spans, "lag_us long, start long, stop long")
+    # the events that could take part at each lag are counted in one pass over each process
+    within = lambda df, c, shift: df.agg(*(F.count_if(F.col(c).between(lo - lag * shift, hi - lag * shift)).alias(f"n{k}") for k, (lag, lo, hi) in enumerate(spans))).first()
+    one, two = within(a, "a", 1), within(b, "b", 0)
+    n1 = spark.createDataFrame([(lag, one[k]) for k, lag in enumerate(lags_us)], "lag_us long, n1 long")
+    n2 = spark.createDataFrame([(lag, two[k]) for k, lag in enumerate(lags_us)], "lag_us long, n2 long")
     out = totals.join(ends, "lag_us").join(n1, "lag_us", "left").join(n2, "lag_us", "left")
     n = F.coalesce("n1", F.lit(0)).cast("double") * F.coalesce("n2", F.lit(0))
     return out.select("lag_us", "total", F.coalesce(F.try_divide(2.0 * n * half_us, F.col("stop") - F.col("start")), F.lit(0.0)).alias("expected"))
 
 
-def superposed_epochs(series: DataFrame, epochs: DataFrame, ts: str, value: str, keys: tuple[str, ...], half: int, aggregates: dict[str, Column] | None) -> DataFrame:
+def superposed_epochs(series: DataFrame, epochs: DataFrame, ts: str, value: str, keys: tuple[str, ...], half: int, aggregates: dict[str, Column] | None, bucket_us: int = DAY_US) -> DataFrame:
     """(lag, aggregates), or (lag, value) rows without aggregates, over the rows from ``half`` before to ``half`` after the sample nearest to each epoch.
 
-    ``aggregates`` are over the column ``value``. Epochs whose rows would leave the series are dropped.
+    ``aggregates`` are over the column ``value``. Epochs whose rows would leave the series are dropped. Samples are numbered
+    and epochs matched in buckets of time, so that no task gets a whole series.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
-    numbered = series.select(*keys, ts, F.col(value).alias("value"), F.row_number().over(w).alias("row"))
-    ends = numbered.groupBy(*keys).agg(F.max("row").alias("rows"))
-    anchors = nearest(epochs.select(*keys, ts), numbered, ts, keys, ("row",)).join(ends, list(keys))
-    anchors = anchors.where((F.col("row") > half) & (F.col("row") + half <= F.col("rows")))
+    rows = series.select(*keys, ts, F.col(value).alias("value"))
+    numbered = row_numbers(rows, [ts], F.floor(utc_us(F.col(ts)) / bucket_us), "row", keys)
+    ends = numbered.groupBy(*keys).agg(F.max("row").alias("last"))
+    anchors = nearest(epochs.select(*keys, ts), numbered, ts, keys, ("row",), bucket_us).join(ends, list(keys))
+    anchors = anchors.where((F.col("row") >= half) & (F.col("row") + half <= F.col("last")))
     wanted = anchors.select(*keys, "row", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("lag")).select(*keys, (F.col("row") + F.col("lag")).alias("row"), "lag")
     hit = wanted.join(numbered.select(*keys, "row", "value"), [*keys, "row"])
     return hit.select("lag", "value") if aggregates is None else hit.groupBy("lag").agg(*(c.alias(n) for n, c in aggregates.items()))
 
 
-def association_interval(first: DataFrame, second: DataFrame, ts: str, order: list[str], lags_us: list[int], half_us: int, reps: int, percent: float = 95.0, bucket: Column | None = None) -> DataFrame:
+def association_interval(first: DataFrame, second: DataFrame, ts: str, key: list[str], lags_us: list[int], half_us: int, reps: int, percent: float = 95.0) -> DataFrame:
     """(lag_us, total, low, high): associations at each lag and the middle ``percent`` of them when the first process is resampled.
 
-    An event's count at a lag is computed once; a replicate's total is the sum of counts times how often it drew the event.
+    An event's count at a lag is computed once; a replicate's total is the sum of counts times how often it drew the event,
+    which each event, told apart by its ``key`` columns, draws for itself, scaled to the events there are.
     """
     spark = first.sparkSession
     lags = spark.createDataFrame([(x,) for x in lags_us], "lag_us long")
-    a = row_numbers(first.select(*order, utc_us(F.col(ts)).alias("a")), order, bucket, "i").select("i", "a")
+    number = F.col(key[0]).cast("long") if len(key) == 1 and first.schema[key[0]].dataType.typeName() in ("long", "integer", "short", "byte") else F.xxhash64(*key)
+    a = first.select(number.alias("i"), utc_us(F.col(ts)).alias("a"))
     hits = _close(a, second.select(utc_us(F.col(ts)).alias("b")), lags, half_us).groupBy("lag_us", "i").agg(F.count("*").alias("c"))
-    drawn = draws(spark, reps, first.count()).groupBy("rep", "i").agg(F.count("*").alias("w"))
-    sums = drawn.join(hits, "i").groupBy("lag_us", "rep").agg(F.sum(F.col("w") * F.col("c")).alias("stat"))
+    n = first.count()
+    sizes = resampled(a.select("i"), F.col("i"), reps).groupBy("rep").agg(F.sum("weight").alias("size"))
+    sums = resampled(hits, F.col("i"), reps).groupBy("lag_us", "rep").agg(F.sum(F.col("weight") * F.col("c")).alias("s")).join(sizes, "rep")
+    sums = sums.select("lag_us", "rep", (F.col("s") * n / F.col("size")).alias("stat"))
     every = lags.crossJoin(spark.range(reps).withColumnRenamed("id", "rep")).join(sums, ["lag_us", "rep"], "left")
     tail = (1 - percent / 100) / 2
-    spread = every.groupBy("lag_us").agg(*(F.percentile(F.coalesce("stat", F.lit(0)), F.lit(q)).alias(n) for q, n in ((tail, "low"), (1 - tail, "high"))))
+    spread = every.groupBy("lag_us").agg(*(F.percentile(F.coalesce("stat", F.lit(0.0)), F.lit(q)).alias(n) for q, n in ((tail, "low"), (1 - tail, "high"))))
     totals = hits.groupBy("lag_us").agg(F.sum("c").alias("total"))
     return spread.join(totals, "lag_us", "left").select("lag_us", F.coalesce("total", F.lit(0)).alias("total"), "low", "high")
 

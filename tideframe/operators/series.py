@@ -110,16 +110,36 @@ def values_to_steps(df: DataFrame, value: str, keys: tuple[str, ...] = (), out:
     return df.join(ranks, [*keys, value])
 
 
-def out_of_order(df: DataFrame, ts: str, record: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Records whose time is before that of the record before."""
-    w = Window.partitionBy(*keys).orderBy(record)
-    return df.withColumn("_before", F.lag(ts).over(w)).where(F.col(ts) < F.col("_before")).drop("_before")
+def previous(df: DataFrame, value: str, order: list[str], keys: tuple[str, ...], bucket: Column, out: str = "previous") -> DataFrame:
+    """``df`` with ``value`` of the row before in its key; ``bucket`` (monotone in ``order``) cuts a key's rows over many tasks."""
+    df = df.withColumn("_bucket", bucket)
+    place = F.struct(*order)
+    edges = df.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), place).alias("_edge"))
+    entry = edges.select(*keys, "_bucket", F.lag("_edge").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_in"))
+    inner = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    rows = df.withColumn("_own", inner).join(entry, [*keys, "_bucket"])
+    return rows.withColumn(out, F.coalesce("_own", "_in")["v"]).drop("_bucket", "_own", "_in")
+
+
+def out_of_order(df: DataFrame, ts: str, record: str, keys: tuple[str, ...] = (), bucket: Column | None = None) -> DataFrame:
+    """Records whose time is before that of the record before; with ``bucket`` (monotone in ``record``) over many tasks a key."""
+    if bucket is None:
+        rows = df.withColumn("_before", F.lag(ts).over(Window.partitionBy(*keys).orderBy(record)))
+    else:
+        rows = previous(df, ts, [record], keys, bucket, "_before")
+    return rows.where(F.col(ts) < F.col("_before")).drop("_before")
 
 
-def refractory(df: DataFrame, ts: str, period_us: int, keys: tuple[str, ...]) -> DataFrame:
-    """Events kept when later than the last kept one by more than ``period``: a recurrence, so one pass over each key in Arrow."""
+def refractory(df: DataFrame, ts: str, period_us: int, keys: tuple[str, ...], bucket_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """Events kept when later than the last kept one by more than ``period``.
+
+    An event after a gap longer than ``period`` is kept whatever came before, so a series falls into runs that such gaps
+    part, and each run is a group of its own; the recurrence within a run is one pass in Arrow. Runs are found in buckets.
+    """
     import pandas as pd
 
+    columns = df.columns
+
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_us", kind="stable")
         us, chosen, last = pdf["_us"].to_numpy(), [], None
@@ -127,10 +147,18 @@ def refractory(df: DataFrame, ts: str, period_us: int, keys: tuple[str, ...]) ->
             if last is None or t > last + period_us:
                 chosen.append(i)
                 last = t
-        return pdf.iloc[chosen].drop(columns="_us")
+        return pdf.iloc[chosen][columns]
 
     rows = df.withColumn("_us", utc_us(F.col(ts)))
-    return rows.groupBy(*keys).applyInPandas(keep, df.schema)
+    bucket = F.floor(F.col("_us") / bucket_us)
+    rows = previous(rows, "_us", ["_us"], keys, bucket, "_before")
+    starts = F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") > period_us), F.col("_us"))
+    rows = carried(rows, keys, "_us", {"_run": starts}, bucket).drop("_before")
+    # runs of one event need no pass
+    size = rows.groupBy(*keys, "_run").agg(F.count("*").alias("_size"))
+    rows = rows.join(size, [*keys, "_run"])
+    alone = rows.where("_size = 1").select(*df.columns)
+    return alone.union(rows.where("_size > 1").drop("_size").groupBy(*keys, "_run").applyInPandas(keep, df.schema))
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: tuple[str, ...]) -> DataFrame:
@@ -139,16 +167,17 @@ def sessions(df: DataFrame, ts: str, gap: str, keys: tuple[str, ...]) -> DataFra
     return df.select(*keys, plain.alias("t")).groupBy(*keys, F.session_window("t", gap)).agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"))
 
 
-def row_numbers(df: DataFrame, order: list[str], bucket: Column | None = None, out: str = "row") -> DataFrame:
-    """``df`` with 0-based row numbers over the whole input, ordered by ``order``.
+def row_numbers(df: DataFrame, order: list[str], bucket: Column, out: str = "row", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with 0-based row numbers over the whole input, or over each key, ordered by ``order``.
 
-    With ``bucket`` (monotone in ``order``) rows are numbered within their bucket and shifted by the counts of the buckets
-    before, so that no task gets more than one bucket; without it one task numbers everything, for samples alone.
+    ``bucket`` is monotone in ``order``: rows are numbered within their bucket and shifted by the counts of the buckets
+    before, so that no task gets more than one bucket of one key.
     """
-    if bucket is None:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     rows = df.withColumn("_bucket", bucket)
-    before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    counts = rows.groupBy("_bucket").count().select(F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    rows = rows.withColumn(out, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1)
-    return rows.join(counts, rows["_bucket"].eqNullSafe(counts["_b"])).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_b", "_before")
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy(*keys, "_bucket").count().select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
+    same = rows["_bucket"].eqNullSafe(counts["_b"])
+    for k in keys:
+        same = same & rows[k].eqNullSafe(counts[f"_k_{k}"])
+    return rows.join(counts, same).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_b", "_before", *(f"_k_{k}" for k in keys))

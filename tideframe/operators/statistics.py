@@ -3,24 +3,52 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideframe.operators.series import row_numbers
+
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: tuple[str, ...] = (), buckets: int = 1024) -> DataFrame:
+    """(keys, one column for each name in ``wanted``): exact quantiles, interpolated between neighbours.
+
+    No task holds a key's values: equal-width buckets between a key's ends are counted, the counts tell in which bucket each
+    rank lies, and only these buckets' values are ordered.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    rows = rows.join(ends, list(keys)) if keys else rows.crossJoin(F.broadcast(ends))
+    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    rows = rows.select(*keys, "_v", "_n", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("_b"))
+    counts = rows.groupBy(*keys, "_n", "_b").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_to", F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
+    ranks = F.array(*(F.struct(F.lit(n).alias("name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for n, q in wanted.items()))
+    held = lambda x: (F.floor(x["at"]) < F.col("_to")) & (F.ceil(x["at"]) >= F.col("_from"))
+    chosen = counts.withColumn("_at", F.filter(ranks, held)).where(F.size("_at") > 0).select(*keys, "_b", "_from", "_at")
+    ordered = rows.select(*keys, "_v", "_b").join(chosen, [*keys, "_b"])
+    ordered = ordered.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) - 1 + F.col("_from"))
+    ordered = ordered.select(*keys, "_v", "_r", F.explode("_at").alias("_x")).where((F.col("_r") == F.floor("_x.at")) | (F.col("_r") == F.ceil("_x.at")))
+    low, high = (F.max(F.when(F.col("_r") == f(F.col("_x.at")), F.col("_v"))) for f in (F.floor, F.ceil))
+    each = ordered.groupBy(*keys, F.col("_x.name").alias("_name"), F.col("_x.at").alias("_p")).agg(low.alias("_lo"), high.alias("_hi"))
+    each = each.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_p") - F.floor("_p")))
+    return each.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in wanted))
 
 
 def median_absolute_deviation(df: DataFrame, value: str, keys: tuple[str, ...] = (), scale: bool = False) -> DataFrame:
     """(keys, median, mad): the median and the median distance from it."""
-    mid = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    mid = quantiles(df, value, {"median": 0.5}, keys)
     rows = df.join(mid, list(keys)) if keys else df.crossJoin(F.broadcast(mid))
-    mad = F.percentile(F.abs(F.col(value) - F.col("median")), F.lit(0.5))
-    return rows.groupBy(*keys, "median").agg((mad * 1.4826 if scale else mad).alias("mad"))
+    far = quantiles(rows.select(*keys, F.abs(F.col(value) - F.col("median")).alias("far")), "far", {"mad": 0.5}, keys)
+    out = mid.join(far, list(keys)) if keys else mid.crossJoin(F.broadcast(far))
+    return out.select(*keys, "median", (F.col("mad") * 1.4826 if scale else F.col("mad")).alias("mad"))
 
 
 def histogram_rule(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, width, bins) by the quartile rule; by the root of the count where that rule gives no or too many bins."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.lit(0.25)).alias("a"), F.percentile(value, F.lit(0.75)).alias("b"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    q = quantiles(df, value, {"a": 0.25, "b": 0.75}, keys)
+    ends = df.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+    q = q.join(ends, list(keys)) if keys else q.crossJoin(F.broadcast(ends))
     width = 2 * (F.col("b") - F.col("a")) / F.cbrt(F.col("n").cast("double"))
     q = q.withColumn("width", width).withColumn("bins", F.when(width != 0, F.bround(F.try_divide(F.col("high") - F.col("low"), width))))
     poor = F.col("bins").isNull() | (F.col("bins") == 0) | (F.col("bins") >= F.col("n") / 2)
@@ -86,24 +114,53 @@ def percentile_of(df: DataFrame, value: str, target: float, keys: tuple[str, ...
     return s.select(*keys, F.when(F.col("le") == 0, 0.0).when(F.col("lt") == F.col("n"), 100.0).when(F.col("lt") == F.col("le"), between).otherwise(ties).alias("percentile"))
 
 
-def draw(rep: Column, i: Column, n: Column) -> Column:
-    """A reproducible row number 0 ... n-1 for draw ``i`` of replicate ``rep``."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", rep.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long"), n)
+def poisson_steps(mean: float) -> list[float]:
+    """The cumulative probabilities of a Poisson distribution, until nothing of note is left."""
+    term = total = math.exp(-mean)
+    out = [total]
+    while total < 1 - 1e-12 and len(out) < 200:
+        term *= mean / len(out)
+        total += term
+        out.append(total)
+    return out
+
+
+#: A prime of 31 bits; squares of what is below it fit a long.
+PRIME = 2147483647
 
 
-def bootstrap(df: DataFrame, value: str, order: list[str], reps: int, agg: Column, size: int | None = None, bucket: Column | None = None) -> DataFrame:
-    """(rep, stat) of ``agg`` over ``value`` of rows drawn with replacement, ``size`` for each replicate.
+def uniform(key: Column, rep: Column) -> Column:
+    """A reproducible number in [0, 1) for a row's long ``key`` and a replicate: quadratic maps modulo a prime."""
+    prime = F.lit(PRIME).cast("long")
+    a, rep = F.pmod(key.cast("long"), prime), rep.cast("long")
+    x = F.pmod(a * 48271 + rep * 69621 + 1, prime)
+    for factor, plus in ((7, rep + 3), (11, a), (13, F.lit(5))):
+        x = F.pmod(x * x + x * factor + plus, prime)
+    return x / float(PRIME)
 
-    Rows are numbered in ``order``; ``bucket`` (monotone in it) deals the numbering over tasks.
+
+def resampled(df: DataFrame, key: Column, reps: int, mean: float = 1.0) -> DataFrame:
+    """``df`` with (rep, weight): how often each of ``reps`` resamplings draws each row, as Poisson numbers; rows drawn alone.
+
+    Each row draws for itself where it is read, so resampling needs no numbering and no join, and what follows aggregates
+    before its shuffle. The sizes of the samples vary as the square root of their mean; totals are scaled by them.
     """
-    rows = row_numbers(df.select(*order, F.col(value).alias("value")), order, bucket, "i").select("i", "value")
-    return draws(df.sparkSession, reps, rows.count(), size).join(rows, "i").groupBy("rep").agg(agg.alias("stat"))
+    rows = df.withColumn("_key", key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_u", uniform(F.col("_key"), F.col("rep")))
+    times = F.lit(0)
+    for k, c in enumerate(poisson_steps(mean)):
+        times = F.when(F.col("_u") < c, k) if k == 0 else times.when(F.col("_u") < c, k)
+    weight = times.otherwise(len(poisson_steps(mean)))
+    return rows.withColumn("weight", weight).drop("_key", "_u").where("weight > 0")
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    return F.try_divide(F.sum(value * weight), F.sum(weight))
 
 
-def draws(spark, reps: int, n: int, size: int | None = None) -> DataFrame:
-    """(rep, i): the row numbers that each replicate draws."""
-    every = spark.range(reps * (size or n))
-    return every.select(F.floor(F.col("id") / (size or n)).alias("rep"), (F.col("id") % (size or n)).alias("j")).select("rep", draw(F.col("rep"), F.col("j"), F.lit(n)).alias("i"))
+def bootstrap(df: DataFrame, value: str, key: Column, reps: int, agg: Callable[[Column, Column], Column] = weighted_mean, mean: float = 1.0) -> DataFrame:
+    """(rep, stat) of ``agg`` of value and weight over resampled rows; ``key`` tells rows apart, ``mean`` scales the samples."""
+    rows = resampled(df.select(F.col(value).alias("value"), key.alias("key")), F.col("key"), reps, mean)
+    return rows.groupBy("rep").agg(agg(F.col("value"), F.col("weight")).alias("stat"))
 
 
 def interval(stats: DataFrame, percent: float = 90.0) -> DataFrame:
@@ -129,19 +186,21 @@ def spectrogram_slice(cells: DataFrame, at: float, axis: str, edges: tuple[float
     return cells.where(F.col(axis) == bin_of(F.lit(at), *edges))
 
 
-def histogram_interval(df: DataFrame, value: str, order: list[str], low: float, width: float, bins: int, reps: int, percent: float = 90.0, bucket: Column | None = None) -> DataFrame:
+def histogram_interval(df: DataFrame, value: str, key: Column, low: float, width: float, bins: int, reps: int, percent: float = 90.0) -> DataFrame:
     """(bin, n, low, high): the counts of all bins and the middle ``percent`` of their counts over resampled data.
 
-    Only (bin, row number) is resampled; counts are aggregated before they meet, so ``reps`` times ``bins`` rows are kept.
+    Rows are weighted where they are read; ``reps`` times ``bins`` rows of each task are shuffled.
     """
-    rows = row_numbers(df.select(*order, bin_of(F.col(value), low, width, bins).alias("bin")), order, bucket, "i").select("i", "bin")
-    spark = df.sparkSession
+    rows = df.select(bin_of(F.col(value), low, width, bins).alias("bin"), key.alias("key"))
+    spark, n = df.sparkSession, df.count()
     grid = spark.range(bins).withColumnRenamed("id", "bin")
-    hits = draws(spark, reps, rows.count()).join(rows.where("bin is not null"), "i").groupBy("rep", "bin").agg(F.count("*").alias("c"))
+    drawn = resampled(rows, F.col("key"), reps).groupBy("rep", "bin").agg(F.sum("weight").alias("c"))
+    sizes = drawn.groupBy("rep").agg(F.sum("c").alias("size"))
+    hits = drawn.where("bin is not null").join(sizes, "rep").select("rep", "bin", (F.col("c") * n / F.col("size")).alias("c"))
     every = spark.range(reps * bins).select(F.floor(F.col("id") / bins).alias("rep"), (F.col("id") % bins).alias("bin"))
     tail = (1 - percent / 100) / 2
-    counts = every.join(hits, ["rep", "bin"], "left").groupBy("bin").agg(*(F.percentile(F.coalesce("c", F.lit(0)), F.lit(q)).alias(n) for q, n in ((tail, "low"), (1 - tail, "high"))))
-    sample = rows.groupBy("bin").agg(F.count("*").alias("n"))
+    counts = every.join(hits, ["rep", "bin"], "left").groupBy("bin").agg(*(F.percentile(F.coalesce("c", F.lit(0.0)), F.lit(q)).alias(n) for q, n in ((tail, "low"), (1 - tail, "high"))))
+    sample = rows.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
     return grid.join(sample, "bin", "left").join(counts, "bin").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "low", "high")
 
 

@@ -15,6 +15,7 @@ from tideframe.operators import series as N
 from tideframe.operators import shape as H
 from tideframe.operators import statistics as S
 from tideframe.plans.registry import Registry, r6, table
+from tideframe.plans.stats_queries import weighted_sql
 
 query = Registry()
 MINUTE = 60_000_000
@@ -121,30 +122,25 @@ def array_bin_sizes(spark, sf_dir):
     return _lists(spark, sf_dir).select("l_orderkey", *(F.size(F.get(bins, F.lit(k))).alias(n) for k, n in enumerate(("low", "mid", "high"))))
 
 
-_RESAMPLED = """
-r as (select row_number() over (order by ts) - 1 i, * from events where user_id < 5), n as (select count(*) n from r),
-d as (select rep, ('0x' || substr(md5(rep::varchar || ':' || j::varchar), 1, 8))::bigint % n i from n, (select unnest(range(50)) rep), (select unnest(range(n)) j from n))"""
-
-
-@query(f"""with {_RESAMPLED}, c as (select rep, floor(value / 100)::bigint b, count(*) c from d join r using (i) where value between 0 and 500 group by all),
+@query(weighted_sql("select event_id k, value from events", 50) + """, c as (select rep, floor(value / 100)::bigint b, sum(w) * any_value(n) / any_value(size) c from d join r using (k) join z using (rep) where value >= 0 and value < 500 group by all),
 g as (select rep, b, coalesce(c, 0) c from (select unnest(range(50)) rep) cross join (select unnest(range(5)) b) left join c using (rep, b))
-select b::bigint bin, (select count(*) from r where floor(value / 100) = g.b)::bigint n, round(quantile_cont(c, 0.05), 6) low, round(quantile_cont(c, 0.95), 6) high from g group by b""")
+select b::bigint bin, (select count(*) from r where value >= 0 and floor(value / 100) = g.b)::bigint n, round(quantile_cont(c, 0.05), 6) low, round(quantile_cont(c, 0.95), 6) high from g group by b""")
 def histogram_ci(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("user_id < 5")
-    out = S.histogram_interval(rows, "value", ["ts"], 0.0, 100.0, 5, 50, bucket=F.floor(utc_us(F.col("ts")) / DAY_US))
+    rows = table(spark, sf_dir, "events")
+    out = S.histogram_interval(rows, "value", F.col("event_id"), 0.0, 100.0, 5, 50)
     return out.select("bin", "n", r6("low").alias("low"), r6("high").alias("high"))
 
 
 _LAGS = [k * 120 * MINUTE for k in range(-2, 3)]
 
 
-@query(f"""with {_RESAMPLED}, h as (select lag_us, r.i, count(*) c from r, (select unnest([{', '.join(map(str, _LAGS))}])::bigint lag_us) join (select epoch_us(ts) b from events where event_type = 'error') on true
- where abs(b - epoch_us(r.ts) - lag_us) <= {60 * MINUTE} group by all),
-t as (select lag_us, rep, coalesce(sum(c), 0) s from (select unnest([{', '.join(map(str, _LAGS))}])::bigint lag_us) cross join d left join h using (lag_us, i) group by all)
-select lag_us, coalesce((select sum(c) from h where h.lag_us = t.lag_us), 0)::bigint total, round(quantile_cont(s, 0.025), 6) low, round(quantile_cont(s, 0.975), 6) high from t group by lag_us""")
+@query(weighted_sql("select event_id k, epoch_us(ts) t from events where event_type = 'signup'", 50) + f""", l as (select unnest([{', '.join(map(str, _LAGS))}])::bigint lag_us),
+hit as (select lag_us, r.k, count(*) c from r, l join (select epoch_us(ts) b from events where event_type = 'error') on true where abs(b - t - lag_us) <= {60 * MINUTE} group by all),
+t as (select l.lag_us, x.rep, coalesce(sum(w * c), 0) s from l cross join (select unnest(range(50)) rep) x left join (select hit.lag_us, d.rep, d.w * n / size w, hit.c from hit join d using (k) join z using (rep)) y on y.lag_us = l.lag_us and y.rep = x.rep group by all)
+select lag_us, coalesce((select sum(c) from hit where hit.lag_us = t.lag_us), 0)::bigint total, round(quantile_cont(s, 0.025), 6) low, round(quantile_cont(s, 0.975), 6) high from t group by lag_us""")
 def assoc_ci(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    out = M.association_interval(events.where("user_id < 5"), events.where("event_type = 'error'"), "ts", ["ts"], _LAGS, 60 * MINUTE, 50, bucket=F.floor(utc_us(F.col("ts")) / DAY_US))
+    out = M.association_interval(events.where("event_type = 'signup'"), events.where("event_type = 'error'"), "ts", ["event_id"], _LAGS, 60 * MINUTE, 50)
     return out.select("lag_us", "total", r6("low").alias("low"), r6("high").alias("high"))
 
 

@@ -82,11 +82,9 @@ def values_to_steps(spark, sf_dir):
 @query("""
 select event_id, ts from (select *, lag(ts) over (partition by event_type order by value, event_id) b from events) where ts < b""")
 def out_of_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events")
-    rows = rows.withColumn("record", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")))
-    return S.out_of_order(rows, "ts", "record", ("event_type",)).select("event_id", "ts")
+    """Records of each type in order of their value, numbered and compared in buckets of values and of numbers."""
+    rows = S.row_numbers(table(spark, sf_dir, "events"), ["value", "event_id"], F.floor(F.col("value") / 10), "record", ("event_type",))
+    return S.out_of_order(rows, "ts", "record", ("event_type",), F.floor(F.col("record") / 100_000)).select("event_id", "ts")
 
 
 @query("""
@@ -122,10 +120,7 @@ w as (select event_type, value, unnest(range(greatest(0, floor((i - 50) / 25.0)
 select event_type, k::bigint as k, round(avg(value), 6) mean from w group by event_type, k having count(*) = 50""")
 def point_window_mean(spark, sf_dir):
     """Windows of 50 samples that overlap by 25."""
-    from pyspark.sql import Window
-
-    i = F.row_number().over(Window.partitionBy("event_type").orderBy("ts")) - 1
-    rows = table(spark, sf_dir, "events").select("event_type", "value", i.alias("i"))
+    rows = S.row_numbers(table(spark, sf_dir, "events"), ["ts"], F.floor(utc_us(F.col("ts")) / DAY_US), "i", ("event_type",)).select("event_type", "value", "i")
     k = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("i") - 50) / 25).cast("int") + 1), F.floor(F.col("i") / 25).cast("int")))
     out = rows.select("event_type", "value", k.alias("k")).groupBy("event_type", "k").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     return out.where("n = 50").select("event_type", F.col("k").cast("long").alias("k"), r6("mean").alias("mean"))

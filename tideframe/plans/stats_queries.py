@@ -10,6 +10,16 @@ from tideframe.plans.registry import Registry, r6, table
 query = Registry()
 
 
+def weighted_sql(rows: str, reps: int) -> str:
+    """SQL of r (k and other columns), d (k, rep, w), how often each replicate draws each row, and z (rep, size)."""
+    cuts = " ".join(f"when u < {c!r} then {k}" for k, c in enumerate(S.poisson_steps(1.0)))
+    p = S.PRIME
+    return f"""
+with r as ({rows}), x0 as (select k, rep, k % {p} a, (k % {p} * 48271 + rep * 69621 + 1) % {p} x from r, (select unnest(range({reps})) rep)),
+x1 as (select *, (x * x + x * 7 + rep + 3) % {p} x1 from x0), x2 as (select *, (x1 * x1 + x1 * 11 + a) % {p} x2 from x1), x3 as (select k, rep, ((x2 * x2 + x2 * 13 + 5) % {p}) / {p}.0::double u from x2),
+d as (select k, rep, case {cuts} else {len(S.poisson_steps(1.0))} end w from x3), z as (select rep, sum(w)::double size, (select count(*) from r) n from d group by rep)"""
+
+
 @query("""
 with m as (select event_type, quantile_cont(value, 0.5) m from events group by event_type)
 select event_type, round(any_value(m), 6) median, round(quantile_cont(abs(value - m), 0.5) * 1.4826, 6) mad from events join m using (event_type) group by event_type""")
@@ -73,14 +83,11 @@ def value_percentile(spark, sf_dir):
     return S.percentile_of(table(spark, sf_dir, "events"), "value", 123.45, ("event_type",)).withColumn("percentile", r6("percentile"))
 
 
-@query("""
-with r as (select value, row_number() over (order by event_id) - 1 i, count(*) over () n from events where user_id = 7),
-d as (select rep, (('0x' || substr(md5(rep::varchar || ':' || j::varchar), 1, 8))::bigint) % (select max(n) from r) i from (select unnest(range(200)) rep), (select unnest(range((select max(n) from r))) j)),
-m as (select rep, avg(value) stat from d join r using (i) group by rep)
+@query(weighted_sql("select event_id k, value from events", 100) + """,
+m as (select rep, sum(value * w) / sum(w) stat from d join r using (k) group by rep)
 select round(quantile_cont(stat, 0.05), 6) low, round(quantile_cont(stat, 0.95), 6) high from m""")
 def bootstrap_ci(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("user_id = 7")
-    out = S.interval(S.bootstrap(rows, "value", ["event_id"], 200, F.avg("value")), 90.0)
+    out = S.interval(S.bootstrap(table(spark, sf_dir, "events"), "value", F.col("event_id"), 100), 90.0)
     return out.select(r6("low").alias("low"), r6("high").alias("high"))
 
 

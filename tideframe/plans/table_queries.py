@@ -10,6 +10,7 @@ from tideframe.functions import plasma as P
 from tideframe.functions import vectors as V
 from tideframe.operators import rules as R
 from tideframe.operators import shape as H
+from tideframe.operators.series import row_numbers
 from tideframe.plans.registry import Registry, r6, table
 
 query = Registry()
@@ -117,10 +118,10 @@ def plasma_frame(spark, sf_dir):
 @query("""
 select p_partkey, lower(p_brand) as brand, row_number() over (order by regexp_extract(lower(p_brand), '^[^0-9]*'), coalesce(try_cast(regexp_extract(p_brand, '([0-9]+)', 1) as int), -1), p_partkey)::int as place from part""")
 def human_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    key = H.natural_key(F.col("p_brand"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("brand"), F.row_number().over(Window.orderBy(key, "p_partkey")).alias("place"))
+    """Places in natural order; rows of one key are cut into buckets of a million keys of the table."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("brand"), H.natural_key(F.col("p_brand")).alias("key"))
+    bucket = F.struct(F.col("key").alias("key"), F.floor(F.col("p_partkey") / 1_000_000).alias("part"))
+    return row_numbers(rows, ["key", "p_partkey"], bucket).select("p_partkey", "brand", (F.col("row") + 1).cast("int").alias("place"))
 
 
 @query("select i::bigint id, round(2.0 + i * (8.0 / 40), 6) lin, round(pow(10.0, i * (3.0 / 40)), 6) log, round(1.5 * pow(1.1, i), 6) geo from (select unnest(range(41)) i)")

@@ -7,12 +7,15 @@ the file is read whole and cut into numbered lines in the tasks.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lines in which a file's header ends.
+HEADER_LINES = 5000
 PARTS = ("year", "month", "day", "hour", "minute", "second", "milli")
 _SHORT = {"year": ("year", "yyyy", "yr"), "month": ("mo", "month", "mm"), "day": ("dy", "day", "dd"), "hour": ("hr", "hour", "hh"), "minute": ("mn", "min", "minute", "mi"), "second": ("sc", "sec", "second", "ss"), "milli": ("msc", "ms", "millisecond")}
 
@@ -46,8 +49,8 @@ def _time(part: dict[str, Column]) -> Column:
 
 def json_header(spark: SparkSession, path: str) -> dict:
     """The JSON that stands behind ``#`` at the top of a file."""
-    head = [r["value"].lstrip()[1:] for r in spark.read.text(path).where(F.ltrim("value").startswith("#")).collect()]
-    text = "\n".join(head)
+    head = [r["value"].lstrip() for r in spark.read.text(path).limit(HEADER_LINES).collect()]
+    text = "\n".join(x[1:] for x in itertools.takewhile(lambda x: x.startswith("#") or not x, head))
     try:
         return json.loads(text[text.index("{") : text.rindex("}") + 1])
     except ValueError:
