@@ -109,6 +109,7 @@ def matrices(us: np.ndarray, leaps: np.ndarray) -> dict[str, np.ndarray]:
     jd = us / 86400e6 + 2440587.5
     jd_tt = jd + (leaps + 32.184) / 86400
     t = (jd_tt - 2451545.0) / 36525
+    # fixed values: mean obliquity, precession angles, equation of the equinoxes
     mean = (84381.448 - 46.8150 * t - 0.00059 * t**2 + 0.001813 * t**3) * ARCSEC
     zeta, zee, theta = (np.radians(a * t + b * t**2 + c * t**3) for a, b, c in ((0.6406161, 0.0000839, 5.0e-6), (0.6406161, 0.0003041, 5.1e-6), (0.5567530, -0.0001185, -1.16e-5)))
     precession = _axis(2, -zee) @ _axis(1, theta) @ _axis(2, -zeta)
@@ -118,6 +119,7 @@ def matrices(us: np.ndarray, leaps: np.ndarray) -> dict[str, np.ndarray]:
     equinoxes = (psi * np.cos(mean) + 0.00264 * np.sin(node) + 0.000063 * np.sin(2 * node)) * ARCSEC
     gmst = sidereal_time(jd)
 
+    # fixed values: the Sun's eccentricity, perigee and mean longitude
     since_1900 = (jd - 2415020.0) / 36525
     ecc = 0.01675104 - 0.0000418 * since_1900 - 0.000000126 * since_1900**2
     perigee = np.radians(282.768422)

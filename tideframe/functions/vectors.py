@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -108,3 +108,8 @@ def quat_from_matrix(m: list[list[Column]]) -> Quaternion:
     pick = [F.when(lead == big[3], rows[3][k]).when(lead == big[0], rows[0][k]).when(lead == big[1], rows[1][k]).otherwise(rows[2][k]) for k in range(4)]
     scale = 2 * F.sqrt(lead)
     return tuple(p / scale for p in pick)
+
+
+def in_degrees(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``df`` with columns in degrees beside those in radians; ``names`` maps the old to the new ones."""
+    return df.withColumns({new: F.degrees(old) for old, new in names.items() if old in df.columns})

@@ -163,3 +163,8 @@ def leaf_of(points: DataFrame, leaves: DataFrame, cell: float) -> DataFrame:
     p = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     hit = p.join(at, ["_cx", "_cy"]).where("x >= x0 and x < x1 and y >= y0 and y < y1")
     return hit.select("id", "x", "y", "leaf")
+
+
+def step_matrix(l_grid: np.ndarray, dll: np.ndarray, dt: float) -> np.ndarray:
+    """The matrix of one diffusion step, which an ensemble's members share: column k is the step from a unit at grid point k."""
+    return np.stack([diffuse(unit, l_grid, dll, dt) for unit in np.eye(len(l_grid))], 1)

@@ -186,3 +186,12 @@ def all_epochs(epochs: DataFrame, dropped: DataFrame, ts: str) -> DataFrame:
 def span_of(df: DataFrame, ts: str) -> DataFrame:
     """(first, last): the times at which a table begins and ends; read from the files' statistics where these have them."""
     return df.agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def side_by_side(analyses: dict[str, DataFrame]) -> DataFrame:
+    """Superposed epoch results of several variables as one table, told apart by the column ``variable``."""
+    out = None
+    for name, df in analyses.items():
+        named = df.select(F.lit(name).alias("variable"), "*")
+        out = named if out is None else out.unionByName(named)
+    return out

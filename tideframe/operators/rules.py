@@ -198,3 +198,29 @@ def all_checks(catalogue: DataFrame) -> DataFrame:
     for check in CHECKS[1:]:
         out = out.union(check(catalogue))
     return out
+
+
+def attributes(kind: str = "data", dimensions: int = 1, fixed: bool = False, type: str = "float") -> dict[str, object]:
+    """The attributes that a variable of a kind (data, support_data, metadata) should have, with what can be said beforehand.
+
+    ``fixed`` variables do not vary from record to record. Blank texts are to be filled in.
+    """
+    if kind not in ("data", "support_data", "metadata"):
+        raise ValueError("kinds are data, support_data and metadata")
+    fill = {"char": " ", "int": FILL["bigint"], "tt2000": FILL["bigint"]}.get(type, -1e31)
+    out: dict[str, object] = {"CATDESC": "", "FIELDNAM": "", "VAR_TYPE": kind, "FILLVAL": fill}
+    if type != "char":
+        out |= {"LABLAXIS": "", "SI_CONVERSION": " > ", "UNITS": " ", "VALIDMIN": "", "VALIDMAX": ""}
+    if kind == "data":
+        out |= {"DISPLAY_TYPE": "time_series" if dimensions == 1 else "spectrogram"}
+    if not fixed and type != "tt2000":
+        out["DEPEND_0"] = "Epoch"
+    out |= {f"DEPEND_{k}": "" for k in range(1, dimensions)}
+    if type == "tt2000":
+        out |= {"UNITS": "ns", "MONOTON": "INCREASE", "TIME_BASE": "J2000", "TIME_SCALE": "Terrestrial Time", "REFERENCE_POSITION": "Rotating Earth Geoid"}
+    return out
+
+
+def missing_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """Those of the ``names`` that are no columns."""
+    return [n for n in names if n not in df.columns]

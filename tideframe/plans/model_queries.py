@@ -336,3 +336,57 @@ def station_fields(spark, sf_dir):
     rows = _events(spark, sf_dir).select("event_id", v.alias("gm_dBn"), u.alias("ie_JpBn"), v.alias("gm_dBe"), v.alias("ie_JpBe"), (2 * u).alias("gm_dBd"), u.alias("ie_JhdBd"))
     rows = D.station_totals(rows)
     return rows.select("event_id", r6("dBn").alias("n"), r6("dBe").alias("e"), r6("dBd").alias("d"), r6("dBnMhd").alias("mhd"), r6(P.horizontal_current((F.col("dBn"), F.col("dBe")))).alias("h"))
+
+
+@query("""
+with e as (select event_type, value, user_id from events)
+select 'value' as variable, event_type, count(*)::bigint n, round(avg(value), 6) mean from e group by event_type union all select 'user', event_type, count(*)::bigint, round(avg(user_id::double), 6) from e group by event_type""")
+def variables_side_by_side(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    mean = lambda c: rows.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg(F.col(c).cast("double"))).alias("mean"))
+    return M.side_by_side({"value": mean("value"), "user": mean("user_id")})
+
+
+@query("select event_id, round(degrees(value / 100), 6) lat, round(degrees(user_id / 50.0), 6) lon from events")
+def positions_in_degrees(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", (F.col("value") / 100).alias("Latitude"), (F.col("user_id") / 50.0).alias("Longitude"))
+    return V.in_degrees(rows, {"Latitude": "lat", "Longitude": "lon", "Height": "none"}).select("event_id", r6("lat").alias("lat"), r6("lon").alias("lon"))
+
+
+_STEPS = """
+with recursive p as (select user_id run, 3 + 0.25 * k l, k, 1 + user_id % 7 + k * k / 10.0 f from (select distinct user_id from events), (select unnest(range(13)) k))"""
+
+
+@query(_STEPS + " select run, round(l, 4) l, round(f, 6) psd from p where k in (0, 12)")
+def diffusion_ends(spark, sf_dir):
+    """Radial diffusion of a profile for each user: the ends of the profiles stay."""
+    users = _events(spark, sf_dir).select("user_id").distinct()
+    k = F.col("k")
+    runs = users.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(12)))).select(F.col("user_id").alias("run"), (3 + 0.25 * k).alias("l"), (1 + F.col("user_id") % 7 + k * k / 10.0).alias("psd"))
+    kp = users.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(F.col("user_id").alias("run"), "step", (F.col("user_id") % 9).cast("double").alias("kp"))
+    out = I.radial_diffusion(runs, kp, 0.05)
+    return out.where("step = 5 and (l = 3 or l = 6)").select("run", F.round("l", 4).alias("l"), r6("psd").alias("psd"))
+
+
+@query("select user_id as run, (epoch_us(min(ts)) % 5)::int as member, round(avg(value), 6) psd from events group by user_id")
+def assimilation_of_nothing(spark, sf_dir):
+    """States of runs without observations stay as they are."""
+    rows = _events(spark, sf_dir).groupBy(F.col("user_id").alias("run")).agg(F.pmod(F.min(T.utc_us(F.col("ts"))), F.lit(5)).cast("int").alias("member"), F.avg("value").alias("psd"))
+    observed = rows.select("run", F.lit(4.0).alias("l"), "psd", F.lit(0.1).alias("spread")).limit(0)
+    out = I.assimilate(rows.select("run", "member", F.lit(4.0).alias("l"), "psd"), observed)
+    return out.select("run", "member", r6("psd").alias("psd"))
+
+
+@query("""
+with s as (select c_custkey seed, 1 + c_custkey % 40 * 0.1 x0, 1 + c_custkey % 30 * 0.1 y0 from customer), t as (select *, unnest(range(21)) step from s)
+select seed, step::int step, round(x0 + step * 0.08 * 0.5, 5)::double x, round(y0 + step * 0.06 * 0.5, 5)::double y from t""")
+def straight_streamlines(spark, sf_dir):
+    """Lines of an even field from each customer's seed."""
+    import numpy as np
+
+    k = F.col("c_custkey")
+    seeds = table(spark, sf_dir, "customer").select(k.alias("seed"), (1 + k % 40 * 0.1).alias("x"), (1 + k % 30 * 0.1).alias("y"))
+    grid = np.arange(0, 20.5, 0.5)
+    shape = (len(grid), len(grid))
+    out = I.streamlines(seeds, grid, grid, np.full(shape, 4.0), np.full(shape, 3.0), steps=20, ds=0.1)
+    return out.select("seed", "step", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))

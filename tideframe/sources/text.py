@@ -305,3 +305,8 @@ def per_energy(energy: Column, flux: Column, unit: str, wanted: str) -> tuple[Co
     """(energy, flux) in another unit of energy; flux is per that unit."""
     factor = ENERGY[unit] / ENERGY[wanted]
     return energy * factor, flux / factor
+
+
+def table_variables(line: str) -> list[str]:
+    """Names of a list of quoted variables, each with its unit in brackets: the names alone."""
+    return [x.split("[")[0].strip() for x in re.findall(r'"([^"]*)"', line)]
