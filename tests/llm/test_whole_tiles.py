@@ -31,6 +31,32 @@ def test_hot_block_value(spark, monkeypatch):
     assert out == components(rows, 4, 85) and len({c for _, c in out.values()}) == 12
 
 
+def test_crowded_block_value(spark, monkeypatch):
+    """The same families, a passage in all of them, with every mixed block value taken as crowded and cut by its shingles."""
+    monkeypatch.setattr(J, "TILE", 4)
+    monkeypatch.setattr(J, "LOT", 8)
+    monkeypatch.setattr(J, "CROWD", 3)
+    monkeypatch.setattr(J, "COMMON", 0.3)
+    cut, sizes = J._by_rare_shingles, []
+
+    def counted(*args):
+        out = cut(*args)
+        sizes.append((args[1].count(), J._mixed(out).count()))
+        return out
+
+    monkeypatch.setattr(J, "_by_rare_shingles", counted)
+    common = [f"c{k}" for k in range(14)]
+    rows = []
+    for family in range(40):
+        own = [f"f{family}w{k}" for k in range(12)]
+        for copy in range(3):
+            rows.append((len(rows), " ".join(common + own + [f"x{family}y{copy}"] * (copy > 0))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(docs, 4, 85).collect()}
+    assert out == components(rows, 4, 85) and len({c for _, c in out.values()}) == 40
+    assert len(sizes) == 1 and sizes[0][0] > 0
+
+
 def test_forest_of_a_tile():
     """Documents of one block value that are all alike but in no component yet give a pair each, not all pairs."""
     for n in (200, 400):

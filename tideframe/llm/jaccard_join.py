@@ -13,8 +13,10 @@ Jobs: (1) documents with equal sets become one class, held by the smallest id; (
 block values of two or more classes, and a join brings them to their classes; (3) within each block value all classes
 are held against the smallest one: first by parity bit sketches (one bit per shingle, whose Hamming distance also bounds
 the difference from below), then exactly, on the texts; verified links give components; (4) where the other classes of
-one block value are of several components, pairs across these are compared by sketches, in tiles of bounded size. Each
-tile first gives only a forest of the pairs that pass, one pair at most for each component it could join, and these are
+one block value are of several components, pairs across these are compared by sketches, in tiles of bounded size. A block
+value of more than CROWD classes, which a passage in texts of many families makes, is first cut by shingles: two linked
+sets share one among the first of each in any common order, so with the value's common shingles put last only classes
+that share a rare one still meet. Each tile first gives only a forest of the pairs that pass, one pair at most for each component it could join, and these are
 verified exactly; only tiles that gave any are compared again under the new components, for all pairs that still pass;
 (5) final components. Copies and linked families are never expanded into all pairs.
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.llm.components import components
@@ -40,6 +42,8 @@ from tideframe.llm.textops import LOWER_CODE, Words, chunks, mix, pair, text_buf
 _U = np.uint64
 #: Documents of one block value that are compared with each other in one task.
 TILE = 512
+#: Classes of one block value that are dealt to tiles as they are, and the share of them that a common shingle is in.
+CROWD, COMMON = 4096, 0.01
 #: Members that are held against one centre in one task.
 SALT = 256
 #: Rows of such tiles, of many block values, that one task handles at once.
@@ -169,6 +173,40 @@ def _parity(size: int, percent: int):
     return job
 
 
+def _every(size: int):
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, bounds = text_buffers(batch.column(1))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi in chunks(bounds):
+                h, at, n = shingles(Words(flat, bounds, lo, hi), size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][at]), pa.array(n[at].astype(np.int64)), pa.array(h.view(np.int64))], ["doc_id", "n", "h"])
+
+    return job
+
+
+def _by_rare_shingles(docs: DataFrame, crowd: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, doc_id, comp) of crowded block values cut by the shingles of their classes.
+
+    Of n shingles the first n - ceil(percent * n / 100) + 1 are kept, in an order that puts common ones last.
+    """
+    wanted = stored(crowd.select("doc_id").distinct(), "crowded")
+    each = docs.join(small(wanted, 16), "doc_id").mapInArrow(_every(size), "doc_id long, n long, h long")
+    rows = crowd.join(each, "doc_id")
+    common = rows.groupBy("key", "h").agg(F.count("*").alias("c"), F.max("members").alias("members")).where(F.col("c") > COMMON * F.col("members"))
+    common = stored(common.select("key", "h", F.lit(1).alias("common")), "common-shingles")
+    place = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy(F.coalesce("common", F.lit(0)), "h"))
+    rows = rows.join(small(common, 32), ["key", "h"], "left").withColumn("place", place)
+    first = rows.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return first.select(F.xxhash64("key", "h").alias("key"), "doc_id", "comp")
+
+
+def _mixed(marked: DataFrame) -> DataFrame:
+    """The rows (key, doc_id, comp) of block values with several components, with the number of classes."""
+    mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low < high")
+    return marked.join(mixed.select("key", "members"), "key")
+
+
 def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
     while len(sketch) > size:
         sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
@@ -314,8 +352,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # the smallest class of each block value has met all others; among these, pairs across components remain
     comp = components(links)
     marked = members.join(small(comp, 24), members["doc_id"] == comp["v"], "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("low < high")
-    left = stored(marked.join(mixed.select("key", "tiles"), "key"), "across")
+    left = stored(_mixed(marked), "across")
+    crowd = left.where(F.col("members") > CROWD)
+    if not crowd.isEmpty():
+        cut = stored(_by_rare_shingles(one, crowd, size, percent), "rare-shingles")
+        left = stored(left.where(F.col("members") <= CROWD).unionByName(_mixed(cut)), "across")
+    left = left.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).drop("members")
     tile = ["lot", "key", "i", "j", "tile", "doc_id", "comp", "n", "sketch"]
     pair = "key long, i int, j int, a long, b long"
     left = _lots(left).join(sketches, "doc_id").select(*tile)
