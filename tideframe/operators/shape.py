@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideframe.operators.statistics import uniform
+
 MARK = "<--"
 
 
@@ -107,9 +109,9 @@ def tick_range(spark: SparkSession, start: str, end: str, step_us: int) -> DataF
 
 
 def random_times(spark: SparkSession, start: str, end: str, count: int, seed: int) -> DataFrame:
-    """(id, ts): ``count`` times spread evenly over [start, end), each from a hash of its number and the seed."""
+    """(id, ts): ``count`` times spread evenly over [start, end), each from its number and the seed."""
     a, b = (F.unix_micros(F.lit(x).cast("timestamp_ntz").cast("timestamp")) for x in (start, end))
-    share = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    share = uniform(F.col("id"), F.lit(seed))
     return spark.range(count).select("id", F.timestamp_add("MICROSECOND", F.floor(share * (b - a)).cast("long"), F.lit(start).cast("timestamp_ntz")).alias("ts"))
 
 

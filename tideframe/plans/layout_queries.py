@@ -323,3 +323,11 @@ def concatenated_files(spark, sf_dir):
     found = [r["path"] for r in X.matching_files(spark, path, r"(click|error)_%Y%m%d[.]dir/part-.*[.]parquet").collect()]
     out = X.concat_files(spark, [os.path.dirname(p) for p in sorted(found)])
     return out.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"select {_MS} as time, round(value, 6) bx, user_id::double as by_ from events")
+def layout_series_written(spark, sf_dir):
+    """Input files of a keyword block as the library writes them, read again."""
+    path = scratch(spark)
+    X.write_series(_events(spark, sf_dir).select("ts", F.col("value").alias("bx"), F.col("user_id").alias("by_")), path, "ts", ["bx", "by_"], ("written", "#START"))
+    return X.read_series(spark, path, ["bx", "by_"]).select("time", r6("bx").alias("bx"), "by_")

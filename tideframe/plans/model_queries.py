@@ -390,3 +390,38 @@ def straight_streamlines(spark, sf_dir):
     shape = (len(grid), len(grid))
     out = I.streamlines(seeds, grid, grid, np.full(shape, 4.0), np.full(shape, 3.0), steps=20, ds=0.1)
     return out.select("seed", "step", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query(f"""
+with n as (select i::bigint id, (i * 48271 + 11 * 69621 + 1) % {S.PRIME} x from (select unnest(range(5000)) i)), a as (select *, (x * x + x * 7 + 14) % {S.PRIME} y from n),
+b as (select *, (y * y + y * 11 + id) % {S.PRIME} z from a), c as (select id, ((z * z + z * 13 + 5) % {S.PRIME}) / {S.PRIME}.0::double u from b)
+select id, make_timestamp((epoch_us(timestamp '2024-01-01 00:00:00') + floor(u * 2678400000000.0::double)::bigint)::bigint) as ts from c""")
+def random_epochs(spark, sf_dir):
+    return H.random_times(spark, "2024-01-01 00:00:00", "2024-02-01 00:00:00", 5000, 11)
+
+
+@query("""
+with s as (select user_id run, avg(value) b, min(value) o from events group by user_id), g as (select *, unnest([3, 4, 5]) l from s), m as (select *, unnest(range(5)) member from g)
+select run, member::int as member, l::double l, round(b + l / 4.0 * (o - b), 5) psd from m""")
+def ensemble_analysis(spark, sf_dir):
+    """An exact observation at one of three places: all members of an ensemble that varies along a line meet in it."""
+    runs = _events(spark, sf_dir).groupBy(F.col("user_id").alias("run")).agg(F.avg("value").alias("b"), F.min("value").alias("o"))
+    every = runs.withColumn("l", F.explode(F.array(*map(F.lit, (3.0, 4.0, 5.0))))).withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    states = every.select("run", "member", "l", (F.col("b") + F.col("member") * F.col("l")).alias("psd"))
+    out = I.assimilate(states, runs.select("run", F.lit(4.0).alias("l"), F.col("o").alias("psd"), F.lit(0.0).alias("spread")))
+    return out.select("run", "member", "l", F.round("psd", 5).alias("psd"))
+
+
+@query("""
+with k as (select user_id run, user_id % 3 kp from (select distinct user_id from events)), l as (select *, unnest(range(1, 12)) i from k), p as (select *, 3 + 0.25 * i l, pow(10, 0.506 * kp - 9.325) c from l),
+h as (select *, c * pow(l + 0.125, 8) * (pow((l + 0.25) / (l + 0.125), 10) + pow(l / (l + 0.125), 10)) / 2 hi, c * pow(l - 0.125, 8) * (pow((l - 0.25) / (l - 0.125), 10) + pow(l / (l - 0.125), 10)) / 2 lo from p)
+select run, i::int i, round(l * l * (hi - lo) * 0.25 / 0.0625 * 1e-6, 9) growth from h""")
+def diffusion_growth(spark, sf_dir):
+    """How fast a profile that rises evenly with L grows inside, from one very short step."""
+    users = _events(spark, sf_dir).select("user_id").distinct()
+    k = F.col("k")
+    runs = users.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(12)))).select(F.col("user_id").alias("run"), (3 + 0.25 * k).alias("l"), (0.25 * k).alias("psd"))
+    kp = users.select(F.col("user_id").alias("run"), F.lit(0).alias("step"), (F.col("user_id") % 3).cast("double").alias("kp"))
+    out = I.radial_diffusion(runs, kp, 1e-6).where("l > 3 and l < 6")
+    i = ((F.col("l") - 3) * 4).cast("int")
+    return out.select("run", i.alias("i"), F.round(F.col("psd") - 0.25 * i, 9).alias("growth"))
