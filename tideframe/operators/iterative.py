@@ -145,7 +145,7 @@ def assimilate(states: DataFrame, observations: DataFrame, seed: int = 0) -> Dat
 def interpolate_grid(points: DataFrame, grid: DataFrame, x0: float, dx: float, nx: int, y0: float, dy: float, ny: int) -> DataFrame:
     """(points, value): bilinear values of a grid (i, j, value) at ``points`` (id, x, y), by an equality join on its corners.
 
-    Points outside use the outermost cell.
+    Points outside use the outermost cell; a point of which a corner is missing has no row.
     """
     cell = lambda c, o, h, n: F.least(F.greatest(F.floor((F.col(c) - o) / h), F.lit(0)), F.lit(n - 2)).cast("int")
     p = points.withColumns({"_i": cell("x", x0, dx, nx), "_j": cell("y", y0, dy, ny)})
@@ -153,7 +153,7 @@ def interpolate_grid(points: DataFrame, grid: DataFrame, x0: float, dx: float, n
     corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("c")
     p = p.select("id", "_i", "_j", "_u", "_v", corner).withColumns({"i": F.col("_i") + F.col("c.a"), "j": F.col("_j") + F.col("c.b")})
     w = F.when(F.col("c.a") == 1, F.col("_u")).otherwise(1 - F.col("_u")) * F.when(F.col("c.b") == 1, F.col("_v")).otherwise(1 - F.col("_v"))
-    return p.join(grid.select("i", "j", "value"), ["i", "j"]).groupBy("id").agg(F.sum(w * F.col("value")).alias("value"))
+    return p.join(grid.select("i", "j", "value"), ["i", "j"]).groupBy("id").agg(F.sum(w * F.col("value")).alias("value"), F.count("value").alias("_n")).where("_n = 4").drop("_n")
 
 
 def leaf_of(points: DataFrame, leaves: DataFrame, cell: float) -> DataFrame:
