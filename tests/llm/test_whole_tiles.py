@@ -33,7 +33,7 @@ def test_hot_block_value(spark, monkeypatch):
 
 def test_crowded_block_value(spark, monkeypatch):
     """The same families, a passage in all of them, with every mixed block value taken as crowded and cut by its shingles."""
-    monkeypatch.setattr(J, "TILE", 4)
+    monkeypatch.setattr(J, "TILE", 1)
     monkeypatch.setattr(J, "LOT", 8)
     monkeypatch.setattr(J, "CROWD", 3)
     monkeypatch.setattr(J, "COMMON", 0.3)

@@ -14,7 +14,7 @@ block values of two or more classes, and a join brings them to their classes; (3
 are held against the smallest one: first by parity bit sketches (one bit per shingle, whose Hamming distance also bounds
 the difference from below), then exactly, on the texts; verified links give components; (4) where the other classes of
 one block value are of several components, pairs across these are compared by sketches, in tiles of bounded size. A block
-value of more than CROWD classes, which a passage in texts of many families makes, is first cut by shingles: two linked
+value of so many classes that each would stand in more tiles than it has shingles is first cut by shingles: two linked
 sets share one among the first of each in any common order, so with the value's common shingles put last only classes
 that share a rare one still meet. Each tile first gives only a forest of the pairs that pass, one pair at most for each component it could join, and these are
 verified exactly; only tiles that gave any are compared again under the new components, for all pairs that still pass;
@@ -42,8 +42,8 @@ from tideframe.llm.textops import LOWER_CODE, Words, chunks, mix, pair, text_buf
 _U = np.uint64
 #: Documents of one block value that are compared with each other in one task.
 TILE = 512
-#: Classes of one block value that are dealt to tiles as they are, and the share of them that a common shingle is in.
-CROWD, COMMON = 4096, 0.01
+#: Classes of one block value that are dealt to tiles as they are in any case, and the share of them that a common shingle is in.
+CROWD, COMMON = 8192, 0.01
 #: Members that are held against one centre in one task.
 SALT = 256
 #: Rows of such tiles, of many block values, that one task handles at once.
@@ -353,21 +353,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     comp = components(links)
     marked = members.join(small(comp, 24), members["doc_id"] == comp["v"], "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     left = stored(_mixed(marked), "across")
-    crowd = left.where(F.col("members") > CROWD)
-    if not crowd.isEmpty():
-        cut = stored(_by_rare_shingles(one, crowd, size, percent), "rare-shingles")
-        left = stored(left.where(F.col("members") <= CROWD).unionByName(_mixed(cut)), "across")
+    large = left.where(F.col("members") > CROWD)
+    if not large.isEmpty():  # the tiles of a class against the shingles it has
+        cost = large.join(sketches.select("doc_id", "n"), "doc_id").groupBy("key").agg(F.avg("n").alias("n"), F.max("members").alias("members"))
+        keys = small(stored(cost.where(F.col("members") > TILE * F.col("n")).select("key"), "crowded-values"), 16)
+        crowd = left.join(keys, "key", "left_semi")
+        if not crowd.isEmpty():
+            cut = stored(_by_rare_shingles(one, crowd, size, percent), "rare-shingles")
+            left = stored(left.join(keys, "key", "left_anti").unionByName(_mixed(cut)), "across")
     left = left.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).drop("members")
     tile = ["lot", "key", "i", "j", "tile", "doc_id", "comp", "n", "sketch"]
     pair = "key long, i int, j int, a long, b long"
-    left = _lots(left).join(sketches, "doc_id").select(*tile)
-    forest = stored(left.groupBy("lot").applyInArrow(_tile(percent, True), pair), "forest")
+    left = _lots(left)
+    forest = stored(left.join(sketches, "doc_id").select(*tile).groupBy("lot").applyInArrow(_tile(percent, True), pair), "forest")
     busy = stored(forest.select("key", "i", "j").distinct(), "busy-tiles")
     if not busy.isEmpty():
         links = links.union(stored(_linked(one, forest.select("a", "b"), size, percent), "links"))
         now = stored(components(links).select(F.col("v").alias("doc_id"), F.col("comp").alias("now")), "components")
         left = left.join(small(busy, 24), ["key", "i", "j"], "left_semi").join(small(now, 24), "doc_id", "left").withColumn("comp", F.coalesce("now", "doc_id"))
-        across = left.select(*tile).groupBy("lot").applyInArrow(_tile(percent, False), pair).select("a", "b").join(forest.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        across = left.join(sketches, "doc_id").select(*tile).groupBy("lot").applyInArrow(_tile(percent, False), pair).select("a", "b").join(forest.select("a", "b").distinct(), ["a", "b"], "left_anti")
         links = links.union(stored(_linked(one, across, size, percent), "links"))
         comp = components(links)
     comp = stored(comp, "components")
