@@ -41,7 +41,7 @@ from tideframe.llm.textops import LOWER_CODE, Words, chunks, mix, pair, text_buf
 
 _U = np.uint64
 #: Documents of one block value that are compared with each other in one task.
-TILE = 512
+TILE = 2048
 #: Classes of one block value that are dealt to tiles as they are in any case, and the share of them that a common shingle is in.
 CROWD, COMMON = 8192, 0.01
 #: Members that are held against one centre in one task.
