@@ -154,11 +154,8 @@ def refractory(df: DataFrame, ts: str, period_us: int, keys: tuple[str, ...], bu
     rows = previous(rows, "_us", ["_us"], keys, bucket, "_before")
     starts = F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") > period_us), F.col("_us"))
     rows = carried(rows, keys, "_us", {"_run": starts}, bucket).drop("_before")
-    # runs of one event need no pass
-    size = rows.groupBy(*keys, "_run").agg(F.count("*").alias("_size"))
-    rows = rows.join(size, [*keys, "_run"])
-    alone = rows.where("_size = 1").select(*df.columns)
-    return alone.union(rows.where("_size > 1").drop("_size").groupBy(*keys, "_run").applyInPandas(keep, df.schema))
+    # the runs that begin in one bucket are one group: each restarts by itself after the gap before it
+    return rows.withColumn("_group", F.floor(F.col("_run") / bucket_us)).groupBy(*keys, "_group").applyInPandas(keep, df.schema)
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: tuple[str, ...]) -> DataFrame:
