@@ -96,9 +96,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideframe.llm.conversation_repair import damaged, repair
+
+    return repair(damaged(_table(spark, sf_dir, "conversations")), digests=True)
+
+
 _ALL = (
     op1_quality_classifier, op2_ngram_jaccard_join, op3_language_id, op4_html_extraction, op5_media_columns, op6_toxicity, op7_substring_dedup,
-    op8_sentencepiece, op9_best_fit_packing, op10_quality_rules, language_id_pages,
+    op8_sentencepiece, op9_best_fit_packing, op10_quality_rules, op11_conversation_repair, language_id_pages,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
