@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with texts of a few KB a batch stays at some MB.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: A side is broadcast only when its measured bytes are at most this; otherwise the join shuffles.
 BROADCAST_BYTES = 32 << 20
 #: Rows of one key from which a join splits it, and keys that can be so at most.
@@ -20,6 +20,7 @@ HOT, MOST_HOT = 2000, 50000
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python tasks hold at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
