@@ -102,6 +102,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(_table(spark, sf_dir, "conversations")), digests=True)
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideframe.llm.order_minhash import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideframe.llm.spelling_variants import spelling_variants
 
@@ -110,7 +116,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_quality_classifier, op2_ngram_jaccard_join, op3_language_id, op4_html_extraction, op5_media_columns, op6_toxicity, op7_substring_dedup,
-    op8_sentencepiece, op9_best_fit_packing, op10_quality_rules, op11_conversation_repair, op13_spelling_variants, language_id_pages,
+    op8_sentencepiece, op9_best_fit_packing, op10_quality_rules, op11_conversation_repair, op12_order_minhash, op13_spelling_variants, language_id_pages,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
