@@ -7,9 +7,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,23 +14,14 @@ from pyspark.sql import functions as F
 from tideframe.plans.registry import Registry, r6, table
 from tideframe.sources import grids as G
 from tideframe.sources import text as X
+from tideframe.storage import new_path
 
 query = Registry()
 
 
-def scratch(spark) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one for a local master where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tideframe-")
-    return f"{base.rstrip('/')}/layout-{uuid.uuid4().hex}"
-
-
 def written(rows: DataFrame, by: str, order: str, head: list[str] | None = None) -> str:
     """One file for each value of ``by``, with its rows (``value``) in ``order`` below the ``head``; the folder's files."""
-    path = scratch(rows.sparkSession)
+    path = new_path(rows.sparkSession, "layout")
     if head:
         lines = rows.select(by).distinct().select(by, F.posexplode(F.array(*map(F.lit, head))).alias("_n", "value"), F.lit(None).cast(rows.schema[order].dataType).alias(order))
         rows = rows.withColumn("_n", F.lit(len(head))).unionByName(lines)
@@ -100,7 +88,7 @@ def layout_hourly_index(spark, sf_dir):
 
 def _plain(rows: DataFrame) -> str:
     """Files without a head, one folder for each kind."""
-    path = scratch(rows.sparkSession)
+    path = new_path(rows.sparkSession, "layout")
     rows.withColumnRenamed("event_type", "part").write.partitionBy("part").text(path)
     return path
 
@@ -112,7 +100,7 @@ def layout_three_hourly_index(spark, sf_dir):
     days = _events(spark, sf_dir).select(F.to_date("ts").alias("d")).distinct()
     n = lambda j: F.dayofmonth("d") + j
     cells = [F.concat((n(j) % 9).cast("string"), F.when(n(j) % 3 == 1, "-").when(n(j) % 3 == 2, "+").otherwise("o")) for j in range(8)]
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     days.select(F.concat(F.date_format("d", "yyyyMMdd"), F.lit(" "), *cells, F.lit("  200")).alias("value")).write.text(path)
     return X.read_three_hourly_index(spark, path).select("start", "time", "stop", r6("value").alias("value"))
 
@@ -127,7 +115,7 @@ def layout_iaga(spark, sf_dir):
 @query("select (user_id % 3 * 25 + 45)::int percentile, event_id::double as t, round(value, 6) low, round(user_id * 2.0, 6) high from events")
 def layout_flux_table(spark, sf_dir):
     rows = _events(spark, sf_dir).select((F.col("user_id") % 3 * 25 + 45).alias("p"), "event_id", _text(F.col("event_id").cast("string"), F.col("value").cast("string"), (F.col("user_id") * 2).cast("string"), sep=", "))
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     rows.withColumn("pctile_flux_", F.concat(F.lit("x_pctile_flux_"), F.col("p").cast("string"))).select("pctile_flux_", "value").write.partitionBy("pctile_flux_").text(path)
     out = X.read_flux_table(spark, f"{path}/*/*.txt", ["t"], [0.5, 2.0])
     return out.select("percentile", "t", r6(F.col("flux")[0.5]).alias("low"), r6(F.col("flux")[2.0]).alias("high"))
@@ -144,7 +132,7 @@ def combined_percentiles(spark, sf_dir):
 def layout_epochs(spark, sf_dir):
     """Half of the epochs as rows of numbers, half as ISO texts."""
     events = _events(spark, sf_dir)
-    paths = [scratch(spark), scratch(spark)]
+    paths = [new_path(spark, "layout"), new_path(spark, "layout")]
     for k, form in enumerate(("yyyy MM dd HH mm ss", "yyyy-MM-dd'T'HH:mm:ss")):
         events.where(F.col("event_id") % 2 == k).select(F.date_format("ts", form).alias("value")).write.text(paths[k])
     both = X.read_epochs(spark, paths[0]).union(X.read_epochs(spark, paths[1], iso=True))
@@ -154,7 +142,7 @@ def layout_epochs(spark, sf_dir):
 @query("select event_type as kind, date_trunc('minute', ts) as time, round(avg(value), 1) as value from events group by 1, 2")
 def layout_index_blocks(spark, sf_dir):
     rows = _events(spark, sf_dir).groupBy(F.col("event_type").alias("element"), F.date_trunc("minute", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("time")).agg(F.round(F.avg("value"), 1).alias("value"))
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     G.write_index_blocks(rows, path)
     return G.read_index_blocks(spark, f"{path}/*/*.txt").select(F.col("element").alias("kind"), "time", "value")
 
@@ -162,7 +150,7 @@ def layout_index_blocks(spark, sf_dir):
 @query("select event_id, ts as time, round(value, 6) v, round(user_id * 1.0, 6) b0, round(value / 2, 6) b1 from events")
 def layout_json_headed(spark, sf_dir):
     rows = _events(spark, sf_dir).select(F.col("ts").alias("Time", metadata={"NAME": "IsoDateTime"}), F.col("event_id").cast("double").alias("id"), F.col("value").alias("v", metadata={"UNITS": "km"}), F.array(F.col("user_id").cast("double"), F.col("value") / 2).alias("b"))
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     X.write_json_headed(rows, path, {"b": 2})
     header = json.loads("\n".join(x[1:] for x in X.json_header_text(rows, {"b": 2})))
     out = X.read_json_headed(spark, path, header=header)
@@ -172,7 +160,7 @@ def layout_json_headed(spark, sf_dir):
 @query("select date_trunc('second', ts) as time, round(value, 6) dens, user_id::double g1, 2.0::double g2, 2::tinyint q, 1::tinyint g1_q from events")
 def layout_daily_drivers(spark, sf_dir):
     header = {"DateTime": {"NAME": "IsoDateTime", "START_COLUMN": 0}, "Den_P": {"START_COLUMN": 1}, "G": {"START_COLUMN": 2, "DIMENSION": [2]}, "Den_P_status": {"START_COLUMN": 4}, "G_status": {"START_COLUMN": 5, "DIMENSION": [2]}}
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     _events(spark, sf_dir).select(_text(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("value").cast("string"), F.col("user_id").cast("string"), F.lit("2.0 2 1 0"))).write.text(path)
     out = G.read_daily_drivers(spark, path, header)
     return out.select(F.col("DateTime").alias("time"), r6("dens").alias("dens"), F.col("G1").alias("g1"), F.col("G2").alias("g2"), F.col("Qbits.dens").alias("q"), F.col("Qbits.G1").alias("g1_q"))
@@ -201,7 +189,7 @@ def layout_array_rows(spark, sf_dir):
 
 @query("select date_trunc('second', ts) as time, [1.0, 2.0, round(value, 6)] as internal, [user_id::double, -5.0, -6.0] as external from events")
 def layout_field_rows(spark, sf_dir):
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     _events(spark, sf_dir).select(_text(F.date_format("ts", "yyyy MM dd HH mm ss"), F.lit("1.0 2.0"), F.col("value").cast("string"), F.col("user_id").cast("string"), F.lit("-5.0 -6.0"))).write.text(path)
     return G.read_field_rows(spark, path).select("time", F.transform("internal", lambda x: F.round(x, 6)).alias("internal"), "external")
 
@@ -222,7 +210,7 @@ def layout_boundary(spark, sf_dir):
     day = F.to_date("ts")
     point = F.row_number().over(Window.partitionBy(day).orderBy("event_id")) - 1
     rows = _events(spark, sf_dir).select(day.cast("timestamp_ntz").alias("time"), (F.dayofmonth("ts") * 3600.0).alias("elapsed"), point.alias("point"), F.col("value").alias("rho"), F.col("user_id").alias("p"))
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     G.write_boundary(rows, path, ["rho", "p"], "cm-3 and eV")
     out = G.read_boundary(spark, f"{path}/*/*.txt")
     return out.select("time", "elapsed", F.col("point").cast("int").alias("point"), r6(F.col("values")["rho"]).alias("rho"), F.col("values")["p"].alias("p"))
@@ -315,7 +303,7 @@ def layout_plasma_plane(spark, sf_dir):
 @query("select event_type as kind, count(*)::bigint n, round(sum(value), 4) total from events where event_type in ('click', 'error') group by 1")
 def concatenated_files(spark, sf_dir):
     """Files found by a pattern below a folder and read as one table; one of them lacks a column."""
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     events = _events(spark, sf_dir)
     for kind in ("click", "error", "view"):
         columns = ["event_id", "event_type", "value"] + (["user_id"] if kind == "click" else [])
@@ -328,6 +316,6 @@ def concatenated_files(spark, sf_dir):
 @query(f"select {_MS} as time, round(value, 6) bx, user_id::double as by_ from events")
 def layout_series_written(spark, sf_dir):
     """Input files of a keyword block as the library writes them, read again."""
-    path = scratch(spark)
+    path = new_path(spark, "layout")
     X.write_series(_events(spark, sf_dir).select("ts", F.col("value").alias("bx"), F.col("user_id").alias("by_")), path, "ts", ["bx", "by_"], ("written", "#START"))
     return X.read_series(spark, path, ["bx", "by_"]).select("time", r6("bx").alias("bx"), "by_")
