@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideframe.storage import BROADCAST_BYTES, shared_dir, small, stored
+
+__all__ = ["BROADCAST_BYTES", "documents", "prepare", "shared_dir", "small", "stored", "with_owner"]
+
 #: Rows and bytes of one Arrow batch; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-#: A side is broadcast only when its measured bytes are at most this; otherwise the join shuffles.
-BROADCAST_BYTES = 32 << 20
 #: Rows of one key from which a join splits it, and keys that can be so at most.
 HOT, MOST_HOT = 2000, 50000
 
@@ -23,33 +21,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a temporary folder serves a local master, whose tasks all run here; a cluster gets an error, since its
-    executors would each write to a disk of their own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tideframe-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows of ``row_bytes`` fit the limit, else unchanged, so that the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
-
-
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone; extra columns of the table, whatever their names, never meet those of an operator."""
     return df.select(*columns)
