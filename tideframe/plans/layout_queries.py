@@ -11,8 +11,10 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.functions.timescales import DAY_US, utc_us
 from tideframe.plans.registry import Registry, r6, table
 from tideframe.sources import grids as G
+from tideframe.sources import records as B
 from tideframe.sources import text as X
 from tideframe.storage import new_path
 
@@ -319,3 +321,14 @@ def layout_series_written(spark, sf_dir):
     path = new_path(spark, "layout")
     X.write_series(_events(spark, sf_dir).select("ts", F.col("value").alias("bx"), F.col("user_id").alias("by_")), path, "ts", ["bx", "by_"], ("written", "#START"))
     return X.read_series(spark, path, ["bx", "by_"]).select("time", r6("bx").alias("bx"), "by_")
+
+
+@query("""with n as (select event_type, (epoch_us(ts) // 86400000000 - 19723)::int as iteration, event_id, (row_number() over (partition by event_type, epoch_us(ts) // 86400000000 order by event_id) - 1)::bigint as point, value, user_id from events)
+select event_type, iteration, point, event_id::double as x, round(value, 6) as rho, (user_id * 2)::double as p from n""")
+def layout_record_frames(spark, sf_dir):
+    """Binary files of one frame a day for each kind of event, read in slices of 200 points; one variable is left unread."""
+    rows = _events(spark, sf_dir).select("event_type", (F.floor(utc_us(F.col("ts")) / DAY_US) - 19723).alias("day"), "event_id", F.col("event_id").alias("x"), F.col("value").alias("rho"), F.lit(1.0).alias("unread"), (F.col("user_id") * 2).alias("p"))
+    found = B.write_record_frames(rows, new_path(spark, "frames"), "event_type", "day", "event_id", ["x"], ["rho", "unread", "p"], double=True)
+    paths = [r["path"] for r in found.collect()]  # one for each kind of event
+    back = B.read_record_frames(spark, paths, ["x", "rho", "p"], points=200)
+    return back.select(F.regexp_extract("path", r"([^/]+)\.out$", 1).alias("event_type"), "iteration", "point", "x", r6("rho").alias("rho"), "p")
