@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions.timescales import DAY_US, utc_us
 from tideframe.plans.registry import Registry, r6, table
+from tideframe.sources import arrays as A
 from tideframe.sources import grids as G
 from tideframe.sources import records as B
 from tideframe.sources import text as X
@@ -332,3 +333,14 @@ def layout_record_frames(spark, sf_dir):
     paths = [r["path"] for r in found.collect()]  # one for each kind of event
     back = B.read_record_frames(spark, paths, ["x", "rho", "p"], points=200)
     return back.select(F.regexp_extract("path", r"([^/]+)\.out$", 1).alias("event_type"), "iteration", "point", "x", r6("rho").alias("rho"), "p")
+
+
+@query("""with c as (select event_id // 100 i, event_id // 10 % 10 j, event_id % 10 k, value from events), n as (select max(i) top from c)
+select (top - i) // 3 as i0, (j - 1) // 2 as i1, round(value, 6) as value from c, n where (top - i) % 3 = 0 and j >= 1 and j % 2 = 1 and k = 7""")
+def layout_hyperslice(spark, sf_dir):
+    """Events as a stored array of three dimensions: every third record from the last, each second column, one plane."""
+    i = F.col("event_id")
+    cells = _events(spark, sf_dir).select(F.floor(i / 100).alias("i0"), (F.floor(i / 10) % 10).alias("i1"), (i % 10).alias("i2"), "value")
+    path = new_path(spark, "array")
+    A.write_array(cells, path, (16, 4, 5))
+    return A.hyperslice(spark, path, (slice(None, None, -3), slice(1, None, 2), 7)).where("value is not null").select("i0", "i1", r6("value").alias("value"))
