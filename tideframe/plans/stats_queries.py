@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideframe.operators import integrals as N
 from tideframe.operators import statistics as S
 from tideframe.plans.registry import Registry, r6, table
 
@@ -109,3 +110,17 @@ def quadrature_sum(spark, sf_dir):
 def histogram_2d(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(S.bin_of(F.col("l_quantity"), 1.0, 5.0, 10).alias("x"), S.bin_of(F.col("l_discount"), 0.0, 0.0251, 4).alias("y"))
     return rows.where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+@query("""
+with f as (select event_type, floor(value / 5) * 5 + 2.5 x, count(*)::double f from events group by 1, 2),
+s as (select *, lag(x) over w px, lag(f) over w pf from f window w as (partition by event_type order by x)),
+c as (select *, sum(coalesce((x - px) * (f + pf) / 2, 0)) over (partition by event_type order by x) area from s),
+t as (select event_type, max(area) total from c group by 1), q as (select event_type, i, (i + 0.5) * total / 20 target from t, (select unnest(range(20)) i) where total > 0),
+m as (select q.event_type, i, target, min(area) area from q join c on c.event_type = q.event_type and c.area >= q.target group by 1, 2, 3),
+e as (select m.*, c.x, c.f, c.px, c.pf, target - (m.area - (c.x - c.px) * (c.f + c.pf) / 2) rest, (c.f - c.pf) / (c.x - c.px) rise from m join c on c.event_type = m.event_type and c.area = m.area)
+select event_type, i::int i, round(px + 2 * rest / (pf + sqrt(pf * pf + 2 * rise * rest)), 6) x from e""")
+def representative_values(spark, sf_dir):
+    """Twenty values of each kind of event, spread as the counts of all its values are."""
+    counts = table(spark, sf_dir, "events").groupBy("event_type", (F.floor(F.col("value") / 5) * 5 + 2.5).alias("x")).agg(F.count("*").cast("double").alias("f"))
+    return N.representative_values(counts, 20, 50.0, ("event_type",)).select("event_type", "i", r6("x").alias("x"))
