@@ -56,10 +56,15 @@ def plasmapause_l(kp_max: Column, model: str = "M2002") -> Column:
     return a - b * F.pow(kp_max, F.lit(power))
 
 
+def proton_fluence(energy: Column, norm: float = 3.2e7, gamma: float = -0.96, e0: float = 15.0) -> Column:
+    """Fluence at an energy of the power law with an exponential end."""
+    return norm * F.pow(energy, F.lit(gamma)) * F.exp(-energy / e0)
+
+
 def proton_spectrum(spark, norm: float = 3.2e7, gamma: float = -0.96, e0: float = 15.0, low: float = 0.1, high: float = 600.0, steps: int = 100) -> DataFrame:
     """(energy, fluence) on a logarithmic grid."""
     e = F.pow(F.lit(10.0), math.log10(low) + F.col("id") * ((math.log10(high) - math.log10(low)) / (steps - 1)))
-    return spark.range(steps).select(e.alias("energy")).withColumn("fluence", norm * F.pow("energy", F.lit(gamma)) * F.exp(-F.col("energy") / e0))
+    return spark.range(steps).select(e.alias("energy")).withColumn("fluence", proton_fluence(F.col("energy"), norm, gamma, e0))
 
 
 def vampola_order(l_shell: Column) -> Column:
@@ -110,6 +115,18 @@ def energy_grid(spark, count: int = 36, low: float = 0.1, width: float = 3e-2, p
     return spark.range(count).select(F.col("id").alias("bin"), start.alias("low"), (start + wide / 2).alias("center"), wide.alias("width"))
 
 
+def energy_bin(energy: Column, low: float = 0.1, width: float = 3e-2, power: float = 1.27) -> Column:
+    """Number of the bin of such a grid that an energy is in; null below the first."""
+    share = (energy - low) / width
+    at = F.log(1 + share * (power - 1)) / math.log(power) if power != 1 else share
+    return F.when(energy >= low, F.floor(at).cast("long"))
+
+
+def grid_place(value: Column, low: float, high: float, count: int) -> Column:
+    """Number of the last of ``count`` even steps from ``low`` to ``high`` that is not above a value; null outside of them."""
+    return F.when((value >= low) & (value <= high), F.floor((value - low) / ((high - low) / (count - 1))).cast("long"))
+
+
 def radius_grid(spark, count: int = 20, low: float = 1.75, high: float = 6.5) -> DataFrame:
     """(id, value): ``count`` + 1 radii, the last one a step beyond ``high``."""
     return spark.range(count + 1).select("id", (low + F.col("id") * ((high - low) / (count - 1))).alias("value"))

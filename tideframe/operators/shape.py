@@ -54,6 +54,37 @@ def geomspace(spark: SparkSession, start: float, ratio: float, num: int) -> Data
     return spark.range(num).select("id", (start * F.pow(F.lit(float(ratio)), F.col("id").cast("double"))).alias("value"))
 
 
+def spaced(df: DataFrame, low: Column, high: Column, num: int, how: str = "linear", place: str = "id", out: str = "value") -> DataFrame:
+    """``num`` rows for each of ``df``, with values from ``low`` to ``high``: evenly spaced, or by even steps of their logarithm."""
+    share = F.col(place) / float(max(num - 1, 1))
+    a, b = (low, high) if how == "linear" else (F.log10(low), F.log10(high))
+    value = a + share * (b - a)
+    rows = df.withColumn(place, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(num - 1).cast("long"))))
+    return rows.withColumn(out, value if how == "linear" else F.pow(F.lit(10.0), value))
+
+
+def counted(df: DataFrame, count: Column, place: str = "id", most: int = 10_000) -> DataFrame:
+    """Each row of ``df`` ``count`` times, numbered from 0; at most ``most`` numbers are made from one row at once."""
+    steps = df.withColumn("_count", count.cast("long")).where("_count > 0")
+    steps = steps.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1, F.lit(most).cast("long"))))
+    return steps.withColumn(place, F.explode(F.sequence("_from", F.least(F.col("_from") + (most - 1), F.col("_count") - 1)))).drop("_count", "_from")
+
+
+def ticks_between(df: DataFrame, start: str, end: str, step_us: int, out: str = "tick") -> DataFrame:
+    """For each row of ``df`` the times from ``start`` by ``step_us`` that are not after ``end``."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = counted(df, F.floor((us(end) - us(start)) / step_us) + 1)
+    return rows.withColumn(out, F.timestamp_add("MICROSECOND", F.col("id") * step_us, F.col(start)))
+
+
+def random_times_between(df: DataFrame, start: str, end: str, count: str, seed: int, out: str = "ts") -> DataFrame:
+    """For each row of ``df`` as many times as ``count`` says, spread evenly over [start, end), each from its number and the seed."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = counted(df, F.col(count))
+    after = F.floor(uniform(F.col("id"), F.lit(seed)) * (us(end) - us(start))).cast("long")
+    return rows.withColumn(out, F.timestamp_add("MICROSECOND", after, F.col(start)))
+
+
 def natural_key(text: Column) -> Column:
     """Orders digit runs by their number: each run is padded to 20 digits."""
     parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)

@@ -194,15 +194,21 @@ def file_days(spark, sf_dir):
     return R.wrong_file_days(rows, "path", "ts")
 
 
-@query("select i::bigint id, make_timestamp((epoch_us(timestamp '2024-02-28 12:00:00') + i * 5400000000)::bigint) ts from (select unnest(range(33)) i)")
+@query("""
+with s as (select event_type, min(ts) a, max(ts) b from events group by event_type)
+select event_type, unnest(generate_series(a, b, interval 90 minute)) ts from s""")
 def tick_range(spark, sf_dir):
-    return H.tick_range(spark, "2024-02-28 12:00:00", "2024-03-01 12:00:00", 5_400_000_000)
+    """Every 90 minutes from the first to the last time of each kind of event."""
+    spans = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return H.ticks_between(spans, "a", "b", 5_400_000_000, out="ts").select("event_type", "ts")
 
 
 @query("""
-select i::bigint as bin, round(0.1 + 0.03 * (pow(1.27, i) - 1) / 0.27, 6) low, round(0.1 + 0.03 * (pow(1.27, i) - 1) / 0.27 + 0.015 * pow(1.27, i), 6) center, round(0.03 * pow(1.27, i), 6) width from (select unnest(range(36)) i)""")
+with recursive g as (select 0 i, 0.1::double low, 0.03::double width union all select i + 1, low + width, width * 1.27 from g where i < 40)
+select event_id, i::bigint as bin from events left join g on value + 0.0037 >= low and value + 0.0037 < low + width""")
 def energy_grid(spark, sf_dir):
-    return E.energy_grid(spark).select("bin", *(r6(c).alias(c) for c in ("low", "center", "width")))
+    """The energy bin of each event's value; the SQL adds up the widths."""
+    return table(spark, sf_dir, "events").select("event_id", E.energy_bin(F.col("value") + 0.0037).alias("bin"))
 
 
 @query("""

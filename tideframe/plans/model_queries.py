@@ -189,9 +189,15 @@ def belt_models(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", r6(E.vampola_order(shell)).alias("ord"), *d.values(), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
 
 
-@query("select i::bigint id, round(1.75 + i * 4.75 / 19, 6) radius, round(i / 24.0 * 2 * pi(), 6) angle, round(i * 1.0, 6) as hours from (select unnest(range(21)) i)")
+@query("""
+with e as (select event_id, 1.75 + value / 80.37 r, (epoch_us(ts) % 86400000000) / 3600e6 h from events),
+g as (select i, 1.75 + i * 4.75 / 19 low, 1.75 + (i + 1) * 4.75 / 19 high from (select unnest(range(20)) i)), c as (select i, i / 24.0 * 24 low, (i + 1) / 24.0 * 24 high from (select unnest(range(24)) i))
+select event_id, g.i::bigint radius, c.i::bigint as hour, round(c.i / 24.0 * 2 * pi(), 6) angle from e left join g on r >= g.low and r < g.high and r <= 6.5 left join c on h >= c.low and h < c.high""")
 def model_grids(spark, sf_dir):
-    return E.radius_grid(spark).select("id", r6("value").alias("radius")).join(E.local_time_grid(spark).select("id", r6("angle").alias("angle"), r6("hours").alias("hours")), "id")
+    """The cell of the radius and local-time grids that each event is in."""
+    hours = (T.utc_us(F.col("ts")) % T.DAY_US) / 3600e6
+    rows = _events(spark, sf_dir).select("event_id", E.grid_place(1.75 + F.col("value") / 80.37, 1.75, 6.5, 20).alias("radius"), E.grid_place(hours, 0.0, 24.0, 25).alias("hour"))
+    return rows.select("*", r6(F.col("hour") / 24.0 * (2 * math.pi)).alias("angle"))
 
 
 @query("""
@@ -393,11 +399,14 @@ def straight_streamlines(spark, sf_dir):
 
 
 @query(f"""
-with n as (select i::bigint id, (i * 48271 + 11 * 69621 + 1) % {S.PRIME} x from (select unnest(range(5000)) i)), a as (select *, (x * x + x * 7 + 14) % {S.PRIME} y from n),
-b as (select *, (y * y + y * 11 + id) % {S.PRIME} z from a), c as (select id, ((z * z + z * 13 + 5) % {S.PRIME}) / {S.PRIME}.0::double u from b)
-select id, make_timestamp((epoch_us(timestamp '2024-01-01 00:00:00') + floor(u * 2678400000000.0::double)::bigint)::bigint) as ts from c""")
+with s as (select event_type, min(ts) lo, epoch_us(max(ts)) - epoch_us(min(ts)) wide, count(*) n from events group by event_type), i as (select event_type, lo, wide, unnest(range(n)) i from s),
+n as (select event_type, lo, wide, i id, (i % {S.PRIME} * 48271 + 11 * 69621 + 1) % {S.PRIME} x from i), a as (select *, (x * x + x * 7 + 14) % {S.PRIME} y from n),
+b as (select *, (y * y + y * 11 + id) % {S.PRIME} z from a), c as (select *, ((z * z + z * 13 + 5) % {S.PRIME}) / {S.PRIME}.0::double u from b)
+select event_type, id::bigint id, make_timestamp((epoch_us(lo) + floor(u * wide)::bigint)::bigint) as ts from c""")
 def random_epochs(spark, sf_dir):
-    return H.random_times(spark, "2024-01-01 00:00:00", "2024-02-01 00:00:00", 5000, 11)
+    """As many random times over the span of each kind of event as it has events."""
+    spans = _events(spark, sf_dir).groupBy("event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    return H.random_times_between(spans, "a", "b", "n", 11).select("event_type", "id", "ts")
 
 
 @query("""

@@ -124,15 +124,23 @@ def human_sort(spark, sf_dir):
     return row_numbers(rows, ["key", "p_partkey"], bucket).select("p_partkey", "brand", (F.col("row") + 1).cast("int").alias("place"))
 
 
-@query("select i::bigint id, round(2.0 + i * (8.0 / 40), 6) lin, round(pow(10.0, i * (3.0 / 40)), 6) log, round(1.5 * pow(1.1, i), 6) geo from (select unnest(range(41)) i)")
+_SPAN = "s as (select event_type, 1 + min(value) a, 1 + max(value) b from events group by event_type)"
+
+
+@query(f"""with {_SPAN} select event_type, i::bigint id, round(a + i / 40.0 * (b - a), 6) lin, round(pow(10.0::double, log10(a) + i / 40.0 * (log10(b) - log10(a))), 6) log, round(a * pow(1.1, i), 6) geo from s, (select unnest(range(41)) i)""")
 def sequences(spark, sf_dir):
-    a, b, c = H.linspace(spark, 2.0, 10.0, 41), H.logspace(spark, 1.0, 1000.0, 41), H.geomspace(spark, 1.5, 1.1, 41)
-    return a.select("id", r6("value").alias("lin")).join(b.select("id", r6("value").alias("log")), "id").join(c.select("id", r6("value").alias("geo")), "id")
+    """Even, logarithmic and geometric sequences over the values of each kind of event."""
+    spans = table(spark, sf_dir, "events").groupBy("event_type").agg((1 + F.min("value")).alias("a"), (1 + F.max("value")).alias("b"))
+    rows = H.spaced(spans, F.col("a"), F.col("b"), 41, out="lin").withColumn("log", F.lit(0.0))
+    log = H.spaced(spans, F.col("a"), F.col("b"), 41, how="log", out="log").select("event_type", "id", "log")
+    rows = rows.drop("log").join(log, ["event_type", "id"]).withColumn("geo", F.col("a") * F.pow(F.lit(1.1), F.col("id").cast("double")))
+    return rows.select("event_type", "id", r6("lin").alias("lin"), r6("log").alias("log"), r6("geo").alias("geo"))
 
 
-@query("""select round(pow(10.0, -1 + i * ((log10(600.0) + 1) / 99)), 5) energy, round(3.2e7 * pow(pow(10.0, -1 + i * ((log10(600.0) + 1) / 99)), -0.96) * exp(-pow(10.0, -1 + i * ((log10(600.0) + 1) / 99)) / 15), 3) fluence from (select unnest(range(100)) i)""")
+@query("""select event_id, round(3.2e7 * exp(-0.96 * ln(0.1 + value) - (0.1 + value) / 15), 3) fluence from events""")
 def proton_spectrum(spark, sf_dir):
-    return E.proton_spectrum(spark).select(F.round("energy", 5).alias("energy"), F.round("fluence", 3).alias("fluence"))
+    """Fluence of solar protons at the energy that each event's value stands for."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(E.proton_fluence(0.1 + F.col("value")), 3).alias("fluence"))
 
 
 @query("""
