@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Fixed values of published fits.
 DST_STAR = {"Burton": (15.8, 20.0), "OBrien": (7.26, 11.0), "Borovsky": (20.7, 27.7)}
 PLASMAPAUSE = {"CA1992": (5.6, 0.46, 24, 1.0), "M2002": (5.39, 0.382, 12, 1.0), "RT1970": (5.64, 0.78, 0, 0.5)}
-#: M2002 by local time: hours from 0 on, in runs, and the two coefficients.
+#: Fixed values of M2002 by local time: hours from 0 on, in runs as published, and the two coefficients.
 PLASMAPAUSE_LT = ((3, 5.7, 0.42), (6, 6.05, 0.573), (6, 5.2, 0.425), (6, 4.45, 0.167), (3, 5.7, 0.42))
 EV_IN_K = 1.16045221e4
 VAMPOLA_ORDER = (

@@ -15,6 +15,7 @@ from tideframe.functions.timescales import DAY_US, utc_us
 from tideframe.plans.registry import Registry, r6, table
 from tideframe.sources import arrays as A
 from tideframe.sources import grids as G
+from tideframe.sources import observations as O
 from tideframe.sources import records as B
 from tideframe.sources import text as X
 from tideframe.storage import new_path
@@ -344,3 +345,46 @@ def layout_hyperslice(spark, sf_dir):
     path = new_path(spark, "array")
     A.write_array(cells, path, (16, 4, 5))
     return A.hyperslice(spark, path, (slice(None, None, -3), slice(1, None, 2), 7)).where("value is not null").select("i0", "i1", r6("value").alias("value"))
+
+
+@query("""with e as (select *, dense_rank() over (partition by event_type order by ts) r from events)
+select event_type, round(len(event_type) + 0.5, 6) as fixed, date_trunc('milliseconds', ts) as time, round(2 + p * 0.25, 6) as position, round(value / (p + 1), 6) as density from e, (select unnest(range(5)) p)""")
+def layout_density_slices(spark, sf_dir):
+    """Plasma densities by L at one local time, a file for each kind of event, each with the places it has."""
+    v, time = F.col("value"), F.date_format("ts", _CALENDAR)
+    rows = _events(spark, sf_dir).select("event_type", "event_id", _text(time, *((v / (p + 1)).cast("decimal(12,6)").cast("string") for p in range(5))))
+    kinds = _events(spark, sf_dir).select("event_type").distinct()
+    head = kinds.select("event_type", F.posexplode(F.array(F.concat(F.lit("MLT = "), (F.length("event_type") + 0.5).cast("string")), F.lit("L = 2.0 2.25 2.5 2.75 3.0"))).alias("event_id", "value"))
+    rows = head.withColumn("_n", F.lit(0)).unionByName(rows.withColumn("_n", F.lit(1)))
+    path = new_path(spark, "layout")
+    rows = rows.withColumn("part", F.col("event_type"))
+    rows.repartition("part").sortWithinPartitions("part", "_n", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    out = G.read_density_slices(spark, f"{path}/*/*.txt")
+    return out.select(F.regexp_extract("path", "part=([^/]+)", 1).alias("event_type"), r6("fixed").alias("fixed"), "time", r6("position").alias("position"), r6("density").alias("density"))
+
+
+def _observations(spark, sf_dir) -> str:
+    path = new_path(spark, "observations")
+    u = F.col("user_id")
+    rows = _events(spark, sf_dir).select(F.col("event_type").alias("satellite"), (51.0 + 500 * (u % 3)).alias("mu"), (0.005 * (1 + u % 2)).alias("k"), "ts", "event_id", F.col("value").alias("psd"))
+    O.write_observations(rows, path)
+    return path
+
+
+@query("""select distinct event_type as satellite, (51.0 + 500 * (user_id % 3))::double::varchar mu from events where ts::date between '2024-01-03' and '2024-01-05' and event_type in ('click', 'error')""")
+def observations_listed(spark, sf_dir):
+    """Which invariants two satellites have in three days, by the names of partitions alone."""
+    import datetime as dt
+
+    path = _observations(spark, sf_dir)
+    found = [O.available(spark, path, "mu", dt.datetime(2024, 1, 3, 5), dt.datetime(2024, 1, 5, 1), {"satellite": s}).withColumn("satellite", F.lit(s)) for s in ("click", "error")]
+    return found[0].unionByName(found[1])
+
+
+@query("""select event_id, event_type as satellite, round(value, 6) psd from events where user_id % 3 = 2 and user_id % 2 = 1 and ts > '2024-01-04 06:00:00' and ts < '2024-01-17 18:00:00' and event_type in ('click', 'view')""")
+def observations_between(spark, sf_dir):
+    """Densities at one pair of invariants of two satellites between two times; other partitions are not opened."""
+    import datetime as dt
+
+    found = O.observations(spark, _observations(spark, sf_dir), 1051.0, 0.01, dt.datetime(2024, 1, 4, 6), dt.datetime(2024, 1, 17, 18), ["click", "view"])
+    return found.select("event_id", F.col("satellite").cast("string").alias("satellite"), r6("psd").alias("psd"))

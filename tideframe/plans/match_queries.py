@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideframe.functions.timescales import DAY_US, utc_us
+from tideframe.operators import boundaries as L
 from tideframe.operators import matching as M
 from tideframe.plans.registry import Registry, r6, table
 
@@ -137,3 +138,23 @@ def sea_mad(spark, sf_dir):
     return values.select("lag", F.explode("v").alias("x")).groupBy("lag").agg(F.percentile("x", F.lit(0.5)).alias("med"), F.collect_list("x").alias("v")).select(
         "lag", "med", F.explode("v").alias("x")
     ).groupBy("lag", "med").agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad")).select("lag", r6("med").alias("med"), r6("mad").alias("mad"))
+
+
+def _pause_sql(model: str, hours: int, lpp: str) -> str:
+    return f"""select e.event_id, '{model}' as model, round(any_value({lpp}), 6) lpp from (select * from events where event_type = 'error') e
+ left join (select ts, value / 61.7 kp from events where event_type = 'click') c on c.ts between e.ts - interval {hours} hour and e.ts group by e.event_id"""
+
+
+_SECTOR = "case when any_value(e.user_id) % 24 in (0, 1, 2, 21, 22, 23) then 5.7 - 0.42 * max(kp) when any_value(e.user_id) % 24 < 9 then 6.05 - 0.573 * max(kp) when any_value(e.user_id) % 24 < 15 then 5.2 - 0.425 * max(kp) else 4.45 - 0.167 * max(kp) end"
+
+
+@query(" union all ".join(_pause_sql(m, h, x).replace("any_value(" + x + ")", x) for m, h, x in (("CA1992", 24, "5.6 - 0.46 * max(kp)"), ("M2002", 12, "5.39 - 0.382 * max(kp)"), ("RT1970", 0, "5.64 - 0.78 * sqrt(max(kp))"), ("M2002 by local time", 12, _SECTOR))))
+def plasmapause(spark, sf_dir):
+    """The plasmapause at each error by three models, from the largest index of their prior hours, and by local time."""
+    ticks = _kind(spark, sf_dir, "error").select("event_id", "ts", "user_id")
+    index = _kind(spark, sf_dir, "click").select("ts", (F.col("value") / 61.7).alias("kp"))
+    out = None
+    for model, name, lt in (("CA1992", "CA1992", None), ("M2002", "M2002", None), ("RT1970", "RT1970", None), ("M2002", "M2002 by local time", F.col("user_id") % 24 + 0.5)):
+        found = L.plasmapause(ticks, index, "ts", "kp", "event_id", model, lt).select("event_id", F.lit(name).alias("model"), r6("lpp").alias("lpp"))
+        out = found if out is None else out.unionByName(found)
+    return out

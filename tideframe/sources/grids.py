@@ -321,3 +321,21 @@ def read_plasma_plane(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     body = body.select("path", "time", *((F.get("t", F.lit(k)).cast("int") - 1).alias(c) for k, c in enumerate("ij")), values.alias("values"))
     theta = F.cos(F.radians(F.col("values")["theta"]))
     return body.select("path", "time", "i", "j", (1 / (theta * theta)).alias("l"), (F.col("values")["phi"] / 15.0).alias("mlt"), "values")
+
+
+def read_density_slices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, fixed, time, position, density) of plasma slices: densities by L at one local time, or by local time at one L.
+
+    A file begins with the place that is fixed (the last number of its first line) and the positions across (all numbers of
+    the second); a row has year to second, a millisecond and a density for each position. Files split; their heads are
+    found by what their lines hold, so many files, each with positions of its own, are read at once.
+    """
+    rows = lines(spark, paths).where("value <> ''").select("path", tokens(F.col("value")).alias("t"))
+    number = r"^[-+]?(\d+\.?\d*|\.\d+)([eEdD][-+]?\d+)?$"
+    row = (F.size("t") >= 8) & F.get("t", F.lit(0)).rlike(r"^\d{4}$") & F.forall(F.slice("t", 2, 6), lambda x: x.rlike(r"^\d{1,3}$"))
+    heads = rows.where(~row).select("path", F.transform(F.filter("t", lambda x: x.rlike(number)), _number).alias("x")).where(F.size("x") > 0)
+    heads = heads.groupBy("path").agg(F.min_by("x", F.size("x")).alias("one"), F.max_by("x", F.size("x")).alias("places"))
+    time = _time({p: F.get("t", F.lit(k)) for k, p in enumerate(PARTS)})
+    body = rows.where(row).select("path", time.alias("time"), _tail(7).alias("v"))
+    out = body.join(heads, "path").select("path", F.element_at("one", -1).alias("fixed"), "time", F.explode(F.arrays_zip(F.col("places").alias("position"), F.col("v").alias("density"))).alias("c"))
+    return out.select("path", "fixed", "time", "c.position", "c.density")
