@@ -3,7 +3,7 @@
 import collections
 import random
 
-from tideframe.llm.html_wrapper import OFTEN, PRIOR, Aligned, blocks, choose, content, cut, dumps, loads, match, merge, parse, skeleton, text_hash
+from tideframe.llm.html_wrapper import OFTEN, PRIOR, SHARE, Aligned, blocks, choose, content, cut, dumps, loads, match, merge, parse, skeleton, text_hash
 
 RNG = random.Random(1)
 
@@ -29,7 +29,7 @@ def _page(named):
 
 
 def _induce(pages):
-    """The template, marks and often repeated texts of one host's pages."""
+    """The template, marks, and template texts by place, anywhere and at constant places, of one host's pages."""
     template = None
     for html in pages:
         s = skeleton(parse(html))
@@ -45,7 +45,9 @@ def _induce(pages):
         rows[place].update(n=len(seen), distinct=1, chars=len(seen) * len(text))
     n = len({Aligned(p, template).signature() for p in pages})
     stats = [(p, r["n"], r["distinct"], r["chars"], r["n"], r["distinct"], r["several"], r["single"]) for p, r in rows.items()]
-    return template, choose(sorted(stats), n), {text_hash(t) for (_, t), seen in texts.items() if len(seen) > 2 and len(seen) - 1 >= OFTEN * (n + PRIOR)}
+    often = {text_hash(t, p) for (p, t), seen in texts.items() if len(seen) > 2 and len(seen) - 1 >= OFTEN * (n + PRIOR)}
+    repeated = {text_hash(t, p) for (p, t), seen in texts.items() if len(seen) > 1 and len(seen) >= SHARE * rows[p]["n"]}
+    return template, choose(sorted(stats), n), often, repeated
 
 
 def test_layouts():
@@ -106,3 +108,67 @@ def test_tree_matching():
 def test_markup():
     html = "<p>a &lt;b&gt; &amp;amp; &eacute;&#233;&nbsp; x<!-- c --><br>y<b>z</b><li>q"
     assert [t for _, t, _ in blocks(html, skeleton(parse(html)))] == ["a <b> &amp; éé x yz", "q"]
+
+
+ROOTS = ("article", "main", "div")
+
+
+def _around(root, inner):
+    return f"<html><body><div><p>Welcome to our site</p></div><{root}>{inner}</{root}><div><p>Powered by engine</p><p>Terms apply</p></div></body></html>"
+
+
+def _right(made):
+    found = _induce([html for html, _ in made])
+    return sum(content(html, *found) == expected for html, expected in made)
+
+
+def test_repeated_headings_stay():
+    for root in ROOTS:
+        made = []
+        for _ in range(40):
+            parts = [(h, [_sentence(RNG.randint(20, 50)) for _ in range(RNG.randint(1, 3))]) for h in ("Introduction", "Methods", "Results")]
+            title = _sentence(7)
+            inner = f"<h1>{title}</h1>" + "".join(f"<h2>{h}</h2>" + "".join(f"<p>{b}</p>" for b in body) for h, body in parts)
+            made.append((_around(root, inner), [title, *(x for h, body in parts for x in (h, *body))]))
+        assert _right(made) == 40, root
+
+
+def test_repeated_cells_stay():
+    for root in ROOTS:
+        made = []
+        for _ in range(40):
+            title, body = _sentence(7), [_sentence(40) for _ in range(3)]
+            cells = [RNG.choice(("yes", "no", "n/a")) for _ in range(6)]
+            table = "<table>" + "".join(f"<tr><th>Feature {k}</th><td>{c}</td></tr>" for k, c in enumerate(cells)) + "</table>"
+            made.append((_around(root, f"<h1>{title}</h1><p>{body[0]}</p>{table}<p>{body[1]}</p><p>{body[2]}</p>"), [title, body[0], *(x for k, c in enumerate(cells) for x in (f"Feature {k}", c)), *body[1:]]))
+        assert _right(made) == 40, root
+
+
+def test_quotations_and_sentences_stay():
+    """A quotation most pages share and some have of their own; a closing sentence that two thirds share."""
+    usual, close = _sentence(15), _sentence(12)
+    for root in ROOTS:
+        made, unique = [], []
+        for k in range(60):
+            title, body = _sentence(7), [_sentence(40) for _ in range(3)]
+            quote = usual if k % 5 else _sentence(15)
+            last = close if k % 3 else _sentence(12)
+            unique += [(k, x) for x in (quote, last) if x not in (usual, close)]
+            made.append((_around(root, f"<h1>{title}</h1><p>{body[0]}</p><blockquote>{quote}</blockquote><p>{body[1]}</p><p>{body[2]}</p><div>{last}</div>"), [title, body[0], quote, *body[1:], last]))
+        found = _induce([html for html, _ in made])
+        out = [content(html, *found) for html, _ in made]
+        assert all(text in out[k] for k, text in unique)  # what stands once is content everywhere
+        assert not any(x in text for text in out for x in ("Welcome to our site", "Powered by engine", "Terms apply"))
+        if root != "div":
+            assert out == [expected for _, expected in made]
+
+
+def test_share_rows_and_links_go():
+    """Links that repeat inside the article are no part of it; a text is template at its own place alone."""
+    made = []
+    for k in range(40):
+        title, body = _sentence(7), [_sentence(40) for _ in range(3)]
+        own = "Powered by engine" if k == 7 else _sentence(5)
+        inner = f'<h1>{title}</h1><p><a href="/s">Share on a network</a></p><p>{body[0]}</p><p>{own}</p><p>{body[1]}</p><p>{body[2]}</p>'
+        made.append((_around("article", inner), [title, body[0], own, *body[1:]]))
+    assert _right(made) == 40

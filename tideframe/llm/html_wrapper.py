@@ -4,13 +4,18 @@ The DOM trees of one host's pages are aligned by simple tree matching (the large
 level by level) and merged into the host's template. Every page is aligned with it, and for each template node the texts at
 this place are counted over the host's distinct pages:
 
-- A place whose texts come again is constant: template. The share of repeats is smoothed towards that of the same place
-  over all hosts, so a host with few pages leans on the others and one with many speaks for itself. A single text that
-  half of a host's pages show at one place is template too, though the place varies otherwise.
+- A place most of whose texts come again is constant. The share of repeats is smoothed towards that of the same place over
+  all hosts, so a host with few pages leans on the others and one with many speaks for itself. Template are the texts that
+  come again at a constant place, in a share of its pages; a text that stands there once is content. A text that half of
+  a host's pages show at one place is template at this place too, though the place varies otherwise.
 - The other places are slots. The host's region is found from the root by descending into the container that holds most
   of the slots' characters. A container that comes several times in a row with blocks of its own, beside the region, is a
   list of records: reader comments, teasers. A container of many short blocks beside the region is a side column.
 
+Inside main and article texts are the article's own, repeated headings, table cells, quotations and sentences too; template
+texts go there only if they are links for the most part, such as share rows. Elsewhere a template text stays if it is a
+heading of the region with content right below, or a cell of a table in the region that differs from page to page.
+
 Main text is that of all slots in a page's main element, else in its only article, without record lists after the last
 text of the region. Of a page with neither, or with several articles, it is that of all slots but record lists and side
 columns, and of all slots if the page has no text in the region, for then its layout is another one. Never content are
@@ -19,8 +24,8 @@ outside main and article, and places whose class says advert, if they hold a min
 
 Jobs: (1) a map parses the pages; distinct skeletons are counted by host; (2) skeletons are merged in rounds of MERGED a
 group, so no task holds more; (3) a map aligns all pages and gives text hashes by place, counted with pre-aggregation;
-pages of one longest block are copies and count once; (4) a map over the hosts marks the template's places; (5) a map
-extracts. Pages meet their host's wrapper in a join that is broadcast only if the wrappers are measured to be small, and
+pages of one longest block are copies and count once; (4) a map over the hosts marks the template's places; a place has
+at most 1 / SHARE texts that are template, so a wrapper is bounded by its template; (5) a map extracts. Pages meet their host's wrapper in a join that is broadcast only if the wrappers are measured to be small, and
 that Spark can split otherwise.
 
 Bounds: elements nested deeper than DEPTH become siblings there, as in browsers; children that are not equal at either end
@@ -51,8 +56,8 @@ from tideframe.llm.shared import BROADCAST_BYTES, prepare, stored
 
 #: A place is constant if this share of its texts are repeats, after PRIOR pseudo-pages of the same place on all hosts.
 REPEATS, PRIOR = 0.7, 5
-#: A text is constant at its place if this share of the host's pages show it there.
-OFTEN = 0.5
+#: A text is template at its place if this share of the host's pages show it there, or at a constant place this share of its texts.
+OFTEN, SHARE = 0.5, 0.05
 #: A container is a record if it comes several times in a row on this share of the pages that have it.
 RECORDS = 0.3
 #: A container is a record list too if its records hold this share of its slots' characters.
@@ -85,8 +90,9 @@ _SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "html"
 #: Elements whose repetition is an article's own structure.
 _OWN = {"article", "figure", "blockquote", "table", "thead", "tbody", "tr", "td", "th", "dl", "dd", "dt"}
 _AD = re.compile(r"(?:^|[_-])(?:ads?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*)(?:$|[_-])")
-#: Marks of a template's places: slot, slot of the region, constant, advert, off-region record list, side column.
-SLOT, REGION, CONSTANT, ADVERT, RECORD, SIDE = range(6)
+#: Marks of a template's places: slot, slot of the region, constant, advert, off-region record list, side column, constant cell of a
+#: table that varies, constant heading within the region.
+SLOT, REGION, CONSTANT, ADVERT, RECORD, SIDE, CELL, HEADING = range(8)
 
 
 class Node:
@@ -346,10 +352,10 @@ def _paths(kids: tuple, path: str) -> list[str]:
 
 
 class Aligned:
-    """A page's blocks beside its host's template: (place, text, never content, number of the outermost main or article)."""
+    """A page's blocks beside its host's template: (place, text, never content, number of the outermost main or article, mostly links)."""
 
     def __init__(self, page: str, template: tuple):
-        self.blocks: list[tuple[str, str, bool, int]] = []
+        self.blocks: list[tuple[str, str, bool, int, bool]] = []
         self.roots = [""]  # the elements that the numbers stand for
         self.containers: dict[str, bool] = {}  # place of a container with blocks: does it come several times in a row
         self._text: list[tuple[str, bool]] = []
@@ -363,7 +369,8 @@ class Aligned:
         words = " ".join(entities.unescape("".join(t for t, _ in text)).split()) if text else ""
         if words:
             linked = sum(len(t) for t, in_link in text if in_link)
-            self.blocks.append((path, words, bad or (not root and linked > LINKS * sum(len(t) for t, _ in text)), root))
+            links = linked > LINKS * sum(len(t) for t, _ in text)
+            self.blocks.append((path, words, bad or (not root and links), root, links))
         text.clear()
 
     def _walk(self, node: Node, where: tuple | None, path: str, bad: bool, root: int) -> int:
@@ -394,7 +401,7 @@ class Aligned:
 
     def slots(self) -> list[tuple[str, str, int]]:
         """(place, text, main or article) of the blocks that can be content."""
-        return [(place, text, root) for place, text, bad, root in self.blocks if not bad]
+        return [(place, text, root) for place, text, bad, root, _ in self.blocks if not bad]
 
     def signature(self) -> int:
         """A hash of the longest block, within main or article if there is one: copies of a page agree in it."""
@@ -402,8 +409,8 @@ class Aligned:
         return text_hash(max((t for _, t, root in slots if root), key=lambda t: (len(t), t), default="") or max((t for _, t, _ in slots), key=lambda t: (len(t), t), default=""))
 
 
-def text_hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def text_hash(text: str, place: str = "") -> int:
+    return int.from_bytes(hashlib.blake2b(f"{place}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def blocks(page: str, template: tuple) -> list[tuple[str, str, bool]]:
@@ -416,19 +423,38 @@ def _ancestors(place: str) -> list[str]:
     return ["/".join(parts[:k]) for k in range(1, len(parts) + 1)]
 
 
+def _tag(place: str) -> str:
+    return re.split(r"[.:]", place.rsplit("/", 1)[-1], maxsplit=1)[0]
+
+
+def _within_region(constant: dict[str, int], slots: list[str], region: str) -> dict[str, int]:
+    """Marks of constant places (with their numbers of distinct texts) that are the region's own: cells of tables that vary, and headings."""
+    inside = {place: distinct for place, distinct in constant.items() if place.startswith(f"{region}/")}
+    table = lambda place: next((x for x in reversed(_ancestors(place)) if _tag(x) in ("table", "dl")), "")
+    live = {table(place) for place in slots} | {table(place) for place, distinct in inside.items() if distinct > 1}
+    marks = {}
+    for place in inside:
+        if _tag(place) in ("h2", "h3", "h4", "h5", "h6"):
+            marks[place] = HEADING
+        elif (own := table(place)).startswith(f"{region}/") and own in live:
+            marks[place] = CELL
+    return marks
+
+
 def choose(stats: list[tuple[str, int, int, int, int, int, int, int]], pages: int) -> dict[str, int]:
     """Marks of places from (place, texts, distinct, characters, texts and distinct over all hosts, pages where it repeats in a row, where not)."""
     marks: dict[str, int] = {}
     mass: Counter[str] = Counter()  # characters and blocks of the slots at and below a place
     count: Counter[str] = Counter()
     again = {place for place, *_, several, single in stats if several and several >= RECORDS * (several + single)}
-    slots = []
+    slots, constant = [], {}
     for place, n, distinct, chars, n_all, distinct_all, _, _ in stats:
         if not n:
             continue
         everywhere = (n_all - distinct_all) / n_all
         if n - distinct + PRIOR * everywhere >= REPEATS * (n + PRIOR):
             marks[place] = CONSTANT
+            constant[place] = distinct
             continue
         slots.append(place)
         for x in _ancestors(place):
@@ -472,7 +498,7 @@ def choose(stats: list[tuple[str, int, int, int, int, int, int, int]], pages: in
             marks[place] = REGION
         elif off and off not in heads and count[off] >= SIDE_BLOCKS * pages and mass[off] < SIDE_LENGTH * usual * count[off]:
             marks[place] = SIDE
-    return marks
+    return marks | _within_region(constant, slots, region)
 
 
 def marked(template: tuple, marks: dict[str, int]) -> str:
@@ -507,11 +533,28 @@ def unmarked(text: str) -> tuple[tuple, dict[str, int]]:
     return template, marks
 
 
-def content(page: str, template: tuple, marks: dict[str, int], often: set[int]) -> list[str]:
-    """The texts of a page's slots in its main elements, else in its only article, else in the whole page."""
+def content(page: str, template: tuple, marks: dict[str, int], often: set[int], repeated: set[int]) -> list[str]:
+    """The texts of a page's content in its main elements, else in its only article, else in the whole page.
+
+    ``often`` and ``repeated`` hold the hashes, by place, of texts that are template anywhere, and at constant places.
+    """
     aligned = Aligned(page, template)
-    slots = [(marks.get(place, SLOT), text, root) for place, text, root in aligned.slots()]
-    slots = [x for x in slots if x[0] not in (CONSTANT, ADVERT) and not (often and text_hash(x[1]) in often)]
+    kept: list[tuple[int, str, int]] = []
+    below: tuple[bool, str] = (False, "")  # whether the block below stays, and its place
+    for place, text, bad, root, links in reversed(aligned.blocks):
+        mark = marks.get(place, SLOT)
+        key = text_hash(text, place) if place and (often or repeated) else None
+        again = key is not None and (key in often or (mark in (CONSTANT, CELL, HEADING) and key in repeated))
+        if bad or mark == ADVERT:
+            stays = False
+        elif root or not again:
+            stays = not (again and links)
+        else:
+            stays = mark == CELL or (mark == HEADING and below[0] and below[1].startswith(place.rsplit("/", 1)[0] + "/"))
+        if stays:
+            kept.append((REGION if mark in (CELL, HEADING) else mark, text, root))
+        below = (stays and mark not in (RECORD, SIDE), place)
+    slots = kept[::-1]
     used = {root for _, _, root in slots if root}
     inside = {root for root in used if aligned.roots[root] == "main"} or (used if len(used) == 1 else set())
     if inside:
@@ -567,7 +610,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             aligned = Aligned(page or "", known.get(template) or known.setdefault(template, loads(template)))
             copy_of = aligned.signature()
             rows.append((host, "", "page", 0, copy_of, 1, 0))
-            rows += [(host, p, "text", text_hash(t), copy_of, 1, len(t)) for p, t in dict.fromkeys(x[:2] for x in aligned.slots()) if p]
+            rows += [(host, p, "text", text_hash(t, p), copy_of, 1, len(t)) for p, t in dict.fromkeys(x[:2] for x in aligned.slots()) if p]
             runs.update((host, p, "several" if several else "single") for p, several in aligned.containers.items())
         rows += [(*key, 0, turn, n, 0) for key, n in runs.items()]
         kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -580,18 +623,19 @@ def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = []
         for template, pages, stats in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
             made.append(marked(loads(template), choose(sorted(tuple(x.values()) for x in stats.as_py() or []), pages or 0)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), batch.column(4)], ["host", "wrapper", "often"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string()), batch.column(4), batch.column(5)], ["host", "wrapper", "often", "repeated"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, tuple] = {}
     for batch in batches:
         texts = []
-        for page, wrapper, often in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+        for page, host, wrapper, often, repeated in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), batch.column(5), batch.column(6), strict=True):
             if len(known) > 256:
                 known.clear()
-            template, marks = known.get(wrapper) or known.setdefault(wrapper, unmarked(wrapper))
-            texts.append("\n\n".join(content(page or "", template, marks, set(often.as_py() or ()))))
+            if host not in known:
+                known[host] = (*unmarked(wrapper), set(often.as_py() or ()), set(repeated.as_py() or ()))
+            texts.append("\n\n".join(content(page or "", *known[host])))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -600,6 +644,21 @@ def _beside(pages: DataFrame, wrappers: DataFrame, size: str) -> DataFrame:
     return pages.join(F.broadcast(wrappers) if total <= BROADCAST_BYTES else wrappers, "host")
 
 
+def _repeated(texts: DataFrame, slots: DataFrame, everywhere: DataFrame) -> DataFrame:
+    """(host, hash) of the texts that are template at constant places: those that come again there in a share of the host's
+    pages, or, where the host has few, of all hosts'."""
+    places = slots.select("host", "place", F.col("n").alias("here"), "distinct").join(everywhere, "place")
+    share = (F.col("n_all") - F.col("distinct_all")) / F.col("n_all")
+    places = places.where((F.col("here") > 0) & (F.col("here") - F.col("distinct") + PRIOR * share >= REPEATS * (F.col("here") + PRIOR)))
+    mine = texts.where("kind = 'text'").select("host", "place", "hash", "n")
+    rows = mine.join(places, ["host", "place"])
+    own = (F.col("n") > 1) & (F.col("n") >= SHARE * F.col("here"))
+    few = rows.where(F.col("here") < PRIOR).where(~own)
+    whole = mine.groupBy("place", "hash").agg(F.sum("n").alias("total")).where("total > 1")
+    few = few.join(whole, ["place", "hash"]).where(F.col("total") >= SHARE * F.col("n_all"))
+    return rows.where(own).select("host", "hash").unionByName(few.select("host", "hash"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``, which has ``page_id``, ``url`` and ``html``."""
     prepare(pages.sparkSession)
@@ -620,7 +679,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     seen = texts.where("kind = 'page'").select("host", F.col("n").alias("pages"))
     often = texts.where("kind = 'text' and n > 2").join(seen, "host").where(F.col("n") - 1 >= OFTEN * (F.col("pages") + PRIOR))
     often = often.groupBy("host").agg(F.collect_set("hash").alias("often"))
-    wrappers = templates.join(seen, "host", "left").join(stats, "host", "left").join(often, "host", "left").select("host", "template", "pages", "stats", "often")
-    wrappers = stored(wrappers.mapInArrow(_wrappers, "host string, wrapper string, often array<long>"), "wrappers")
-    rows = _beside(pages, wrappers, "length(wrapper) + 8 * coalesce(size(often), 0) + 60").select("page_id", "url", "html", "wrapper", "often")
+    repeated = _repeated(texts, slots, everywhere).groupBy("host").agg(F.collect_set("hash").alias("repeated"))
+    wrappers = templates.join(seen, "host", "left").join(stats, "host", "left").join(often, "host", "left").join(repeated, "host", "left")
+    wrappers = wrappers.select("host", "template", "pages", "stats", "often", "repeated")
+    wrappers = stored(wrappers.mapInArrow(_wrappers, "host string, wrapper string, often array<long>, repeated array<long>"), "wrappers")
+    rows = _beside(pages, wrappers, "length(wrapper) + 8 * coalesce(size(often), 0) + 8 * coalesce(size(repeated), 0) + 60")
+    rows = rows.select("page_id", "url", "html", "host", "wrapper", "often", "repeated")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
