@@ -82,26 +82,40 @@ def interval_max(queries: DataFrame, series: DataFrame, ts: str, value: str, pri
     return q.select(key).join(hit.groupBy(key).agg(F.max("_v").alias(value)), key, "left")
 
 
-def _close(a: DataFrame, b: DataFrame, lags: DataFrame, half_us: int) -> DataFrame:
-    """Rows of ``a`` (time ``a``) with a lag and each ``b`` within ``half`` of time plus lag, met by buckets of the window's width."""
-    width = max(2 * half_us, 1)
-    at = a.crossJoin(F.broadcast(lags)).withColumn("at", F.col("a") + F.col("lag_us"))
-    near = at.withColumn("_b", F.explode(F.sequence(F.floor((F.col("at") - half_us) / width), F.floor((F.col("at") + half_us) / width))))
-    return near.join(b.withColumn("_b", F.floor(F.col("b") / width)), "_b").where(F.abs(F.col("b") - F.col("at")) <= half_us)
+def _counts(a: DataFrame, b: DataFrame, lags: DataFrame, half_us: int, bucket_us: int = DAY_US) -> DataFrame:
+    """``a`` (time ``a``, ...) with each lag and ``c``, how many of ``b`` (time ``b``) are within ``half`` of time plus lag.
+
+    The times of ``b`` are numbered in order; the events up to the window's end less those up to its beginning are those in
+    it. So no pair is made, whatever falls into one window; both ends look their number up in buckets of time.
+    """
+    names = a.columns
+    times = b.groupBy(F.col("b").alias("_us")).agg(F.count("*").alias("_many"))
+    bucket = F.floor(F.col("_us") / bucket_us)
+    sums = times.groupBy(bucket.alias("_k")).agg(F.sum("_many").alias("_sum"))
+    back = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    sums = sums.select("_k", F.coalesce(F.sum("_sum").over(back), F.lit(0)).alias("_back"))
+    inner = F.sum("_many").over(Window.partitionBy("_k").orderBy("_us").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    knots = times.withColumn("_k", bucket).withColumn("_inner", inner).join(sums, "_k").select("_us", (F.col("_inner") + F.col("_back")).alias("_upto"))
+    ends = F.explode(F.array(F.struct((F.col("_at") - half_us - 1).alias("us"), F.lit(-1).alias("sign")), F.struct((F.col("_at") + half_us).alias("us"), F.lit(1).alias("sign"))))
+    asked = a.crossJoin(F.broadcast(lags)).withColumn("_at", F.col("a") + F.col("lag_us")).withColumn("_e", ends)
+    asked = asked.select(*names, "lag_us", F.col("_e.us").alias("_us"), F.col("_e.sign").alias("_sign"), F.lit(None).cast("long").alias("_upto"))
+    rows = asked.unionByName(knots, allowMissingColumns=True).withColumn("_g", F.lit(0))
+    rows = carried(rows, ("_g",), "_us", {"_number": F.col("_upto")}, bucket).where("lag_us is not null")
+    return rows.groupBy(*names, "lag_us").agg(F.sum(F.col("_sign") * F.coalesce("_number", F.lit(0))).alias("c"))
 
 
 def association(first: DataFrame, second: DataFrame, ts: str, lags_us: list[int], half_us: int) -> DataFrame:
     """(lag_us, total, expected): pairs of events of two processes, the second within ``half`` of the first plus a lag.
 
-    The counting join has the bucket of width twice ``half`` as its key and counts per bucket of the first process before
-    the sums, so the pairs themselves are never kept.
+    Counts come from the differences of two numbers in the order of the second process, so pairs are never made.
     """
     spark = first.sparkSession
     lags = spark.createDataFrame([(x,) for x in lags_us], "lag_us long")
     a = first.select(utc_us(F.col(ts)).alias("a"))
     b = second.select(utc_us(F.col(ts)).alias("b"))
-    hits = _close(a, b, lags, half_us)
-    totals = lags.join(hits.groupBy("lag_us").count(), "lag_us", "left").select("lag_us", F.coalesce("count", F.lit(0)).alias("total"))
+    each = a.groupBy("a").agg(F.count("*").alias("_n"))  # events at one time have one count
+    hits = _counts(each, b, lags, half_us).groupBy("lag_us").agg(F.sum(F.col("c") * F.col("_n")).alias("count"))
+    totals = lags.join(hits, "lag_us", "left").select("lag_us", F.coalesce("count", F.lit(0)).alias("total"))
     a0, a1 = a.agg(F.min("a"), F.max("a")).first()
     b0, b1 = b.agg(F.min("b"), F.max("b")).first()
     if a0 is None or b0 is None:
@@ -144,7 +158,7 @@ def association_interval(first: DataFrame, second: DataFrame, ts: str, key: list
     lags = spark.createDataFrame([(x,) for x in lags_us], "lag_us long")
     number = F.col(key[0]).cast("long") if len(key) == 1 and first.schema[key[0]].dataType.typeName() in ("long", "integer", "short", "byte") else F.xxhash64(*key)
     a = first.select(number.alias("i"), utc_us(F.col(ts)).alias("a"))
-    hits = _close(a, second.select(utc_us(F.col(ts)).alias("b")), lags, half_us).groupBy("lag_us", "i").agg(F.count("*").alias("c"))
+    hits = _counts(a, second.select(utc_us(F.col(ts)).alias("b")), lags, half_us).where("c > 0").select("lag_us", "i", "c")
     n = first.count()
     sizes = resampled(a.select("i"), F.col("i"), reps).groupBy("rep").agg(F.sum("weight").alias("size"))
     sums = resampled(hits, F.col("i"), reps).groupBy("lag_us", "rep").agg(F.sum(F.col("weight") * F.col("c")).alias("s")).join(sizes, "rep")
@@ -163,10 +177,15 @@ def epochs_within(epochs: DataFrame, series: DataFrame, ts: str, margin_us: int)
     return epochs.join(F.broadcast(ends), (us >= F.col("_low") + margin_us) & (us <= F.col("_high") - margin_us)).drop("_low", "_high")
 
 
+def superposed_cells(series: DataFrame, epochs: DataFrame, ts: str, values: str, keys: tuple[str, ...], half: int) -> DataFrame:
+    """(lag, channel, value) rows of an array column around the epochs; null channels have none."""
+    rows = superposed_epochs(series, epochs, ts, values, keys, half, None)
+    return rows.select("lag", F.posexplode("value").alias("channel", "value")).where("value is not null")
+
+
 def superposed_spectra(series: DataFrame, epochs: DataFrame, ts: str, values: str, keys: tuple[str, ...], half: int, aggregates: dict[str, Column], least: int = 1) -> DataFrame:
     """(lag, channel, n, aggregates) as ``superposed_epochs`` does, for an array column; only cells of ``least`` values or more."""
-    rows = superposed_epochs(series, epochs, ts, values, keys, half, None)
-    cells = rows.select("lag", F.posexplode("value").alias("channel", "value")).where("value is not null")
+    cells = superposed_cells(series, epochs, ts, values, keys, half)
     return cells.groupBy("lag", "channel").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in aggregates.items())).where(F.col("n") >= least)
 
 

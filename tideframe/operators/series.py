@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideframe.functions.timescales import from_utc_us, utc_us
+from tideframe.storage import stored
 
 
 def window_mean(df: DataFrame, ts: str, value: str, width_us: int, overlap_us: int = 0, keys: tuple[str, ...] = (), start: Column | None = None, op: Callable[[str], Column] = F.avg) -> DataFrame:
@@ -40,18 +41,24 @@ def window_mean(df: DataFrame, ts: str, value: str, width_us: int, overlap_us: i
     return grid.join(means, [*keys, "k"], "left").select(*keys, label, "value")
 
 
-def gap_fill(df: DataFrame, ts: str, value: str, keys: tuple[str, ...] = (), factor: float = 1.5, absolute_us: int | None = None) -> DataFrame:
-    """The rows of ``df`` and, amid each gap longer than ``factor`` times the median step (or than ``absolute``), a null row."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    steps = df.select(*keys, ts, value, (utc_us(F.lead(ts).over(w)) - utc_us(F.col(ts))).alias("step"))
+def gap_fill(df: DataFrame, ts: str, value: str, keys: tuple[str, ...] = (), factor: float = 1.5, absolute_us: int | None = None, bucket_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """The rows of ``df`` and, amid each gap longer than ``factor`` times the median step (or than ``absolute``), a null row.
+
+    Steps are taken to the row before, in buckets of time, and the median step is found by counting, so one long series is
+    many tasks' work.
+    """
+    rows = df.select(*keys, ts, value, utc_us(F.col(ts)).alias("_us"))
+    steps = previous(rows, "_us", ["_us"], keys, F.floor(F.col("_us") / bucket_us), "_before").withColumn("step", F.col("_us") - F.col("_before"))
     if absolute_us is None:
-        middle = steps.groupBy(*keys).agg((F.percentile("step", F.lit(0.5)) * factor).alias("most"))
-        steps = steps.join(middle, list(keys)) if keys else steps.crossJoin(F.broadcast(middle))
+        from tideframe.operators.statistics import quantiles
+
+        middle = quantiles(steps, "step", {"_middle": 0.5}, keys).select(*keys, (F.col("_middle") * factor).alias("most"))
+        steps = steps.join(middle, list(keys), "left") if keys else steps.crossJoin(F.broadcast(middle))
     else:
         steps = steps.withColumn("most", F.lit(absolute_us))
-    mid = from_utc_us(utc_us(F.col(ts)) + F.floor(F.col("step") / 2).cast("long"))
-    rows = F.array(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")), F.struct(mid.alias("t"), F.lit(None).cast(df.schema[value].dataType).alias("v")))
-    rows = F.when(F.col("step") > F.col("most"), rows).otherwise(F.slice(rows, 1, 1))
+    mid = from_utc_us(F.col("_before") + F.floor(F.col("step") / 2).cast("long")).cast(df.schema[ts].dataType)
+    own = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
+    rows = F.when(F.col("step") > F.col("most"), F.array(own, F.struct(mid.alias("t"), F.lit(None).cast(df.schema[value].dataType).alias("v")))).otherwise(F.array(own))
     return steps.select(*keys, F.explode(rows).alias("r")).select(*keys, F.col("r.t").alias(ts), F.col("r.v").alias(value))
 
 
@@ -131,31 +138,31 @@ def out_of_order(df: DataFrame, ts: str, record: str, keys: tuple[str, ...] = ()
 
 
 def refractory(df: DataFrame, ts: str, period_us: int, keys: tuple[str, ...], bucket_us: int = 30 * 86_400_000_000) -> DataFrame:
-    """Events kept when later than the last kept one by more than ``period``.
+    """Events kept when later than the last kept one by more than ``period``; of events at one time the first by the other columns.
 
-    An event after a gap longer than ``period`` is kept whatever came before, so a series falls into runs that such gaps
-    part, and each run is a group of its own; the recurrence within a run is one pass in Arrow. Runs are found in buckets.
+    An event after a gap longer than ``period`` is kept whatever came before. From any event the next kept one is the first
+    later by more than the period, which a look ahead in buckets of time finds; from the events after gaps these links are
+    followed by doubling their length, so a run of n kept events takes log n joins, each over all tasks.
     """
-    import pandas as pd
-
-    columns = df.columns
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us", kind="stable")
-        us, chosen, last = pdf["_us"].to_numpy(), [], None
-        for i, t in enumerate(us):
-            if last is None or t > last + period_us:
-                chosen.append(i)
-                last = t
-        return pdf.iloc[chosen][columns]
-
-    rows = df.withColumn("_us", utc_us(F.col(ts)))
+    us = df.select(*keys, utc_us(F.col(ts)).alias("_us")).where("_us is not null").distinct()
     bucket = F.floor(F.col("_us") / bucket_us)
-    rows = previous(rows, "_us", ["_us"], keys, bucket, "_before")
-    starts = F.when(F.col("_before").isNull() | (F.col("_us") - F.col("_before") > period_us), F.col("_us"))
-    rows = carried(rows, keys, "_us", {"_run": starts}, bucket).drop("_before")
-    # the runs that begin in one bucket are one group: each restarts by itself after the gap before it
-    return rows.withColumn("_group", F.floor(F.col("_run") / bucket_us)).groupBy(*keys, "_group").applyInPandas(keep, df.schema)
+    rows = previous(us, "_us", ["_us"], keys, bucket, "_before")
+    starts = F.col("_before").isNull() | (F.col("_us") - F.col("_before") > period_us)
+    times = stored(rows.select(*keys, "_us", starts.alias("_start")), "refractory-times")
+    both = times.select(*keys, "_us", "_start", F.col("_us").alias("_knot"), F.lit(None).cast("long").alias("_from"))
+    asked = times.select(*keys, (F.col("_us") + period_us + 1).alias("_us"), F.lit(False).alias("_start"), F.lit(None).cast("long").alias("_knot"), F.col("_us").alias("_from"))
+    knot = F.when(F.col("_knot").isNotNull(), F.struct(F.col("_knot").alias("us"), F.col("_start").alias("start")))
+    links = carried(both.unionByName(asked), keys, "_us", {"_next": knot}, bucket, ahead=True).where("_from is not null and _next is not null and not _next.start")
+    links = stored(links.select(*keys, F.col("_from").alias("_us"), F.col("_next.us").alias("_to")), "refractory-links")
+    kept = times.where("_start").select(*keys, "_us")
+    while not links.isEmpty():
+        found = kept.join(links, [*keys, "_us"]).select(*keys, F.col("_to").alias("_us"))
+        kept = stored(kept.unionByName(found), "refractory-kept")
+        ahead = links.select(*keys, F.col("_us").alias("_to"), F.col("_to").alias("_far"))
+        links = stored(links.join(ahead, [*keys, "_to"]).select(*keys, "_us", F.col("_far").alias("_to")), "refractory-links")
+    others = [c for c in df.columns if c not in keys]
+    one = F.row_number().over(Window.partitionBy(*keys, "_us").orderBy(*others))
+    return df.withColumn("_us", utc_us(F.col(ts))).join(kept, [*keys, "_us"], "left_semi").withColumn("_n", one).where("_n = 1").select(*df.columns)
 
 
 def sessions(df: DataFrame, ts: str, gap: str, keys: tuple[str, ...]) -> DataFrame:

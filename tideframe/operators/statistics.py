@@ -8,31 +8,46 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.storage import small, stored
 
-def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: tuple[str, ...] = (), buckets: int = 1024) -> DataFrame:
-    """(keys, one column for each name in ``wanted``): exact quantiles, interpolated between neighbours.
 
-    No task holds a key's values: equal-width buckets between a key's ends are counted, the counts tell in which bucket each
-    rank lies, and only these buckets' values are ordered.
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: tuple[str, ...] = (), buckets: int = 1024, limit: int = 100_000) -> DataFrame:
+    """(keys, one column for each name in ``wanted``): exact quantiles, interpolated between neighbours; nulls and NaN don't count.
+
+    No task orders more than ``limit`` values. An interval of values with more is cut into buckets of equal width, which are
+    counted; those that hold a wanted rank go on as intervals of their own, from their least to their greatest value,
+    until they are small or hold one value alone. So neither a hot key nor values bunched beside an outlier meet in one task.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
-    rows = rows.join(ends, list(keys)) if keys else rows.crossJoin(F.broadcast(ends))
-    share = F.coalesce(F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
-    rows = rows.select(*keys, "_v", "_n", F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("_b"))
-    counts = rows.groupBy(*keys, "_n", "_b").agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_to", F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
-    ranks = F.array(*(F.struct(F.lit(n).alias("name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for n, q in wanted.items()))
-    held = lambda x: (F.floor(x["at"]) < F.col("_to")) & (F.ceil(x["at"]) >= F.col("_from"))
-    chosen = counts.withColumn("_at", F.filter(ranks, held)).where(F.size("_at") > 0).select(*keys, "_b", "_from", "_at")
-    ordered = rows.select(*keys, "_v", "_b").join(chosen, [*keys, "_b"])
-    ordered = ordered.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_v")) - 1 + F.col("_from"))
-    ordered = ordered.select(*keys, "_v", "_r", F.explode("_at").alias("_x")).where((F.col("_r") == F.floor("_x.at")) | (F.col("_r") == F.ceil("_x.at")))
-    low, high = (F.max(F.when(F.col("_r") == f(F.col("_x.at")), F.col("_v"))) for f in (F.floor, F.ceil))
-    each = ordered.groupBy(*keys, F.col("_x.name").alias("_name"), F.col("_x.at").alias("_p")).agg(low.alias("_lo"), high.alias("_hi"))
-    each = each.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_p") - F.floor("_p")))
-    return each.groupBy(*keys).agg(*(F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in wanted))
+    if not keys:
+        return quantiles(df.select(F.lit(0).alias("_all"), value), value, wanted, ("_all",), buckets, limit).drop("_all")
+    number = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(number)).select(*keys, number.alias("_v"))
+    place = {n: F.lit(float(q)) * (F.col("_total") - 1) for n, q in wanted.items()}
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at), F.ceil(at)) for at in place.values()))))
+    open_ = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+    open_ = open_.select(*keys, "_low", "_high", "_n", F.lit(0).cast("long").alias("_from"), F.col("_n").alias("_total")).withColumn("_ranks", ranks)
+    found = None
+    while True:
+        open_ = stored(open_, "quantile-intervals")
+        flat = open_.where("_low = _high").select(*keys, "_total", F.explode("_ranks").alias("_rank"), F.col("_low").alias("_value"))
+        within = lambda some: rows.join(small(some, 128), list(keys)).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        few = within(open_.where((F.col("_low") < F.col("_high")) & (F.col("_n") <= limit)))
+        few = few.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_low").orderBy("_v")) - 1 + F.col("_from"))
+        few = few.where(F.array_contains("_ranks", F.col("_rank"))).select(*keys, "_total", "_rank", F.col("_v").alias("_value"))
+        found = flat.unionByName(few) if found is None else found.unionByName(flat).unionByName(few)
+        many = open_.where((F.col("_low") < F.col("_high")) & (F.col("_n") > limit))
+        if many.isEmpty():
+            break
+        share = F.floor((F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2) * buckets)
+        cut = within(many).withColumn("_b", F.least(share, F.lit(buckets - 1)))
+        counts = cut.groupBy(*keys, "_total", "_from", "_ranks", "_b").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy(*keys, "_from").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("_first", F.col("_from") + F.coalesce(before, F.lit(0)))
+        held = F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")))
+        open_ = counts.withColumn("_ranks", held).where(F.size("_ranks") > 0).select(*keys, "_low", "_high", "_n", F.col("_first").alias("_from"), "_total", "_ranks")
+    known = found.groupBy(*keys, "_total").agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_m"))  # two ranks for each name
+    at = lambda x, f: F.element_at("_m", f(x).cast("long"))
+    return known.select(*keys, *((at(x, F.floor) + (at(x, F.ceil) - at(x, F.floor)) * (x - F.floor(x))).alias(n) for n, x in place.items()))
 
 
 def median_absolute_deviation(df: DataFrame, value: str, keys: tuple[str, ...] = (), scale: bool = False) -> DataFrame:

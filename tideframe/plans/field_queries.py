@@ -152,7 +152,7 @@ def row_numbers(spark, sf_dir):
 
 @query("""
 with s as (select *, epoch_us(ts) t, row_number() over (partition by event_type order by ts) i, count(*) over (partition by event_type) n from events),
-e as (select event_id, event_type, epoch_us(ts) + 1800000000 t from events where user_id = 7),
+e as (select event_id, event_type, epoch_us(ts) + 1800000000 t from events),
 j as (select e.event_id, e.event_type, arg_min(s.i, abs(s.t - e.t) * 100000 + s.i) i, any_value(s.n) n from e join s using (event_type) group by e.event_id, e.event_type),
 w as (select l.lag::int lag, s.value, s.user_id from j join (select unnest(range(-2, 3)) lag) l on i > 2 and i + 2 <= n join s on s.event_type = j.event_type and s.i = j.i + l.lag),
 c as (select lag, unnest([0, 1, 2]) channel, unnest([value, case when user_id % 2 = 0 then value / 2 end, user_id::double]) v from w)
@@ -161,8 +161,10 @@ def sea_spectra(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     v, u = F.col("value"), F.col("user_id")
     series = events.select("event_type", "ts", F.array(v, F.when(u % 2 == 0, v / 2), u.cast("double")).alias("spectrum"))
-    epochs = events.where("user_id = 7").select("event_type", F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("ts"))
-    return M.superposed_spectra(series, epochs, "ts", "spectrum", ("event_type",), 2, {"mean": r6(F.avg("value")), "median": r6(F.percentile("value", F.lit(0.5)))}, least=2)
+    epochs = events.select("event_type", F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("ts"))
+    means = M.superposed_spectra(series, epochs, "ts", "spectrum", ("event_type",), 2, {"mean": r6(F.avg("value"))}, least=2)
+    middle = S.quantiles(M.superposed_cells(series, epochs, "ts", "spectrum", ("event_type",), 2), "value", {"median": 0.5}, ("lag", "channel"))
+    return means.join(middle.select("lag", "channel", r6("median").alias("median")), ["lag", "channel"])
 
 
 @query("""with b as (select min(ts) a, max(ts) z from events where event_type = 'view') select event_id from events, b where event_type = 'error' and ts between a + interval 6 hour and z - interval 6 hour""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tideframe.functions.timescales import DAY_US, utc_us
 from tideframe.operators import boundaries as L
 from tideframe.operators import matching as M
+from tideframe.operators import statistics as S
 from tideframe.plans.registry import Registry, r6, table
 
 query = Registry()
@@ -18,10 +19,10 @@ def _kind(spark, sf_dir, kind: str):
 
 
 @query("""
-select event_id, round(value, 6) as value from events where event_type = 'click' and ts between (select min(ts) from events where event_type = 'error' and user_id < 50)
- and (select max(ts) from events where event_type = 'error' and user_id < 50)""")
+select event_id, round(value, 6) as value from events where event_type = 'click' and ts between (select min(ts) from events where event_type = 'error')
+ and (select max(ts) from events where event_type = 'error')""")
 def t_overlap(spark, sf_dir):
-    out = M.overlap(_kind(spark, sf_dir, "click"), _kind(spark, sf_dir, "error").where("user_id < 50"), "ts")
+    out = M.overlap(_kind(spark, sf_dir, "click"), _kind(spark, sf_dir, "error"), "ts")
     return out.select("event_id", r6("value").alias("value"))
 
 
@@ -110,34 +111,33 @@ def assoc_counts(spark, sf_dir):
 
 _SEA = """
 with s as (select event_type, epoch_us(ts) t, value, row_number() over (partition by event_type order by ts) i, count(*) over (partition by event_type) n from events),
-e as (select event_id, event_type, epoch_us(ts) + 1800000000 t from events where user_id = 7),
+e as (select event_id, event_type, epoch_us(ts) + 1800000000 t from events),
 j as (select e.event_id, e.event_type, arg_min(s.i, abs(s.t - e.t) * 100000 + s.i) i, any_value(s.n) n from e join s using (event_type) group by e.event_id, e.event_type),
 w as (select l.lag::int lag, s.value from j join (select unnest(range(-3, 4)) lag) l on i > 3 and i + 3 <= n join s on s.event_type = j.event_type and s.i = j.i + l.lag)
 """
 
 
-def _sea(spark, sf_dir, **aggregates):
+def _sea(spark, sf_dir, aggregates):
     events = table(spark, sf_dir, "events")
-    epochs = events.where("user_id = 7").select("event_type", F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("ts"))
+    epochs = events.select("event_type", F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("ts"))
     return M.superposed_epochs(events.select("event_type", "ts", "value"), epochs, "ts", "value", ("event_type",), 3, aggregates)
 
 
 @query(_SEA + "select lag, count(*)::bigint n, round(avg(value), 6) mean from w group by lag")
 def sea_mean(spark, sf_dir):
-    return _sea(spark, sf_dir, n=F.count("*"), mean=r6(F.avg("value")))
+    return _sea(spark, sf_dir, {"n": F.count("*"), "mean": r6(F.avg("value"))})
 
 
 @query(_SEA + "select lag, round(quantile_cont(value, 0.25), 6) q25, round(quantile_cont(value, 0.5), 6) q50, round(quantile_cont(value, 0.75), 6) q75 from w group by lag")
 def sea_quartiles(spark, sf_dir):
-    return _sea(spark, sf_dir, **{f"q{int(100 * q)}": r6(F.percentile("value", F.lit(q))) for q in (0.25, 0.5, 0.75)})
+    found = S.quantiles(_sea(spark, sf_dir, None), "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ("lag",))
+    return found.select("lag", *(r6(c).alias(c) for c in ("q25", "q50", "q75")))
 
 
 @query(_SEA + ", m as (select lag, quantile_cont(value, 0.5) med from w group by lag) select lag, round(any_value(med), 6) med, round(quantile_cont(abs(value - med), 0.5), 6) mad from w join m using (lag) group by lag")
 def sea_mad(spark, sf_dir):
-    values = _sea(spark, sf_dir, v=F.collect_list("value"))
-    return values.select("lag", F.explode("v").alias("x")).groupBy("lag").agg(F.percentile("x", F.lit(0.5)).alias("med"), F.collect_list("x").alias("v")).select(
-        "lag", "med", F.explode("v").alias("x")
-    ).groupBy("lag", "med").agg(F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)).alias("mad")).select("lag", r6("med").alias("med"), r6("mad").alias("mad"))
+    found = S.median_absolute_deviation(_sea(spark, sf_dir, None), "value", ("lag",))
+    return found.select("lag", r6("median").alias("med"), r6("mad").alias("mad"))
 
 
 def _pause_sql(model: str, hours: int, lpp: str) -> str:
