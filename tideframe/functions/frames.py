@@ -2,8 +2,9 @@
 
 A matrix is the same for all positions of one time, so matrices are computed once for each distinct time, in NumPy over
 Arrow batches, and joined to the positions. Frames: ECI2000, ECIMOD, ECITOD, TEME, GEO, GSE, GSM, SM, CDMAG, with the
-aliases below. Polar motion and UT1 - UTC are taken as zero. Nutation has the largest 21 terms of the 1980 series, which
-leaves some milliarcseconds.
+aliases below. Earth orientation (UT1 - UTC, polar motion, offsets of the celestial pole) is zero unless a table of it is
+given, which is interpolated to each distinct time. Nutation has the largest 21 terms of the 1980 series, which leaves
+some milliarcseconds; a longer list of terms is a parameter, read from a file of the published layout.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.functions.timescales import leap_seconds, utc_us
+from tideframe.functions.timescales import DAY_US, from_utc_us, leap_seconds, utc_us
 
 ALIASES = {"SPH": "GEO", "GEI": "ECITOD", "TOD": "ECITOD", "MOD": "ECIMOD", "J2000": "ECI2000", "MAG": "CDMAG"}
 FRAMES = ("ECI2000", "ECIMOD", "ECITOD", "TEME", "GEO", "GSE", "GSM", "SM", "CDMAG")
 ARCSEC = np.pi / 648000
+#: UT1 - UTC in seconds, the pole's position and the offsets of longitude and obliquity in arcseconds; lines of a series of terms.
+ORIENTATION, MOST_TERMS = ("dut1", "xp", "yp", "dpsi", "deps"), 10000
 #: Multiples of (l, l', F, D, node), then nutation in longitude and in obliquity, 1e-4 arcsec, with rates by century.
 NUTATION = np.array(
     [
@@ -79,7 +82,26 @@ def sidereal_time(jd_ut1: np.ndarray) -> np.ndarray:
     return (2 * np.pi / 86400 * seconds) % (2 * np.pi)
 
 
-def nutation(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_nutation(spark: SparkSession, path: str) -> np.ndarray:
+    """Terms of a nutation series from a text file: nine numbers a line, in the order of NUTATION; other lines are skipped.
+
+    Amplitudes are in 1e-4 arcseconds. A series has hundreds of terms at most and travels with the tasks.
+    """
+    found = []
+    for row in spark.read.text(path).limit(MOST_TERMS).collect():
+        parts = row["value"].replace(",", " ").split()
+        try:
+            numbers = [float(x) for x in parts]
+        except ValueError:
+            continue
+        if len(numbers) == 9:
+            found.append(numbers)
+    if not found:
+        raise ValueError(f"{path}: no line of nine numbers")
+    return np.array(found)
+
+
+def nutation(t: np.ndarray, terms: np.ndarray = NUTATION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(longitude, obliquity) of the nutation in arcseconds and the Moon's node in radians."""
     turn = lambda a, b, c, d: np.radians((a + b * t + c * t * t + d * t**3) % 360)
     args = np.stack(
@@ -89,9 +111,9 @@ def nutation(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             turn(125.04452222, -(5 * 360 + 134.1362608), 0.0020708, 2.2e-6),
         ]
     )
-    phase = NUTATION[:, :5] @ args
-    psi = ((NUTATION[:, 5, None] + NUTATION[:, 6, None] * t) * np.sin(phase)).sum(0) * 1e-4
-    eps = ((NUTATION[:, 7, None] + NUTATION[:, 8, None] * t) * np.cos(phase)).sum(0) * 1e-4
+    phase = terms[:, :5] @ args
+    psi = ((terms[:, 5, None] + terms[:, 6, None] * t) * np.sin(phase)).sum(0) * 1e-4
+    eps = ((terms[:, 7, None] + terms[:, 8, None] * t) * np.cos(phase)).sum(0) * 1e-4
     return psi, eps, args[4]
 
 
@@ -104,8 +126,12 @@ def dipole(year: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _unit(v), np.linalg.norm(v, axis=-1)
 
 
-def matrices(us: np.ndarray, leaps: np.ndarray) -> dict[str, np.ndarray]:
-    """Rotations from ECIMOD to each frame, and the dipole tilt in radians, at UTC microseconds."""
+def matrices(us: np.ndarray, leaps: np.ndarray, orientation: np.ndarray | None = None, terms: np.ndarray = NUTATION) -> dict[str, np.ndarray]:
+    """Rotations from ECIMOD to each frame, and the dipole tilt in radians, at UTC microseconds.
+
+    ``orientation`` has a row of ORIENTATION for each time: seconds, and four angles in arcseconds.
+    """
+    dut1, xp, yp, dpsi, deps = np.zeros((5, len(us))) if orientation is None else np.nan_to_num(orientation).T
     jd = us / 86400e6 + 2440587.5
     jd_tt = jd + (leaps + 32.184) / 86400
     t = (jd_tt - 2451545.0) / 36525
@@ -113,11 +139,12 @@ def matrices(us: np.ndarray, leaps: np.ndarray) -> dict[str, np.ndarray]:
     mean = (84381.448 - 46.8150 * t - 0.00059 * t**2 + 0.001813 * t**3) * ARCSEC
     zeta, zee, theta = (np.radians(a * t + b * t**2 + c * t**3) for a, b, c in ((0.6406161, 0.0000839, 5.0e-6), (0.6406161, 0.0003041, 5.1e-6), (0.5567530, -0.0001185, -1.16e-5)))
     precession = _axis(2, -zee) @ _axis(1, theta) @ _axis(2, -zeta)
-    psi, eps, node = nutation(t)
+    psi, eps, node = nutation(t, terms)
+    psi, eps = psi + dpsi, eps + deps
     true = mean + eps * ARCSEC
     to_tod = _axis(0, -true) @ _axis(2, -psi * ARCSEC) @ _axis(0, mean)
     equinoxes = (psi * np.cos(mean) + 0.00264 * np.sin(node) + 0.000063 * np.sin(2 * node)) * ARCSEC
-    gmst = sidereal_time(jd)
+    gmst = sidereal_time(jd + dut1 / 86400)
 
     # fixed values: the Sun's eccentricity, perigee and mean longitude
     since_1900 = (jd - 2415020.0) / 36525
@@ -138,7 +165,7 @@ def matrices(us: np.ndarray, leaps: np.ndarray) -> dict[str, np.ndarray]:
     seen = np.einsum("nij,nj->ni", gsm, axis_mod)
     tilt = np.arctan2(seen[:, 0], seen[:, 2])
     y = _unit(np.cross(np.array([0.0, 0.0, 1.0]), axis))
-    geo = _axis(2, gmst + equinoxes) @ to_tod
+    geo = _axis(1, -xp * ARCSEC) @ _axis(0, -yp * ARCSEC) @ _axis(2, gmst + equinoxes) @ to_tod
     return {
         "ECI2000": np.swapaxes(precession, 1, 2), "ECIMOD": np.broadcast_to(np.eye(3), (len(us), 3, 3)), "ECITOD": to_tod,
         "TEME": _axis(2, equinoxes) @ to_tod, "GEO": geo, "GSE": sunward(np.stack([np.zeros_like(mean), -np.sin(mean), np.cos(mean)], -1)),
@@ -146,30 +173,53 @@ def matrices(us: np.ndarray, leaps: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _matrix_job(source: str, target: str):
+def _matrix_job(source: str, target: str, terms: np.ndarray):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                m = matrices(batch.column(0).to_numpy().astype(np.float64), batch.column(1).to_numpy().astype(np.float64))
+                known = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[2:]], 1) if batch.num_columns > 2 else None
+                m = matrices(batch.column(0).to_numpy().astype(np.float64), batch.column(1).to_numpy().astype(np.float64), known, terms)
                 out = (m[target] @ np.swapaxes(m[source], 1, 2)).reshape(-1, 9)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64())), pa.array(np.degrees(m["tilt"]))], ["us", "matrix", "tilt"])
 
     return job
 
 
-def rotations(df: DataFrame, ts: str, source: str, target: str) -> DataFrame:
-    """(us, matrix, tilt): row-major rotation and dipole tilt in degrees for each distinct time of ``df``."""
+def oriented(times: DataFrame, orientation: DataFrame, bucket_us: int = 30 * DAY_US) -> DataFrame:
+    """``times`` (us) with ORIENTATION, linear between the rows around each of a table (ts, ORIENTATION); the ends are held.
+
+    UT1 - UTC jumps by a second at a leap second; it is interpolated without the leap seconds and given with them.
+    """
+    from tideframe.operators.matching import _around
+
+    known = orientation.select("ts", *ORIENTATION).withColumn("dut1", F.col("dut1") - leap_seconds(utc_us(F.col("ts"))))
+    rows = _around(times.withColumn("ts", from_utc_us(F.col("us"))), known, "ts", (), ORIENTATION, bucket_us)
+    a, b = F.col("_last"), F.col("_next")
+    share = F.when(a["us"] == b["us"], 0.0).otherwise((F.col("us") - a["us"]) / (b["us"] - a["us"]))
+    blend = lambda c: F.when(a.isNull(), b[c]).when(b.isNull(), a[c]).otherwise(a[c] + share * (b[c] - a[c]))
+    rows = rows.select("us", *(blend(c).alias(c) for c in ORIENTATION))
+    return rows.withColumn("dut1", F.col("dut1") + leap_seconds(F.col("us")))
+
+
+def rotations(df: DataFrame, ts: str, source: str, target: str, orientation: DataFrame | None = None, terms: np.ndarray = NUTATION) -> DataFrame:
+    """(us, matrix, tilt): row-major rotation and dipole tilt in degrees for each distinct time of ``df``.
+
+    ``orientation`` is a table (ts, ORIENTATION) of the Earth's orientation, ``terms`` a nutation series.
+    """
     source, target = (ALIASES.get(x.upper(), x.upper()) for x in (source, target))
     if source not in FRAMES or target not in FRAMES:
         raise ValueError(f"frames are {', '.join(FRAMES)}")
     times = df.select(utc_us(F.col(ts)).alias("us")).where("us is not null").distinct()
-    return times.select("us", leap_seconds(F.col("us")).alias("leaps")).mapInArrow(_matrix_job(source, target), "us long, matrix array<double>, tilt double")
+    if orientation is not None:
+        times = oriented(times, orientation)
+    more = [] if orientation is None else ORIENTATION
+    return times.select("us", leap_seconds(F.col("us")).alias("leaps"), *more).mapInArrow(_matrix_job(source, target, terms), "us long, matrix array<double>, tilt double")
 
 
-def convert(df: DataFrame, ts: str, xyz: tuple[str, str, str], source: str, target: str) -> DataFrame:
+def convert(df: DataFrame, ts: str, xyz: tuple[str, str, str], source: str, target: str, orientation: DataFrame | None = None, terms: np.ndarray = NUTATION) -> DataFrame:
     """``df`` with its position columns turned from one frame into another."""
     rows = df.withColumn("_us", utc_us(F.col(ts)))
-    m = rotations(df, ts, source, target)
+    m = rotations(df, ts, source, target, orientation, terms)
     rows = rows.join(m.select(F.col("us").alias("_us"), F.col("matrix").alias("_m")), "_us", "left")
     part = lambda k: sum((F.col("_m")[3 * k + j] * F.col(f"_{c}") for j, c in enumerate(xyz)), F.lit(0.0))
     rows = rows.withColumns({f"_{c}": F.col(c) for c in xyz}).withColumns({c: part(k) for k, c in enumerate(xyz)})

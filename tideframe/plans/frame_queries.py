@@ -75,6 +75,33 @@ def dipole_tilts(spark, sf_dir):
     return rows.select("event_id", T.utc_us(F.col("ts")).alias("us")).join(found, "us").select("event_id", "tilt")
 
 
+_ORIENTED = (
+    _FRAMES.replace("1 + value / 100 x, user_id / 10.0 - 7 y, -2.5 z from events)", """1 + value / 100 x0, user_id / 10.0 - 7 y0, -2.5 z0, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 86400e6 d from events),
+w0 as (select *, 100 + d dut1, radians((50 + 3 * d) / 3600) xp, radians((80 - 2 * d) / 3600) yp, 200 - d dpsi, 90 + 4 * d deps from e),
+w1 as (select *, cos(xp) * x0 - sin(xp) * z0 x, sin(xp) * x0 + cos(xp) * z0 z1 from w0), w2 as (select * exclude (z1), cos(yp) * y0 + sin(yp) * z1 y, -sin(yp) * y0 + cos(yp) * z1 z from w1)""")
+    .replace("from e),\na as", "from w2),\na as")
+    .replace("(jd - 2451545.0) / 36525 t1", "(jd + dut1 / 86400 - 2451545.0) / 36525 t1")
+    .replace("86400 * (jd % 1)", "86400 * ((jd + dut1 / 86400) % 1)")
+    .replace("radians(psi / 3600) psi", "radians((psi + dpsi) / 3600) psi")
+    .replace("* t * t * t + eps) / 3600) tru", "* t * t * t + eps + deps) / 3600) tru")
+    .replace("radians((psi * cos", "radians(((psi + dpsi) * cos")
+)
+
+
+@query(f"{_ORIENTED} select event_id, round(j2000_x, 5) + 0.0 x, round(j2000_y, 5) + 0.0 y, round(j2000_z, 5) + 0.0 z from j3")
+def oriented_positions(spark, sf_dir):
+    """Positions in GEO turned into J2000 with a daily table of the Earth's orientation, larger than it is so that it shows."""
+    events = table(spark, sf_dir, "events")
+    days = events.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("a"), F.datediff(F.max("ts"), F.min("ts")).alias("n"))
+    d = F.explode(F.sequence(F.lit(0), F.col("n") + 1)).alias("d")
+    days = days.select("a", d).select(F.timestamp_add("DAY", F.col("d"), F.col("a")).alias("ts"))
+    d = T.utc_us(F.col("ts")) / 86400e6 - 19723  # days of 2024
+    known = days.select("ts", (100 + d).alias("dut1"), (50 + 3 * d).alias("xp"), (80 - 2 * d).alias("yp"), (200 - d).alias("dpsi"), (90 + 4 * d).alias("deps"))
+    rows = events.select("event_id", "ts", (1 + F.col("value") / 100).alias("x"), (F.col("user_id") / 10.0 - 7).alias("y"), F.lit(-2.5).alias("z"))
+    rows = frames.convert(rows, "ts", ("x", "y", "z"), "GEO", "J2000", orientation=known)
+    return rows.select("event_id", *((F.round(c, 5) + 0.0).alias(c) for c in "xyz"))
+
+
 @query("""
 with e as (select event_id, value / 500 * 178 - 89 lat, user_id * 7.3::double % 360 - 180 lon, value * 40 - 200 alt from events),
 n as (select *, radians(lat) a, radians(lon) o, 6378.137 / sqrt(1 - (1 - pow(1 - 1 / 298.257223563, 2)) * pow(sin(radians(lat)), 2)) n, pow(1 - 1 / 298.257223563, 2) q from e)
