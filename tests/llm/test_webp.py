@@ -78,3 +78,14 @@ def test_pixel_arrays(spark):
     assert rows[3][0]["pixels"][0] == 0x7AFFFFFF and rows[2][0]["pixels"] == [0xFFFFFFFF] * 144
     none = media_pixels(spark.createDataFrame([(1, None)], "doc_id long, media binary")).collect()
     assert none[0]["images"] == []
+
+
+def test_malformed_media(spark):
+    """A broken value is null and harms none of the others in its batch."""
+    from tideframe.llm.media_columns import media_pixels, media_table
+
+    good = {r["doc_id"]: bytes(r["media"]) for r in media_table(spark.createDataFrame([(1, "abcd" * 200), (2, "z")], "doc_id long, text string")).collect()}
+    rows = [(1, good[1]), (2, b"abc"), (3, good[1][:-40]), (4, good[2]), (5, None), (6, b"RIFF" + b"\xff" * 40), (7, good[1][:30])]
+    got = {r["doc_id"]: r["images"] for r in media_pixels(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).collect()}
+    assert got[1][0]["pixels"][:3] == [0x61626364] * 3 and got[4][0]["width"] == 144 and got[5] == []
+    assert [got[k] for k in (2, 3, 6, 7)] == [None] * 4

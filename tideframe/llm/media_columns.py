@@ -18,6 +18,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -179,17 +180,25 @@ def decode_media(media: list[bytes]) -> list[bytes]:
     return [b"".join(next(images)[2].astype(">u4").tobytes() for _ in f) for f in files]
 
 
+def _images(media: list[bytes | None]) -> list[list[dict] | None]:
+    """The images of each value, decoded in step; of values that are no lossless WebP files, or broken ones, None."""
+    try:
+        files = [split_riff(m or b"") for m in media]
+        images = iter(decode_images([x for f in files for x in f], _known))
+        return [[{"width": w, "height": h, "pixels": p.astype(np.int64)} for w, h, p in (next(images) for _ in f)] for f in files]
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error):
+        return [None] if len(media) == 1 else [x for m in media for x in _images([m])]
+
+
 def _pixel_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.list_(pa.int64()))]))
     for batch in batches:
-        files = [split_riff(m or b"") for m in batch.column(1).to_pylist()]
-        images = iter(decode_images([x for f in files for x in f], _known))
-        rows = [[{"width": w, "height": h, "pixels": p.astype(np.int64)} for w, h, p in (next(images) for _ in f)] for f in files]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "images"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_images(batch.column(1).to_pylist()), kind)], ["doc_id", "images"])
 
 
 def media_pixels(media: DataFrame, column: str = "media") -> DataFrame:
-    """(doc_id, images): width, height and ARGB pixels of all lossless WebP files in a binary column; none for null."""
+    """(doc_id, images): width, height and ARGB pixels of all lossless WebP files in a binary column; none for a null value,
+    and null for a value that can't be decoded."""
     prepare(media.sparkSession)
     return media.select("doc_id", column).mapInArrow(_pixel_arrays, "doc_id long, images array<struct<width int, height int, pixels array<long>>>")
 
