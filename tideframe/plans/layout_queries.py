@@ -275,7 +275,10 @@ _STEPS = "with s as (select event_id // 5 f, event_id % 5 k, event_type, user_id
 @query(_STEPS + """ select line::int line, make_timestamp(epoch_us(timestamp '2001-02-03 00:00:00') + step * 60000000) as time, k::int point, (200 + 10 * k)::double altitude, round(user_id / 100.0, 6) lgnH, round(pow(10, user_id / 100.0), 5) nH, round(value, 6) uH,
  round(1000 * pow(10, user_id / 100.0) * value, 3) flux from s""")
 def layout_field_lines(spark, sf_dir):
-    """Eight files of one field line each, five altitudes a frame; fluxes from densities and speeds."""
+    """Eight files of one field line each, five altitudes a frame; fluxes from densities and speeds.
+
+    Forty events make a frame of all lines; the events after the last whole frame are left out, since a frame is whole.
+    """
     from tideframe.functions.plasma import number_flux
 
     events = _events(spark, sf_dir)
@@ -294,9 +297,10 @@ def layout_field_lines(spark, sf_dir):
 
 @query("""select make_timestamp(epoch_us(timestamp '2024-01-02 03:04:05') + 0) as time, (event_id // 50)::int i, (event_id % 50)::int j, round(1 / pow(cos(radians(30 + user_id / 10.0)), 2), 6) l, round(event_id % 50 * 7.2 / 15, 6) mlt, round(value, 6) n, round(value / 2, 6) pot from events""")
 def layout_plasma_plane(spark, sf_dir):
+    """A file of twenty rings of the plane for each thousand events."""
     i = F.col("event_id")
     rows = _events(spark, sf_dir).select(
-        F.lit("plane").alias("event_type"), "event_id",
+        F.floor(i / 1000).alias("event_type"), "event_id",
         _text((F.floor(i / 50) + 1).cast("string"), (i % 50 + 1).cast("string"), (30 + F.col("user_id") / 10.0).cast("string"), (i % 50 * 7.2).cast("string"), (F.col("value") * 1e6).cast("string"), (F.col("value") * 500).cast("string")),
     )
     out = G.read_plasma_plane(spark, written(rows, "event_type", "event_id", ["T=20240102_030405_000 sizes 1 50", "i j Theta Phi n Pot"]))
@@ -311,9 +315,9 @@ def concatenated_files(spark, sf_dir):
     events = _events(spark, sf_dir)
     for kind in ("click", "error", "view"):
         columns = ["event_id", "event_type", "value"] + (["user_id"] if kind == "click" else [])
-        events.where(F.col("event_type") == kind).select(*columns).coalesce(1).write.parquet(f"{path}/{kind}_20240102.dir")
+        events.where(F.col("event_type") == kind).select(*columns).write.parquet(f"{path}/{kind}_20240102.dir")
     found = [r["path"] for r in X.matching_files(spark, path, r"(click|error)_%Y%m%d[.]dir/part-.*[.]parquet").collect()]
-    out = X.concat_files(spark, [os.path.dirname(p) for p in sorted(found)])
+    out = X.concat_files(spark, sorted({os.path.dirname(p) for p in found}))
     return out.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
