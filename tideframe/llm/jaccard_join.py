@@ -17,7 +17,8 @@ one block value are of several components, pairs across these are compared by sk
 value of so many classes that each would stand in more tiles than it has shingles is first cut by shingles: two linked
 sets share one among the first of each in any common order, so with the value's common shingles put last only classes
 that share a rare one still meet. Each tile first gives only a forest of the pairs that pass, one pair at most for each component it could join, and these are
-verified exactly; only tiles that gave any are compared again under the new components, for all pairs that still pass;
+verified exactly; only tiles that gave any, of block values that still hold several components, are compared again under
+the new ones, for all pairs that still pass;
 (5) final components. Copies and linked families are never expanded into all pairs.
 
 Defined results: null or empty text and text of white space have an empty set, link with nothing and are their own
@@ -155,7 +156,8 @@ def _blocks(size: int, percent: int):
 
 
 def _parity(size: int, percent: int):
-    """Parity bit sketches of two to six bits a shingle, a power of two of them."""
+    """Parity bit sketches of four to twelve bits a shingle, a power of two of them: few shingles share a bit, so that the
+    distance of two sketches is hardly less than that of the sets, and few pairs pass that do not link."""
     bands = Bands(percent)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +165,7 @@ def _parity(size: int, percent: int):
             flat, bounds = text_buffers(batch.column(1))
             for lo, hi in chunks(bounds):
                 h, at, n = shingles(Words(flat, bounds, lo, hi), size)
-                bits = np.maximum(64, 1 << np.ceil(np.log2(2 * bands.high[bands.of(np.maximum(n, 1))])).astype(np.int64))
+                bits = np.maximum(64, 1 << np.ceil(np.log2(4 * bands.high[bands.of(np.maximum(n, 1))])).astype(np.int64))
                 base = np.r_[0, np.cumsum(bits)]
                 spot = base[at] + (mix(h + _U(4)) & (bits[at] - 1).astype(_U)).astype(np.int64)
                 odd = np.packbits(np.bincount(spot, minlength=base[-1]).astype(np.uint8) & 1)
@@ -361,17 +363,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if not crowd.isEmpty():
             cut = stored(_by_rare_shingles(one, crowd, size, percent), "rare-shingles")
             left = stored(left.join(keys, "key", "left_anti").unionByName(_mixed(cut)), "across")
-    left = left.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).drop("members")
+    tiled = lambda rows: _lots(rows.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).drop("members"))
     tile = ["lot", "key", "i", "j", "tile", "doc_id", "comp", "n", "sketch"]
     pair = "key long, i int, j int, a long, b long"
-    left = _lots(left)
-    forest = stored(left.join(sketches, "doc_id").select(*tile).groupBy("lot").applyInArrow(_tile(percent, True), pair), "forest")
+    forest = stored(tiled(left).join(sketches, "doc_id").select(*tile).groupBy("lot").applyInArrow(_tile(percent, True), pair), "forest")
     busy = stored(forest.select("key", "i", "j").distinct(), "busy-tiles")
     if not busy.isEmpty():
         links = links.union(stored(_linked(one, forest.select("a", "b"), size, percent), "links"))
         now = stored(components(links).select(F.col("v").alias("doc_id"), F.col("comp").alias("now")), "components")
-        left = left.join(small(busy, 24), ["key", "i", "j"], "left_semi").join(small(now, 24), "doc_id", "left").withColumn("comp", F.coalesce("now", "doc_id"))
-        across = left.join(sketches, "doc_id").select(*tile).groupBy("lot").applyInArrow(_tile(percent, False), pair).select("a", "b").join(forest.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        # block values that the forest has joined into one component need no second comparison
+        again = left.drop("members").join(small(now, 24), "doc_id", "left").select("key", "doc_id", F.coalesce("now", "doc_id").alias("comp"))
+        again = tiled(stored(_mixed(again), "still-across")).join(small(busy, 24), ["key", "i", "j"], "left_semi")
+        across = again.join(sketches, "doc_id").select(*tile).groupBy("lot").applyInArrow(_tile(percent, False), pair).select("a", "b").join(forest.select("a", "b").distinct(), ["a", "b"], "left_anti")
         links = links.union(stored(_linked(one, across, size, percent), "links"))
         comp = components(links)
     comp = stored(comp, "components")
