@@ -8,7 +8,9 @@ leads on is marked in a bitfield and never entered again; the walk steps back. C
 UTF-8 byte pieces. No piece holds a space mark after another character, nor a line break, so texts are encoded between
 these, and what was encoded before is looked up.
 
-One map over the whole texts, no shuffle. Tasks hold the model's tables and at most KNOWN looked-up strings.
+One map over the whole texts, no shuffle. Tasks hold the model's tables and looked-up strings of at most KNOWN bytes in all;
+strings over LONG characters are not kept. A long string without spaces is encoded in stretches, cut where no piece of the
+model crosses: no merge can cross there either, so the ids are the same.
 
 Defined results: null or empty text has the end id alone and decodes to an empty text; repeated rows get equal results;
 extra columns are ignored; an empty table gives an empty result.
@@ -26,8 +28,10 @@ from pyspark.sql import DataFrame
 from tideframe.llm.shared import documents, prepare
 
 MARK = "▁"
-#: Strings between spaces whose encodings a task keeps at most.
-KNOWN = 500_000
+#: Bytes, by estimate, of the looked-up strings that a task keeps; longer strings than LONG characters are not kept.
+KNOWN, LONG, ENTRY = 256 << 20, 256, 350
+#: Characters without a space that are encoded at once, if a cut is among them; otherwise twice as many, and so on.
+STRETCH = 1 << 12
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -56,6 +60,8 @@ class PieceBpe:
         self.automaton.make_automaton()
         self.alone: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.longest = max(len(self.pieces[i]) for i in normal)
+        self.held = 0
         self.prefixed: dict[str, tuple[str, str]] = {}
         self.bare: dict[str, tuple[str, str]] = {}
 
@@ -84,7 +90,26 @@ class PieceBpe:
         return ok
 
     def segment(self, text: str) -> list[int]:
-        """Ids of a string that no piece leaves or enters."""
+        """Ids of a string that no piece leaves or enters, in stretches that no piece leaves or enters."""
+        out: list[int] = []
+        at, size = 0, STRETCH
+        while len(text) - at > size:
+            if cut := self._cut(text, at, at + size):
+                out += self._stretch(text[at:cut])
+                at, size = cut, STRETCH
+            else:
+                size *= 2
+        return out + self._stretch(text[at:])
+
+    def _cut(self, text: str, first: int, last: int) -> int:
+        """The last position after ``first``, up to ``last``, that no piece crosses; 0 if pieces cross them all."""
+        crossed = bytearray(last + self.longest - first)
+        for end, (size, _) in self.automaton.iter(text[first : last + self.longest]):
+            crossed[end - size + 2 : end + 1] = b"\1" * (size - 1)
+        cut = crossed.rfind(b"\0", 1, last - first + 1)
+        return first + cut if cut > 0 else 0
+
+    def _stretch(self, text: str) -> list[int]:
         n = len(text)
         starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for last, (size, i) in self.automaton.iter(text):
@@ -150,10 +175,15 @@ class PieceBpe:
         return "".join(out).replace(MARK, " ")
 
     def _known(self, store: dict[str, tuple[str, str]], word: str, text: str) -> tuple[str, str]:
-        if len(store) >= KNOWN:
-            store.clear()
         ids = [i for x in _SEGMENT.findall(text) for i in self.segment(x)]
-        got = store[word] = (" ".join(map(str, ids)), self.spell(ids))
+        got = (" ".join(map(str, ids)), self.spell(ids))
+        if len(word) <= LONG:
+            if self.held >= KNOWN:
+                self.prefixed.clear()
+                self.bare.clear()
+                self.held = 0
+            self.held += ENTRY + len(got[0]) + 8 * len(word)
+            store[word] = got
         return got
 
     def encode(self, text: str) -> tuple[str, str]:
