@@ -195,3 +195,42 @@ def alfven_mach(u: Column, b: Column, n: Column) -> Column:
 def number_flux(density: Column, speed: Column, scale: float = 1000.0) -> Column:
     """Particles through an area in a time: per cm3 and a speed along the line, by ``scale``."""
     return density * speed * scale
+
+
+def derived(df, units: str = "ev", fluids: tuple[str, ...] = (), exclude: tuple[str, ...] = ()):
+    """All quantities that the columns of ``df`` give, as new columns: for each fluid (a prefix of ``u`` and ``rho``) and the whole.
+
+    From ``bx by bz``: ``b``; with ``p`` also ``beta``. From ``jx jy jz``: ``j``, with the field ``jbx jby jbz jb``. From
+    ``ux uy uz``: ``u``, with the field ``ex ey ez``, ``uperp`` and ``upar``. From ``rho``: with the field ``alfven``, with
+    ``p`` (and mass density as number density) ``t`` in ``units``. Quantities whose columns are missing, that exist or
+    that are in ``exclude`` are left out; one projection computes all.
+    """
+    has = {c.lower() for c in df.columns}
+    new: dict[str, Column] = {}
+
+    def vector(name: str) -> Vector | None:
+        return tuple(F.col(name + d) for d in "xyz") if {name + d for d in "xyz"} <= has else None
+
+    field, current = vector("b"), vector("j")
+    if field:
+        new["b"] = hypot(*field)
+        if "p" in has:
+            new["beta"] = plasma_beta(F.col("p"), new["b"])
+    if current:
+        new["j"] = hypot(*current)
+        if field:
+            force = lorentz_force(current, field)
+            new |= dict(zip(("jbx", "jby", "jbz"), force, strict=True)) | {"jb": hypot(*force)}
+    for fluid in ("", *fluids):
+        u, rho, p = vector(f"{fluid}u"), f"{fluid}rho" in has, f"{fluid}p" in has
+        if u:
+            new[f"{fluid}u"] = hypot(*u)
+            if field:
+                new |= dict(zip((f"{fluid}e{d}" for d in "xyz"), electric_field(u, field), strict=True))
+                new |= {f"{fluid}uperp": speed_across(u, field), f"{fluid}upar": speed_along(u, field)}
+        if rho and field:
+            new[f"{fluid}alfven"] = F.when(F.col(f"{fluid}rho") > 0, alfven_speed(new["b"], F.col(f"{fluid}rho")))
+        if rho and p:
+            new[f"{fluid}t"] = F.when(F.col(f"{fluid}rho") > 0, temperature(F.col(f"{fluid}p"), F.col(f"{fluid}rho"), units))
+    gone = has | {x.lower() for x in exclude}
+    return df.select("*", *(v.alias(k) for k, v in new.items() if k not in gone))

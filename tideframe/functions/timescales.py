@@ -190,3 +190,19 @@ def leap_aware(text: Column) -> Column:
     utc = F.try_to_timestamp(F.regexp_replace(text, said, "$159$2")).cast("timestamp_ntz")
     shown = F.when(leap, F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:"), F.lit("60"))).otherwise(iso(utc))
     return F.struct(shown.alias("iso"), utc.alias("utc"), F.when(leap, 1_000_000).otherwise(0).alias("offset_us"))
+
+
+def leaps_known_until(read: Column, last: Column) -> Column:
+    """The day until which a list of leap seconds is complete, from the time it was published and its last leap.
+
+    Leaps are announced half a year ahead and come at the ends of half years: a list holds until the half year after next
+    of its publication, and none can come in the half year after its last leap. A null time says nothing.
+    """
+    half = lambda year, second: F.make_timestamp_ntz(year, F.when(second, 7).otherwise(1), *(F.lit(x) for x in (1, 0, 0, 0)))
+    late, leap_late = F.month(read) > 6, F.month(last) > 6
+    return F.greatest(half(F.year(read) + 1, late), half(F.year(last) + leap_late.cast("int"), ~leap_late))
+
+
+def leaps_current(now: Column, read: Column, last: Column) -> Column:
+    """Whether a list of leap seconds can be trusted at ``now``."""
+    return now < leaps_known_until(read, last)

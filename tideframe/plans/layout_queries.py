@@ -392,3 +392,21 @@ def observations_between(spark, sf_dir):
 
     found = O.observations(spark, _observations(spark, sf_dir), 1051.0, 0.01, dt.datetime(2024, 1, 4, 6), dt.datetime(2024, 1, 17, 18), ["click", "view"])
     return found.select("event_id", F.col("satellite").cast("string").alias("satellite"), r6("psd").alias("psd"))
+
+
+@query("""
+select user_id::bigint user_id, min(ts) as start, count(*) iterations, max(ts) as stop, count(*) listed, max(round(value, 3)) as most from events where user_id is not null and ts is not null group by user_id""")
+def layout_parameters(spark, sf_dir):
+    """One parameter file for each user: its first time, its span and a list of its events, with remarks between."""
+    rows = _events(spark, sf_dir).where("user_id is not null and ts is not null")
+    span = rows.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("n"))
+    seconds = ((utc_us(F.col("z")) - utc_us(F.col("a"))) / 1_000_000).cast("decimal(20,6)").cast("string")
+    start = [F.concat(F.date_format("a", p).cast("int").cast("string"), F.lit(f"\t\ti{n}")) for p, n in zip(("yyyy", "M", "d", "H", "m", "s"), ("Year", "Month", "Day", "Hour", "Minute", "Second"), strict=True)]
+    part = F.concat(F.lit("0."), F.date_format("a", "SSSSSS"), F.lit("\tFracSecond"))
+    head = [F.lit("made for one user"), F.lit("#STARTTIME"), *start, part, F.lit(""), F.lit("a remark"), F.lit("#BEGIN_COMP GM ----"), F.lit("#STOP"), F.concat(F.col("n").cast("string"), F.lit("\tMaxIteration")), F.concat(seconds, F.lit("\ttSimulationMax")), F.lit(" "), F.lit("#END_COMP GM ----"), F.lit("#LIST")]
+    lines = span.select("user_id", F.posexplode(F.array(*head)).alias("k", "value")).select("user_id", (F.col("k") - len(head)).cast("long").alias("event_id"), "value")
+    lines = lines.unionByName(rows.select("user_id", F.col("event_id").cast("long").alias("event_id"), F.round("value", 3).cast("string").alias("value")))
+    found = X.read_parameters(spark, written(lines, "user_id", "event_id"))
+    listed = found.where("command = 'LIST'").groupBy("path").agg(F.count("argument").alias("listed"), F.max(F.col("value").try_cast("double")).alias("most"))
+    user = F.regexp_extract("path", "part=([^/]*)/", 1).cast("long").alias("user_id")
+    return X.run_times(found).join(listed, "path").select(user, "start", "iterations", "stop", "listed", "most")

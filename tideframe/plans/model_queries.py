@@ -434,3 +434,20 @@ def diffusion_growth(spark, sf_dir):
     out = I.radial_diffusion(runs, kp, 1e-6).where("l > 3 and l < 6")
     i = ((F.col("l") - 3) * 4).cast("int")
     return out.select("run", i.alias("i"), F.round(F.col("psd") - 0.25 * i, 9).alias("growth"))
+
+
+@query("""
+with f as (select event_id, value / 50 bx, user_id / 30.0 as yy, -1.5 bz, value / 10 jx, user_id / 5.0 jy, -2.0 jz, 400 + value ux, user_id - 75.0 uy, 10.0 uz, 1 + user_id / 20.0 rho, 0.1 + value / 100 p from events),
+g as (select *, sqrt(bx * bx + yy * yy + bz * bz) b, sqrt(ux * ux + uy * uy + uz * uz) u, (ux * bx + uy * yy + uz * bz) / sqrt(bx * bx + yy * yy + bz * bz) along from f)
+select event_id, round(b, 6) b, round(p * 400 * pi() / (b * b), 6) beta, round(sqrt(jx * jx + jy * jy + jz * jz), 6) j,
+ round(1e3 * sqrt((jy * bz - jz * yy) ** 2 + (jz * bx - jx * bz) ** 2 + (jx * yy - jy * bx) ** 2) * 1e-6, 6) jb, round(u, 6) u,
+ round((uz * yy - uy * bz) / 1000, 6) ex, round((ux * bz - uz * bx) / 1000, 6) ey, round((uy * bx - ux * yy) / 1000, 6) ez, round(along, 6) upar,
+ round(sqrt(greatest(u * u - along * along, 0)), 4) uperp, round(1e6 * b * 1e-12 / sqrt(rho * 4e-7 * pi() * 1.6726e-27 * 1e6), 4) alfven, round(p * 6241.50935 / rho, 5) t from g""")
+def all_derived(spark, sf_dir):
+    """All quantities that field, current, flow, density and pressure give, in one projection."""
+    v, w = F.col("value"), F.col("user_id")
+    given = {"bx": v / 50, "by": w / 30.0, "bz": F.lit(-1.5), "jx": v / 10, "jy": w / 5.0, "jz": F.lit(-2.0), "ux": 400 + v, "uy": w - 75.0, "uz": F.lit(10.0), "rho": 1 + w / 20.0, "p": 0.1 + v / 100}
+    rows = P.derived(_events(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in given.items())))
+    scaled = {"jb": (1e3, 6), "uperp": (1, 4), "alfven": (1e6, 4), "t": (1, 5)}
+    names = ("b", "beta", "j", "jb", "u", "ex", "ey", "ez", "upar", "uperp", "alfven", "t")
+    return rows.select("event_id", *(F.round(scaled.get(n, (1, 6))[0] * F.col(n), scaled.get(n, (1, 6))[1]).alias(n) for n in names))

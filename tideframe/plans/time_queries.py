@@ -103,3 +103,16 @@ def tickrange_join(spark, sf_dir):
     k = F.floor(F.timestamp_diff("MICROSECOND", F.col("a"), F.col("o_orderdate")) / T.DAY_US)
     counted = orders.crossJoin(F.broadcast(ends)).groupBy(k.alias("k"), "a").agg(F.count("*").alias("n")).select(F.timestamp_add("DAY", F.col("k"), F.col("a")).alias("day"), "n")
     return days.join(counted, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""
+with t as (select o_orderkey, o_orderdate::timestamp as read, (o_orderdate + interval 100 day)::timestamp as last, (o_orderdate + interval (o_orderkey % 1200) day)::timestamp as now from orders),
+h as (select *, make_timestamp(year(read) + 1, case when month(read) > 6 then 7 else 1 end, 1, 0, 0, 0) a, date_trunc('year', last) + case when month(last) > 6 then interval 12 month else interval 6 month end b from t)
+select o_orderkey, greatest(a, b)::timestamp as until, now < greatest(a, b) as current from h""")
+def leap_lists(spark, sf_dir):
+    """Lists of leap seconds published on each order's day, the last leap 100 days after it, used some days later."""
+    days = lambda n: F.timestamp_add("DAY", n, F.col("read"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("read"))
+    rows = rows.withColumns({"last": days(F.lit(100)), "now": days((F.col("o_orderkey") % 1200).cast("int"))})
+    args = (F.col("read"), F.col("last"))
+    return rows.select("o_orderkey", T.leaps_known_until(*args).alias("until"), T.leaps_current(F.col("now"), *args).alias("current"))

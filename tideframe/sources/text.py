@@ -310,3 +310,40 @@ def per_energy(energy: Column, flux: Column, unit: str, wanted: str) -> tuple[Co
 def table_variables(line: str) -> list[str]:
     """Names of a list of quoted variables, each with its unit in brackets: the names alone."""
     return [x.split("[")[0].strip() for x in re.findall(r'"([^"]*)"', line)]
+
+
+def read_parameters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, component, position, command, argument, value) of parameter files: one row for each argument of a command.
+
+    A command is a line that begins with ``#``; its arguments are the lines below it up to a blank line or the next command,
+    numbered from 0. A command without arguments has one row with a null ``argument`` and ``value``. Lines elsewhere are
+    remarks. Commands between ``#BEGIN_COMP name`` and ``#END_COMP`` have that ``component``, others null. Files are small
+    and read whole; an empty file has no rows.
+    """
+    from pyspark.sql import Window
+
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+    blocks = whole.select("path", F.posexplode(F.split("value", "(?m)^#")).alias("position", "block")).where("position > 0")
+    first = F.trim(F.substring_index("block", "\n", 1))
+    bound = F.regexp_extract(first, r"^(?:BEGIN|END)_COMP\b\s*(\w*)", 1)
+    blocks = blocks.withColumn("bound", F.when(first.startswith("BEGIN_COMP"), bound).when(first.startswith("END_COMP"), ""))
+    before = F.last("bound", ignorenulls=True).over(Window.partitionBy("path").orderBy("position"))
+    blocks = blocks.withColumn("component", F.when(before != "", before)).where("bound is null")
+    listed = F.split(F.regexp_replace("block", r"(?s)\n[^\S\n]*(?:\n.*)?$", ""), "\n")
+    given = F.transform(F.slice(listed, F.lit(2), F.greatest(F.size(listed) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return blocks.select("path", "component", "position", first.alias("command"), F.posexplode_outer(given).alias("argument", "value"))
+
+
+def run_times(parameters: DataFrame) -> DataFrame:
+    """(path, start, iterations, seconds, stop) of the files of ``read_parameters``.
+
+    ``#STARTTIME`` has year, month, day, hour, minute, second and a fraction, ``#STOP`` iterations and seconds; of a command
+    that comes again the last one counts. What a file lacks, or has as no number, is null.
+    """
+    rows = parameters.where(F.col("command").isin("STARTTIME", "STOP")).withColumn("number", _number(F.get(tokens(F.col("value")), F.lit(0))))
+    at = lambda command, k: F.max_by("number", F.when((F.col("command") == command) & (F.col("argument") == k), F.col("position")))
+    found = rows.groupBy("path").agg(*(at("STARTTIME", k).alias(f"s{k}") for k in range(7)), at("STOP", 0).cast("long").alias("iterations"), at("STOP", 1).alias("seconds"))
+    whole = F.try_make_timestamp_ntz(*(F.col(f"s{k}").cast("int") for k in range(5)), F.col("s5").cast("decimal(16,6)"))
+    found = found.withColumn("start", F.timestamp_add("MICROSECOND", F.round(F.coalesce("s6", F.lit(0.0)) * 1e6).cast("long"), whole))
+    stop = F.timestamp_add("MICROSECOND", F.round(F.col("seconds") * 1e6).cast("long"), F.col("start"))
+    return found.select("path", "start", "iterations", "seconds", stop.alias("stop"))
