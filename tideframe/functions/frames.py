@@ -1,16 +1,14 @@
 """Coordinate frames of the Earth and the Sun: rotation matrices for each distinct time, applied as column algebra.
 
-A matrix is the same for all positions of one time, so matrices are computed once for each distinct time, in NumPy over
-Arrow batches, and joined to the positions. Frames: ECI2000, ECIMOD, ECITOD, TEME, GEO, GSE, GSM, SM, CDMAG, with the
+A matrix depends on its time alone, so it is computed beside the positions, in NumPy once for each distinct time of an Arrow
+batch; nothing is shuffled, joined or broadcast. Frames: ECI2000, ECIMOD, ECITOD, TEME, GEO, GSE, GSM, SM, CDMAG, with the
 aliases below. Earth orientation (UT1 - UTC, polar motion, offsets of the celestial pole) is zero unless a table of it is
-given, which is interpolated to each distinct time. Nutation has the largest 21 terms of the 1980 series, which leaves
+given, which is interpolated to each distinct time and joined by a shuffle. Nutation has the largest 21 terms of the 1980 series, which leaves
 some milliarcseconds; a longer list of terms is a parameter, read from a file of the published layout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -173,16 +171,34 @@ def matrices(us: np.ndarray, leaps: np.ndarray, orientation: np.ndarray | None =
     }
 
 
-def _matrix_job(source: str, target: str, terms: np.ndarray):
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                known = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[2:]], 1) if batch.num_columns > 2 else None
-                m = matrices(batch.column(0).to_numpy().astype(np.float64), batch.column(1).to_numpy().astype(np.float64), known, terms)
-                out = (m[target] @ np.swapaxes(m[source], 1, 2)).reshape(-1, 9)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64())), pa.array(np.degrees(m["tilt"]))], ["us", "matrix", "tilt"])
+def _frame(name: str) -> str:
+    name = ALIASES.get(name.upper(), name.upper())
+    if name not in FRAMES:
+        raise ValueError(f"frames are {', '.join(FRAMES)}")
+    return name
+
+
+def turning(us: Column, source: str, target: str, orientation: tuple[Column, ...] = (), terms: np.ndarray = NUTATION) -> Column:
+    """(matrix, tilt) at UTC microseconds: row-major rotation and dipole tilt in degrees, null at null times.
+
+    ``orientation`` has ORIENTATION as expressions beside the time.
+    """
+    source, target = _frame(source), _frame(target)
+
+    @F.arrow_udf("matrix array<double>, tilt double")
+    def turn(us: pa.Array, leaps: pa.Array, *known: pa.Array) -> pa.Array:
+        there = np.asarray(us.is_valid())
+        times, first, back = np.unique(us.drop_null().to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        pick = lambda c: c.to_numpy(zero_copy_only=False).astype(np.float64)[there][first]
+        m = matrices(times.astype(np.float64), pick(leaps), np.stack([pick(c) for c in known], 1) if known else None, terms)
+        turns, tilts = np.zeros((len(us), 9)), np.zeros(len(us))
+        turns[there] = (m[target] @ np.swapaxes(m[source], 1, 2)).reshape(-1, 9)[back]
+        tilts[there] = np.degrees(m["tilt"])[back]
+        gone = pa.array(~there)
+        rows = pa.ListArray.from_arrays(pa.array(9 * np.arange(len(us) + 1), pa.int32()), pa.array(turns.ravel()))
+        return pa.StructArray.from_arrays([rows, pa.array(tilts)], ["matrix", "tilt"], mask=gone)
 
-    return job
+    return turn(us, leap_seconds(us), *orientation)
 
 
 def oriented(times: DataFrame, orientation: DataFrame, bucket_us: int = 30 * DAY_US) -> DataFrame:
@@ -206,21 +222,25 @@ def rotations(df: DataFrame, ts: str, source: str, target: str, orientation: Dat
 
     ``orientation`` is a table (ts, ORIENTATION) of the Earth's orientation, ``terms`` a nutation series.
     """
-    source, target = (ALIASES.get(x.upper(), x.upper()) for x in (source, target))
-    if source not in FRAMES or target not in FRAMES:
-        raise ValueError(f"frames are {', '.join(FRAMES)}")
     times = df.select(utc_us(F.col(ts)).alias("us")).where("us is not null").distinct()
     if orientation is not None:
         times = oriented(times, orientation)
-    more = [] if orientation is None else ORIENTATION
-    return times.select("us", leap_seconds(F.col("us")).alias("leaps"), *more).mapInArrow(_matrix_job(source, target, terms), "us long, matrix array<double>, tilt double")
+    known = () if orientation is None else tuple(F.col(c) for c in ORIENTATION)
+    return times.select("us", turning(F.col("us"), source, target, known, terms).alias("_t")).select("us", "_t.matrix", "_t.tilt")
 
 
 def convert(df: DataFrame, ts: str, xyz: tuple[str, str, str], source: str, target: str, orientation: DataFrame | None = None, terms: np.ndarray = NUTATION) -> DataFrame:
-    """``df`` with its position columns turned from one frame into another."""
+    """``df`` with its position columns turned from one frame into another.
+
+    Without a table of the Earth's orientation each row's matrix is computed beside it. With one, the table is brought to the
+    distinct times, and these to the rows by a join that shuffles: as many times as rows are never sent to the driver.
+    """
     rows = df.withColumn("_us", utc_us(F.col(ts)))
-    m = rotations(df, ts, source, target, orientation, terms)
-    rows = rows.join(m.select(F.col("us").alias("_us"), F.col("matrix").alias("_m")), "_us", "left")
+    if orientation is None:
+        rows = rows.withColumn("_m", turning(F.col("_us"), source, target, terms=terms)["matrix"])
+    else:
+        m = rotations(df, ts, source, target, orientation, terms)
+        rows = rows.join(m.select(F.col("us").alias("_us"), F.col("matrix").alias("_m")).hint("merge"), "_us", "left")
     part = lambda k: sum((F.col("_m")[3 * k + j] * F.col(f"_{c}") for j, c in enumerate(xyz)), F.lit(0.0))
     rows = rows.withColumns({f"_{c}": F.col(c) for c in xyz}).withColumns({c: part(k) for k, c in enumerate(xyz)})
     return rows.drop("_us", "_m", *(f"_{c}" for c in xyz))
