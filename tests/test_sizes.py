@@ -41,3 +41,79 @@ def test_orientation_is_not_broadcast(spark):
     assert "SortMergeJoin" in plan_of(out)
     plain = {r["i"]: r["x"] for r in frames.convert(df, "ts", ("x", "y", "z"), "GEO", "J2000").collect()}
     assert {r["i"]: r["x"] for r in out.collect()} == pytest.approx(plain)
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).first()
+
+
+def duck(text):
+    import duckdb
+
+    return duckdb.sql(f"select {text}").fetchall()[0]
+
+
+def lit(x):
+    return F.when(F.col("id") >= 0, F.lit(x))
+
+
+def test_tails_of_the_magnetopause(spark):
+    """Far tails hang on the last digit of the angle: the same operations as the SQL, so that the cosine is the same."""
+    from tideframe.functions import empirical as E
+
+    for lt in range(6, 19):
+        got = one(spark, F.cos((12 - lit(lt)) * F.lit(np.pi) / 12), E.magnetopause(lit(-3.0), lit(20000.5), lit(lt))[0])
+        cos, x = duck(f"cos((12 - {lt}) * pi() / 12), (11.4 + 0.140 * -3.0::double) * pow(20000.5::double, -1 / 6.6) * pow(2 / (1 + cos((12 - {lt}) * pi() / 12)), (0.58 - 0.01 * -3.0::double) * (1 + 0.01 * 20000.5::double)) * cos((12 - {lt}) * pi() / 12)")
+        assert got["c0"] == cos
+        assert got["c1"] == pytest.approx(x, rel=1e-13), lt
+
+
+def test_rounding_of_the_sql(spark):
+    """Ties and large numbers are rounded by scaling, as the SQL does; what is no number stays."""
+    from tideframe.plans.registry import rounded
+
+    for x, n in ((1.005, 2), (2.675, 2), (554533537942341.5, 5), (-0.285, 2), (62588443.51785, 4), (1e305, 5), (53.45, 1)):
+        assert one(spark, rounded(lit(x), n))[0] == duck(f"round({x!r}::double, {n})")[0]
+    got = one(spark, rounded(lit(float("inf")), 3), rounded(lit(float("nan")), 3), rounded(F.lit(None).cast("double"), 3))
+    assert got[0] == float("inf") and got[1] != got[1] and got[2] is None
+
+
+def table_of(tmp_path, rows):
+    import duckdb
+
+    values = ", ".join(f"({i}, timestamp '{ts}', {u}, '{kind}', {v}::double)" for i, ts, u, kind, v in rows)
+    duckdb.sql(f"copy (select * from (values {values}) t(event_id, ts, user_id, event_type, value)) to '{tmp_path}/events.parquet' (format parquet)")
+    return str(tmp_path)
+
+
+def differs(spark, name, folder):
+    import __spark_entry__
+    from tests.oracle import difference, duck
+
+    return difference(spark, duck(folder), __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name], folder)
+
+
+def test_latitudes_beyond_the_pole(spark, tmp_path):
+    """Values over 502.8 count the latitude past the pole."""
+    rows = [(i, "2024-01-01 00:00:01", u, "click", v) for i, (u, v) in enumerate((u, v) for u in (0, 7, 25, 36, 180) for v in (0.0, 250.0, 503.0, 520.09, 560.21))]
+    assert differs(spark, "geodetic_positions", table_of(tmp_path, rows)) == ""
+
+
+def test_flux_of_huge_densities(spark):
+    """The scale goes to the density first, so that what overflows is what overflows in the SQL."""
+    from tideframe.functions.plasma import number_flux
+
+    for n, u in ((1e306, 0.01), (1e300, 1.0), (9.12e12, 30.7)):
+        assert one(spark, number_flux(lit(n), lit(u)))[0] == duck(f"1000 * {n!r}::double * {u}::double")[0]
+
+
+@pytest.mark.parametrize("pair", [(0.15, 0.35), (1.25, 1.25), (2.0, 2.3), (0.05, 106.85), (77.7, 77.8)])
+def test_means_at_ties(spark, tmp_path, pair):
+    """Means of a minute that lie between two tenths."""
+    rows = [(i, "2024-01-01 00:00:01", 1, kind, v + k) for i, (k, kind, v) in enumerate((k, kind, v) for k, kind in enumerate(("a", "b", "c", "d", "e")) for v in pair)]
+    assert differs(spark, "layout_index_blocks", table_of(tmp_path, rows)) == ""
+
+
+def test_derived_digits(spark, tmp_path):
+    rows = [(i, "2024-01-01 00:00:01", i * 7 % 1500 + (10**6 if i % 5 == 0 else 0), "click", round(i * 37.31 % 560, 2)) for i in range(3000)]
+    assert differs(spark, "all_derived", table_of(tmp_path, rows)) == ""

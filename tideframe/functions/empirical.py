@@ -31,7 +31,7 @@ def magnetopause_shape(bz: Column, p: Column) -> tuple[Column, Column]:
 def magnetopause(bz: Column, p: Column, lt: Column) -> tuple[Column, Column]:
     """(x, y) of the magnetopause at a local time in hours."""
     r0, alpha = magnetopause_shape(bz, p)
-    theta = (12 - lt) * (math.pi / 12)
+    theta = (12 - lt) * F.lit(math.pi) / 12  # not by a rounded pi / 12: far tails hang on the last digit
     r = r0 * F.pow(2 / (1 + F.cos(theta)), alpha)
     return r * F.cos(theta), r * F.sin(theta)
 
@@ -79,8 +79,8 @@ def diffusion_coefficient(l_shell: Column, kp: Column, model: str = "BA2000") ->
     """Radial diffusion coefficient per day."""
     if model == "const":
         return F.lit(10.0)
-    a, b = {"BA2000": (0.506 * kp - 9.325, 10.0), "FC2006": (F.lit(math.log10(1.5e-6)), 8.5), "U2008": (F.lit(math.log10(7.7e-6)), 6.0), "S1997": (F.lit(math.log10(1.9e-10)), 11.7)}[model]
-    return F.pow(F.lit(10.0), a) * F.pow(l_shell, F.lit(b))
+    a, b = {"BA2000": (F.pow(F.lit(10.0), 0.506 * kp - 9.325), 10.0), "FC2006": (F.lit(1.5e-6), 8.5), "U2008": (F.lit(7.7e-6), 6.0), "S1997": (F.lit(1.9e-10), 11.7)}[model]
+    return a * F.pow(l_shell, F.lit(b))
 
 
 def log_gamma(x: Column) -> Column:

@@ -19,7 +19,7 @@ from tideframe.operators import matching as M
 from tideframe.operators import rules as R
 from tideframe.operators import shape as H
 from tideframe.operators import statistics as S
-from tideframe.plans.registry import Registry, r6, table
+from tideframe.plans.registry import Registry, r6, rounded, table
 from tideframe.sources import text as X
 
 query = Registry()
@@ -184,9 +184,9 @@ select event_id, round(t[k + 1] + (pos - k) * (t[k + 2] - t[k + 1]), 6) ord, rou
 def belt_models(spark, sf_dir):
     """Order of pitch-angle distributions, radial diffusion by four models, and the magnetopause at a local time."""
     shell, kp = 2.5 + F.col("value") / 60, F.col("user_id") / 20.0
-    d = {n: F.round(F.log10(E.diffusion_coefficient(shell, kp, m)), 6).alias(n) for n, m in (("ba", "BA2000"), ("fc", "FC2006"), ("u", "U2008"), ("s", "S1997"))}
+    d = {n: rounded(F.log10(E.diffusion_coefficient(shell, kp, m)), 6).alias(n) for n, m in (("ba", "BA2000"), ("fc", "FC2006"), ("u", "U2008"), ("s", "S1997"))}
     x, y = E.magnetopause((F.col("value") - 250) / 50, 0.5 + F.col("user_id") / 40.0, 6 + F.col("user_id") % 13)
-    return _events(spark, sf_dir).select("event_id", r6(E.vampola_order(shell)).alias("ord"), *d.values(), F.round(x, 5).alias("x"), F.round(y, 5).alias("y"))
+    return _events(spark, sf_dir).select("event_id", rounded(E.vampola_order(shell), 6).alias("ord"), *d.values(), rounded(x, 5).alias("x"), rounded(y, 5).alias("y"))
 
 
 @query("""
@@ -447,7 +447,7 @@ def all_derived(spark, sf_dir):
     """All quantities that field, current, flow, density and pressure give, in one projection."""
     v, w = F.col("value"), F.col("user_id")
     given = {"bx": v / 50, "by": w / 30.0, "bz": F.lit(-1.5), "jx": v / 10, "jy": w / 5.0, "jz": F.lit(-2.0), "ux": 400 + v, "uy": w - 75.0, "uz": F.lit(10.0), "rho": 1 + w / 20.0, "p": 0.1 + v / 100}
-    rows = P.derived(_events(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in given.items())))
-    scaled = {"jb": (1e3, 6), "uperp": (1, 4), "alfven": (1e6, 4), "t": (1, 5)}
+    rows = P.derived(_events(spark, sf_dir).select("event_id", *(c.alias(n) for n, c in given.items())), alfven_scale=1e6)
+    scaled = {"jb": (1e3, 6), "uperp": (1, 4), "alfven": (1, 4), "t": (1, 5)}
     names = ("b", "beta", "j", "jb", "u", "ex", "ey", "ez", "upar", "uperp", "alfven", "t")
-    return rows.select("event_id", *(F.round(scaled.get(n, (1, 6))[0] * F.col(n), scaled.get(n, (1, 6))[1]).alias(n) for n in names))
+    return rows.select("event_id", *(rounded(scaled.get(n, (1, 6))[0] * F.col(n), scaled.get(n, (1, 6))[1]).alias(n) for n in names))

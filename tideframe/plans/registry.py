@@ -29,5 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """``c`` to so many digits as the SQL rounds a double: scaled, rounded half away from zero, scaled back.
+
+    ``F.round`` rounds the shortest decimal of a double instead, which parts from it at ties and at large numbers.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    scaled = F.round(c * 10.0**digits) / 10.0**digits
+    return F.when(F.isnan(scaled) | (F.abs(scaled) == float("inf")), c).otherwise(scaled)
+
+
 def r6(c: Column | str) -> Column:
     return F.round(c, 6)
