@@ -65,6 +65,13 @@ def geocentric_to_geodetic(df: DataFrame, x: str, y: str, z: str, body: Ellipsoi
     return df.withColumns({"lat": lat, "lon": lon, "alt": alt}).drop(*(f"_{n}" for n in "rfgcstpqduv"))
 
 
+def counted_on(lat: Column, lon: Column, given_lat: Column, given_lon: Column) -> tuple[Column, Column]:
+    """The same place named as another was: latitude counted on past a pole, longitude in the turn nearest to the given one."""
+    past = F.abs(given_lat) > 90
+    lon = F.when(past, lon + 180).otherwise(lon)
+    return F.when(past, F.signum(given_lat) * 180 - lat).otherwise(lat), lon - 360 * F.round((lon - given_lon) / 360)
+
+
 def geocentric_to_radial(df: DataFrame, x: str, y: str, z: str, body: Ellipsoid = WGS84) -> DataFrame:
     """``df`` with radius, geodetic latitude and longitude."""
     radius = F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y) + F.col(z) * F.col(z))
