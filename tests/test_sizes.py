@@ -117,3 +117,37 @@ def test_means_at_ties(spark, tmp_path, pair):
 def test_derived_digits(spark, tmp_path):
     rows = [(i, "2024-01-01 00:00:01", i * 7 % 1500 + (10**6 if i % 5 == 0 else 0), "click", round(i * 37.31 % 560, 2)) for i in range(3000)]
     assert differs(spark, "all_derived", table_of(tmp_path, rows)) == ""
+
+
+def test_interval_max_makes_no_pairs(spark):
+    """A thousand values and ten queries in one window, ends included, against a plain version; one join, that of the keys."""
+    from tideframe.operators import matching as M
+
+    start = dt.datetime(2024, 3, 1)
+    series = [(start + dt.timedelta(seconds=s % 400), float(s * 37 % 101)) for s in range(1000)]
+    asked = [(i, start + dt.timedelta(seconds=s)) for i, s in enumerate((0, 5, 59, 60, 61, 120, 399, 459, 460, 5000))] + [(99, None)]
+    q, s = spark.createDataFrame(asked, "i long, ts timestamp_ntz"), spark.createDataFrame(series, "ts timestamp_ntz, v double")
+    for prior in (60, 7, 0):
+        out = M.interval_max(q, s, "ts", "v", prior * 1_000_000, "i")
+        assert plan_of(out).split("== Initial")[0].count("Join ") == 1
+        want = {i: None if t is None else max((v for u, v in series if t - dt.timedelta(seconds=prior) <= u <= t), default=None) for i, t in asked}
+        assert {r["i"]: r["v"] for r in out.collect()} == want
+
+
+def test_diffusion_side_by_side(spark):
+    """Runs of two grids and of unlike series in a batch, each as when it is alone; no group for each run."""
+    from tideframe.operators import iterative as I
+
+    grids = {r: np.linspace(3, 6, 7 if r % 2 else 13) for r in range(6)}
+    kps = {r: [1.0 + r, 2.0][: 1 + r % 3 // 2] for r in range(6)}
+    runs = spark.createDataFrame([(r, float(x), float(r + x * x)) for r, g in grids.items() for x in g], "run long, l double, psd double")
+    kp = spark.createDataFrame([(r, j, k) for r, ks in kps.items() for j, k in enumerate(ks)], "run long, step int, kp double")
+    out = I.radial_diffusion(runs, kp, 0.05)
+    assert "InPandas" in plan_of(out) and "FlatMapGroups" not in plan_of(out)
+    got = {(r["run"], r["step"], r["l"]): r["psd"] for r in out.collect()}
+    for r, g in grids.items():
+        f = r + g * g
+        for j, k in enumerate(kps[r]):
+            f = I.diffuse(f, g, 10 ** (0.506 * k - 9.325) * g**10, 0.05)
+            assert [got.pop((r, j, x)) for x in g] == f.tolist()
+    assert not got

@@ -64,8 +64,8 @@ def streamlines(seeds: DataFrame, grid_x: np.ndarray, grid_y: np.ndarray, field_
 
 
 def tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Solution of a tridiagonal system."""
-    c, d = np.zeros(len(mid)), np.zeros(len(mid))
+    """Solutions of tridiagonal systems along the first axis; further axes are systems side by side."""
+    c, d = np.zeros(right.shape), np.zeros(right.shape)
     c[0], d[0] = up[0] / mid[0], right[0] / mid[0]
     for i in range(1, len(mid)):
         m = mid[i] - low[i] * c[i - 1]
@@ -76,12 +76,13 @@ def tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, right: np.ndar
 
 
 def diffuse(f: np.ndarray, l_grid: np.ndarray, dll: np.ndarray, dt: float) -> np.ndarray:
-    """One Crank-Nicolson step of L2 d/dL (D / L2 df/dL) with fixed ends."""
+    """One Crank-Nicolson step of L2 d/dL (D / L2 df/dL) with fixed ends; columns of ``f`` and ``dll`` are runs side by side."""
+    grid = l_grid.reshape(-1, *(1,) * (f.ndim - 1))
     h = l_grid[1] - l_grid[0]
-    half = (dll[1:] + dll[:-1]) / 2 / ((l_grid[1:] + l_grid[:-1]) / 2) ** 2
-    up, low = np.zeros(len(f)), np.zeros(len(f))
-    up[1:-1] = l_grid[1:-1] ** 2 * half[1:] * dt / (2 * h * h)
-    low[1:-1] = l_grid[1:-1] ** 2 * half[:-1] * dt / (2 * h * h)
+    half = (dll[1:] + dll[:-1]) / 2 / ((grid[1:] + grid[:-1]) / 2) ** 2
+    up, low = np.zeros(f.shape), np.zeros(f.shape)
+    up[1:-1] = grid[1:-1] ** 2 * half[1:] * dt / (2 * h * h)
+    low[1:-1] = grid[1:-1] ** 2 * half[:-1] * dt / (2 * h * h)
     right = f.copy()
     right[1:-1] += up[1:-1] * (f[2:] - f[1:-1]) - low[1:-1] * (f[1:-1] - f[:-2])
     return tridiagonal(-low, 1 + up + low, -up, right)
@@ -90,22 +91,28 @@ def diffuse(f: np.ndarray, l_grid: np.ndarray, dll: np.ndarray, dt: float) -> np
 def radial_diffusion(runs: DataFrame, kp: DataFrame, dt_days: float) -> DataFrame:
     """(run, step, l, psd): each run's profile stepped through its Kp series.
 
-    ``runs`` holds (run, l, psd) on an even grid; ``kp`` holds (run, step, kp). Runs are apart, steps within one are not.
+    ``runs`` holds (run, l, psd) on an even grid; ``kp`` holds (run, step, kp). Runs are apart, steps within one are not: a
+    run's profile and series are a row, and the runs of a batch that share a grid and their steps are solved side by side.
     """
-    both = runs.select("run", F.lit(-1).alias("step"), "l", "psd", F.lit(None).cast("double").alias("kp")).unionByName(
-        kp.select("run", "step", F.lit(None).cast("double").alias("l"), F.lit(None).cast("double").alias("psd"), F.col("kp").cast("double").alias("kp"))
-    )
+    listed = lambda df, by, c: df.groupBy(F.col("run").cast("long").alias("run")).agg(F.array_sort(F.collect_list(F.struct(by, c))).alias("_s"))
+    profiles = listed(runs.select("run", F.col("l").cast("double").alias("l"), F.col("psd").cast("double").alias("psd")), "l", "psd").select("run", F.col("_s.l").alias("l"), F.col("_s.psd").alias("psd"))
+    series = listed(kp.select("run", F.col("step").cast("int").alias("step"), F.col("kp").cast("double").alias("kp")), "step", "kp").select("run", F.col("_s.step").alias("step"), F.col("_s.kp").alias("kp"))
 
-    def job(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf[pdf.step < 0].sort_values("l")
-        grid, f = start.l.to_numpy(), start.psd.to_numpy()
-        out = []
-        for step, k in pdf[pdf.step >= 0].sort_values("step")[["step", "kp"]].itertuples(index=False):
-            f = diffuse(f, grid, 10 ** (0.506 * k - 9.325) * grid**10, dt_days)
-            out.append(pd.DataFrame({"run": start.run.iloc[0], "step": int(step), "l": grid, "psd": f}))
-        return pd.concat(out) if out else pd.DataFrame({"run": [], "step": [], "l": [], "psd": []})
-
-    return both.groupBy("run").applyInPandas(job, "run long, step int, l double, psd double")
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            alike: dict[tuple, list[int]] = {}
+            for i, (grid, steps) in enumerate(zip(batch["l"], batch["step"], strict=True)):
+                alike.setdefault((grid.tobytes(), steps.tobytes()), []).append(i)
+            for at in alike.values():
+                some = batch.iloc[at]
+                grid, steps = np.asarray(some["l"].iloc[0], float), some["step"].iloc[0]
+                f = np.stack([np.asarray(p, float) for p in some["psd"]], 1)
+                k = np.stack([np.asarray(x, float) for x in some["kp"]], 1)
+                for j, step in enumerate(steps):
+                    f = diffuse(f, grid, 10 ** (0.506 * k[j] - 9.325) * grid[:, None] ** 10, dt_days)
+                    yield pd.DataFrame({"run": some["run"].to_numpy().repeat(len(grid)), "step": int(step), "l": np.tile(grid, len(at)), "psd": f.T.ravel()})
+
+    return profiles.join(series, "run").mapInPandas(job, "run long, step int, l double, psd double")
 
 
 def ensemble_update(a: np.ndarray, observed: np.ndarray, ha: np.ndarray, spread: np.ndarray) -> np.ndarray:
