@@ -74,12 +74,22 @@ def interpolate(queries: DataFrame, knots: DataFrame, ts: str, keys: tuple[str,
 
 def interval_max(queries: DataFrame, series: DataFrame, ts: str, value: str, prior_us: int, key: str) -> DataFrame:
     """(key, maximum) of ``value`` from ``prior`` before each query to the query, both ends included; null if nothing is there."""
+    # times are cut at multiples of the width: the interval is the end of one piece and the beginning of the next, and in each
+    # the largest value so far, from the piece's end back or from its beginning on, is one running maximum; no pair is made
     width = max(prior_us, 1)
     q = queries.select(key, utc_us(F.col(ts)).alias("_at"))
-    near = q.withColumn("_b", F.explode(F.array(F.floor(F.col("_at") / width), F.floor(F.col("_at") / width) - 1)))
-    s = series.select(utc_us(F.col(ts)).alias("_us"), F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_us") / width))
-    hit = near.join(s, "_b").where(F.col("_us").between(F.col("_at") - prior_us, F.col("_at")))
-    return q.select(key).join(hit.groupBy(key).agg(F.max("_v").alias(value)), key, "left")
+    s = series.select(utc_us(F.col(ts)).alias("_us"), F.col(value).alias("_v")).where("_us is not null")
+    on = lambda rows, us, back: rows.withColumns({"_back": F.lit(back), "_b": F.floor(us / width), "_order": -us if back else us})
+    asked = q.where("_at is not null").select(key, "_at")
+    sides = []
+    for back in (False, True) if prior_us else (False,):
+        ends = on(asked, F.col("_at") - prior_us if back else F.col("_at"), back).select(key, F.lit(None).cast(s.schema["_v"].dataType).alias("_v"), F.lit(True).alias("_asked"), "_back", "_b", "_order")
+        known = on(s, F.col("_us"), back).select(F.lit(None).cast(asked.schema[key].dataType).alias(key), "_v", F.lit(False).alias("_asked"), "_back", "_b", "_order")
+        sides.append(ends.union(known))
+    rows = sides[0] if len(sides) == 1 else sides[0].union(sides[1])
+    so_far = Window.partitionBy("_back", "_b").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    hit = rows.withColumn("_most", F.max("_v").over(so_far)).where("_asked")
+    return q.select(key).join(hit.groupBy(key).agg(F.max("_most").alias(value)), key, "left")
 
 
 def _counts(a: DataFrame, b: DataFrame, lags: DataFrame, half_us: int, bucket_us: int = DAY_US) -> DataFrame:
