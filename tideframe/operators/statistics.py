@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 from tideframe.storage import small, stored
 
 
-def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: tuple[str, ...] = (), buckets: int = 1024, limit: int = 100_000) -> DataFrame:
+def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: tuple[str, ...] = (), buckets: int = 1024, limit: int = 100_000, kept: bool = False) -> DataFrame:
     """(keys, one column for each name in ``wanted``): exact quantiles, interpolated between neighbours; nulls and NaN don't count.
 
     No task orders more than ``limit`` values. An interval of values with more is cut into buckets of equal width, which are
     counted; those that hold a wanted rank go on as intervals of their own, from their least to their greatest value,
     until they are small or hold one value alone. So neither a hot key nor values bunched beside an outlier meet in one task.
+    The values are stored first, since they are read in every pass, unless ``kept`` says that ``df`` is a stored table.
     """
     if not keys:
-        return quantiles(df.select(F.lit(0).alias("_all"), value), value, wanted, ("_all",), buckets, limit).drop("_all")
+        return quantiles(df.select(F.lit(0).alias("_all"), value), value, wanted, ("_all",), buckets, limit, kept).drop("_all")
     number = F.col(value).cast("double")
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(number)).select(*keys, number.alias("_v"))
+    rows = rows if kept else stored(rows, "quantile-values")
     place = {n: F.lit(float(q)) * (F.col("_total") - 1) for n, q in wanted.items()}
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(at), F.ceil(at)) for at in place.values()))))
     open_ = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_n"))
@@ -52,7 +54,9 @@ def quantiles(df: DataFrame, value: str, wanted: dict[str, float], keys: tuple[s
 
 def median_absolute_deviation(df: DataFrame, value: str, keys: tuple[str, ...] = (), scale: bool = False) -> DataFrame:
     """(keys, median, mad): the median and the median distance from it."""
-    mid = quantiles(df, value, {"median": 0.5}, keys)
+    df = stored(df.select(*keys, value), "deviations")
+    mid = quantiles(df, value, {"median": 0.5}, keys, kept=True)
+    mid = stored(mid, "medians")
     rows = df.join(mid, list(keys)) if keys else df.crossJoin(F.broadcast(mid))
     far = quantiles(rows.select(*keys, F.abs(F.col(value) - F.col("median")).alias("far")), "far", {"mad": 0.5}, keys)
     out = mid.join(far, list(keys)) if keys else mid.crossJoin(F.broadcast(far))
