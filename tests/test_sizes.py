@@ -151,3 +151,22 @@ def test_diffusion_side_by_side(spark):
             f = I.diffuse(f, g, 10 ** (0.506 * k - 9.325) * g**10, 0.05)
             assert [got.pop((r, j, x)) for x in g] == f.tolist()
     assert not got
+
+
+@pytest.mark.parametrize("split", ["128m", "97b"])
+def test_lines_numbered_in_splits(spark, tmp_path, split):
+    """Lines of files read in many splits have the numbers of the whole file, empty lines counted; no file is read whole."""
+    from tideframe.sources.text import numbered
+
+    texts = {"a.txt": "\n".join(f"line {k}" if k % 7 else "" for k in range(300)) + "\n", "b.txt": "one\r\n\r\nthree"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        out = numbered(spark, str(tmp_path))
+        assert "wholetext" not in plan_of(out).lower() and "Generate" not in plan_of(out)
+        got = {(r["path"].rsplit("/", 1)[1], r["n"]): r["value"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got == {(name, n): line for name, text in texts.items() for n, line in enumerate(text.replace("\r\n", "\n").split("\n")) if line}

@@ -14,11 +14,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideframe.operators.series import carried, row_numbers
 from tideframe.sources.text import PARTS, _number, _time, lines, numbered, tokens
 
 _BLOCK = "path string, time timestamp_ntz, version double, variable string, i int, j int, k int, value double"
 
 
+#: Lines of a file that are numbered and summed at a time.
+PIECE = 100_000
+
+
 def records(data: bytes) -> tuple[str, list[memoryview]]:
     """Byte order and the records of a Fortran sequential file: each stands between two copies of its length."""
     for order in "<>":
@@ -230,11 +235,11 @@ def read_ionosphere(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Sections stand under their names in capitals; the points of a hemisphere stand line by line or, where lines were
     wrapped, over as many lines as its variables need.
     """
-    w = Window.partitionBy("path").orderBy("n")
+    piece = F.floor(F.col("n") / PIECE)
     rows = numbered(spark, paths).withColumn("value", F.trim("value"))
     named = F.when(F.col("value").rlike(r"^[A-Z][A-Z ]+$"), F.col("value"))
-    rows = rows.withColumn("section", F.last(named, True).over(w)).where(F.col("value") != F.col("section"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("path", "section").orderBy("n")) - 1).withColumn("t", tokens(F.col("value")))
+    rows = carried(rows, ("path",), "n", {"section": named}, piece).where(F.col("value") != F.col("section"))
+    rows = row_numbers(rows, ["n"], piece, "k", ("path", "section")).withColumn("t", tokens(F.col("value")))
     first = lambda section, k: F.max(F.when((F.col("section") == section) & (F.col("k") == k), F.get("t", F.lit(0))))
     names = F.array_sort(F.collect_list(F.when(F.col("section") == "VARIABLE LIST", F.struct("k", F.lower(F.trim(F.regexp_extract("value", r"^\d+\s+([^\[]+)\[", 1))).alias("name")))))
     heads = rows.groupBy("path").agg(
@@ -245,8 +250,11 @@ def read_ionosphere(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     heads = heads.select("path", _time({p: F.col(p) for p in PARTS}).alias("time"), "title", "iteration", "run_time", "tilt", "names")
     body = rows.where(F.col("section").rlike("^BEGIN .* HEMISPHERE$")).select("path", "k", "t", F.lower(F.regexp_extract("section", "^BEGIN (.*) HEMISPHERE$", 1)).alias("hemisphere")).join(heads, "path")
     # the first lines of a hemisphere tell over how many a point is wrapped: a point's lines hold all its values
-    size = Window.partitionBy("path", "hemisphere").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    body = body.withColumn("before", F.coalesce(F.sum(F.size("t")).over(size), F.lit(0))).withColumn("point", F.floor(F.col("before") / F.size("names")))
+    body = body.withColumn("_piece", F.floor(F.col("k") / PIECE))
+    back = lambda *by: Window.partitionBy("path", "hemisphere", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = body.groupBy("path", "hemisphere", "_piece").agg(F.sum(F.size("t")).alias("_sum")).select("path", "hemisphere", "_piece", F.coalesce(F.sum("_sum").over(back("_piece")), F.lit(0)).alias("_back"))
+    body = body.withColumn("before", F.coalesce(F.sum(F.size("t")).over(back("_piece", "k")), F.lit(0))).join(pieces, ["path", "hemisphere", "_piece"])
+    body = body.withColumn("before", F.col("before") + F.col("_back")).withColumn("point", F.floor(F.col("before") / F.size("names")))
     cells = F.array_sort(F.collect_list(F.struct("k", "t")))
     points = body.groupBy("path", "time", "title", "iteration", "run_time", "tilt", "hemisphere", "point", "names").agg(F.flatten(F.transform(cells, lambda s: s["t"])).alias("t"))
     values = F.map_from_arrays("names", F.transform(F.slice("t", 1, F.size("names")), _number))

@@ -26,10 +26,18 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, n, value) of the lines of small files, each read whole; n from 0."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    out = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    return out.where("value <> ''")
+    """(path, n, value) of the lines that are not empty; n from 0 counts these too.
+
+    Files are read in splits: lines are numbered within theirs and shifted by the lines of the splits before, of which there
+    is a row each. No task holds a file.
+    """
+    from pyspark.sql import Window
+
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), "value").withColumn("_id", F.monotonically_increasing_id())
+    blocks = rows.groupBy("path", "_b").agg(F.min("_id").alias("_first"), F.count("*").alias("_many"))
+    before = F.sum("_many").over(Window.partitionBy("path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("path", "_b", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.where("value <> ''").join(blocks, ["path", "_b"]).select("path", (F.col("_id") + F.col("_shift")).cast("int").alias("n"), "value")
 
 
 def tokens(value: Column) -> Column:
