@@ -328,9 +328,14 @@ def read_parameters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     remarks. Commands between ``#BEGIN_COMP name`` and ``#END_COMP`` have that ``component``, others null. Files are small
     and read whole; an empty file has no rows.
     """
+    return parameters_of(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parameters_of(files: DataFrame) -> DataFrame:
+    """What ``read_parameters`` gives, for files (path, value) that are rows of a table: many small files are best kept so."""
     from pyspark.sql import Window
 
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+    whole = files.select("path", F.regexp_replace("value", "\r\n?", "\n").alias("value"))
     blocks = whole.select("path", F.posexplode(F.split("value", "(?m)^#")).alias("position", "block")).where("position > 0")
     first = F.trim(F.substring_index("block", "\n", 1))
     bound = F.regexp_extract(first, r"^(?:BEGIN|END)_COMP\b\s*(\w*)", 1)
