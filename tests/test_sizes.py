@@ -170,3 +170,20 @@ def test_lines_numbered_in_splits(spark, tmp_path, split):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert got == {(name, n): line for name, text in texts.items() for n, line in enumerate(text.replace("\r\n", "\n").split("\n")) if line}
+
+
+def test_small_slices_go_together(spark, tmp_path):
+    """Fifty slices of four points are one partition, with the rows of the slices."""
+    from tideframe.sources import records as B
+
+    rows = spark.range(200).select(F.lit("one").alias("file"), F.lit(3).alias("frame"), F.col("id").alias("point"), F.col("id").cast("double").alias("x"))
+    paths = [r["path"] for r in B.write_record_frames(rows, str(tmp_path), "file", "frame", "point", ["x"], []).collect()]
+    back = B.read_record_frames(spark, paths, ["x"], points=4)
+    assert back.rdd.getNumPartitions() == 1
+    assert sorted((r["point"], r["x"]) for r in back.collect()) == [(i, float(i)) for i in range(200)]
+
+
+def test_parameters_of_many_users(spark, tmp_path):
+    """Events without a value are listed too, and the files are rows of a table."""
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", i % 3, "click", "null" if i % 5 == 0 else i / 4) for i in range(30)]
+    assert differs(spark, "layout_parameters", table_of(tmp_path, rows)) == ""

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType, TimestampNTZType
 
-#: Points of a partition, and of one batch within it.
-SLICE, BATCH = 1 << 20, 1 << 16
+#: Points of a slice, of one batch within it, and the points and slices that one partition reads.
+SLICE, BATCH, TOGETHER, MOST = 1 << 20, 1 << 16, 1 << 18, 4096
 #: Files whose headers are read at the same time when a read is planned.
 READERS = 16
 
@@ -158,12 +158,19 @@ def files_of(paths: list[str]) -> list[str]:
 
 
 @dataclass
-class Slice(InputPartition):
+class Slice:
     frame: Frame
     low: int
     high: int
 
 
+@dataclass
+class Slices(InputPartition):
+    """Slices that one task reads; small ones go together, so that there are not as many tasks as slices."""
+
+    parts: list[Slice]
+
+
 class FrameReader(DataSourceReader):
     def __init__(self, paths: list[str], layout: str, points: int, schema: StructType):
         self.paths, self.layout, self.points, self.schema = paths, layout, points, schema
@@ -185,13 +192,24 @@ class FrameReader(DataSourceReader):
                 return False
         return True
 
-    def partitions(self) -> list[Slice]:
+    def partitions(self) -> list[Slices]:
         with ThreadPoolExecutor(READERS) as pool:
             found = [f for frames in pool.map(LAYOUTS[self.layout][1], files_of(self.paths)) for f in frames if self._wanted(f)]
         out = [Slice(f, low, min(low + self.points, f.points)) for f in found for low in range(0, f.points, self.points)]
-        return out or [Slice(Frame("", 0, "<f4", 0, ()), 0, 0)]
-
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        together, held = [], 0
+        for s in out:
+            if not together or held + s.high - s.low > TOGETHER or len(together[-1].parts) >= MOST:
+                together.append(Slices([]))
+                held = 0
+            together[-1].parts.append(s)
+            held += s.high - s.low
+        return together or [Slices([])]
+
+    def read(self, part: Slices) -> Iterator[pa.RecordBatch]:
+        for s in part.parts:
+            yield from self._slice(s)
+
+    def _slice(self, part: Slice) -> Iterator[pa.RecordBatch]:
         f, width = part.frame, int(part.frame.kind[-1])
         if part.low >= part.high:
             return
