@@ -21,6 +21,8 @@ from tideframe.storage import small, stored
 BITS, STEP = 26, 4
 CELL = ["level", "ix", "iy"]
 NODE_BYTES = 64
+#: Points of a leaf that meet a query in one list.
+LISTED = 256
 
 
 @dataclass(frozen=True)
@@ -128,8 +130,11 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, limit: int = 2
     So a query keeps a few cells whatever lies elsewhere, dense cells are split before their points are touched, and points
     are only met in leaves that can hold a neighbour. Of the points at one place only the ``k`` of smallest pid take part.
 
+    Queries at one place are answered once, and a leaf's points meet a query as lists of at most LISTED points, of which the
+    ``k`` nearest go on; so what is shuffled is a few cells and lists for each place.
+
     Ties go to the smaller pid; fewer points than ``k`` give fewer rows; rows without finite coordinates are left out;
-    queries that repeat an id count as one question each only if their coordinates agree, so ids should be unique.
+    ids should be unique.
     """
     points = points.select("pid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(_valid())
     place = Window.partitionBy("x", "y").orderBy("pid")
@@ -139,26 +144,31 @@ def nearest_points(queries: DataFrame, points: DataFrame, k: int, limit: int = 2
     asked = queries.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(_valid())
     top = tree.nodes.where("level = 0").select(*CELL, "n", "x0", "x1", "y0", "y1") if tree.levels == 0 else kids.where("_level = 0").select("_kid.*")
     top = [F.struct(*(F.lit(r[c]).cast(t).alias(c) for c, t in top.dtypes)) for r in top.collect()]  # at most 16 cells
-    rows = asked.select("id", "x", "y", F.explode(F.array(*top)).alias("c"))
+    asked = asked.withColumns({c: F.col(c) + 0.0 for c in "xy"})  # one zero
+    rows = asked.select("x", "y").distinct().select("x", "y", F.explode(F.array(*top)).alias("c"))
     slack = 1e-7 * tree.size  # cells' borders are rounded
     near = lambda c: F.greatest(F.col(f"c.{c}0") - F.col(c), F.col(c) - F.col(f"c.{c}1"), F.lit(0.0))
     far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"c.{c}0")), F.abs(F.col(c) - F.col(f"c.{c}1")))
     for level in range(0, max(tree.levels, 1), 2):
         if level:
             joined = (F.col("c.level") == kids["_level"]) & (F.col("c.ix") == kids["_ix"]) & (F.col("c.iy") == kids["_iy"])
-            rows = rows.join(kids, joined, "left").select("id", "x", "y", F.coalesce("_kid", "c").alias("c"))
+            rows = rows.join(kids, joined, "left").select("x", "y", F.coalesce("_kid", "c").alias("c"))
         rows = rows.select("*", F.hypot(far("x"), far("y")).alias("_far"), F.hypot(near("x"), near("y")).alias("_near"))
-        whose = Window.partitionBy("id", "x", "y")
+        whose = Window.partitionBy("x", "y")
         held = F.sum("c.n").over(whose.orderBy("_far", "c.level", "c.ix", "c.iy").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rows = rows.withColumn("_held", held)
         bound = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(whose)
-        rows = rows.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") + slack)).select("id", "x", "y", "c")
+        rows = rows.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") + slack)).select("x", "y", "c")
     homes = locate(points, tree).select("leaf", "pid", F.col("x").alias("_px"), F.col("y").alias("_py"))
-    rows = rows.select("id", "x", "y", F.struct("c.level", "c.ix", "c.iy").alias("leaf")).join(homes, "leaf")
-    dx, dy = F.col("_px") - F.col("x"), F.col("_py") - F.col("y")
-    rows = rows.select("id", "x", "y", "pid", (dx * dx + dy * dy).alias("_d"))
-    rank = F.row_number().over(Window.partitionBy("id", "x", "y").orderBy("_d", "pid"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "pid", F.sqrt("_d").alias("distance"))
+    many = F.count("*").over(Window.partitionBy("leaf"))
+    homes = homes.withColumn("_part", F.pmod(F.xxhash64("pid"), F.ceil(many / LISTED)))
+    homes = homes.groupBy("leaf", "_part").agg(F.collect_list(F.struct("pid", "_px", "_py")).alias("_points")).select("leaf", "_points")
+    rows = rows.select("x", "y", F.struct("c.level", "c.ix", "c.iy").alias("leaf")).join(homes, "leaf")
+    square = lambda p: (p["_px"] - F.col("x")) * (p["_px"] - F.col("x")) + (p["_py"] - F.col("y")) * (p["_py"] - F.col("y"))
+    near_ones = F.slice(F.array_sort(F.transform("_points", lambda p: F.struct(square(p).alias("d"), p["pid"].alias("pid")))), 1, k)
+    found = rows.select("x", "y", near_ones.alias("_near")).groupBy("x", "y").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))
+    rows = asked.join(found, ["x", "y"]).select("id", F.posexplode("_near").alias("_k", "_p"))
+    return rows.select("id", (F.col("_k") + 1).alias("rank"), F.col("_p.pid").alias("pid"), F.sqrt("_p.d").alias("distance"))
 
 
 def regrid(cells: DataFrame, values: tuple[str, ...], spacing: float, k: int = 4, power: float = 2.0, limit: int = 256) -> DataFrame:
