@@ -33,6 +33,15 @@ def test_matrices_beside_their_rows(spark):
     assert tilt[0]["t"] is None and np.isfinite(tilt[1]["t"])
 
 
+@pytest.mark.parametrize("name", ["frames_and_back", "geocentric_in_all_frames", "dipole_tilts"])
+def test_frame_queries_move_no_rows(spark, data, name):
+    """Neither the rows nor the matrices of their times are shuffled, joined or broadcast, however many times there are."""
+    import __spark_entry__
+
+    plan = plan_of(__spark_entry__.queries()[name](spark, f"{data}/sf0.001"))
+    assert "Scan parquet" in plan and not any(word in plan for word in ("Join", "Exchange"))
+
+
 def test_orientation_is_not_broadcast(spark):
     """With a table of the Earth's orientation the matrices come by a join that shuffles."""
     df = at_times(spark, [0, 60, None])
